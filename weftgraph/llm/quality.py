@@ -133,12 +133,16 @@ def cutoff(grid: tuple[float, ...], good: list[int], bad: list[int], n: int, alp
     return chosen
 
 
-def thresholds(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """One row per stratum: ``_s`` and ``_cut``, an array with a cutoff (or null) for each rule."""
+def feature_table(docs: DataFrame, stratum: str = "lang") -> DataFrame:
+    """(_id, _s, _f) of every document: written once, so joins with labels never move texts."""
+    return table(docs.select(F.col("doc_id").alias("_id"), F.col(stratum).alias("_s"), features(F.col("text")).alias("_f")), "features")
+
+
+def thresholds(feats: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """One row per stratum of ``feature_table``: ``_s`` and ``_cut``, an array with a cutoff (or null) for each rule."""
     marks = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").alias("_id"))
     marks = marks.agg(F.sum(F.expr("IF(quality = 1, 1, 0)")).alias("_good"), F.sum(F.expr("IF(quality = 1, 0, 1)")).alias("_bad"))
-    held = docs.select(F.col("doc_id").alias("_id"), F.col(stratum).alias("_s"), F.col("text").alias("_t")).join(marks, "_id")
-    held = held.withColumn("_f", features(F.col("_t"))).where(~base_failed())
+    held = feats.where(~base_failed()).join(marks, "_id")
     counts = [F.sum(F.expr(f"IF({expr} > {c}D, {kind}, 0)")).alias(f"{name}{kind}{i}") for name, (expr, grid) in RULES.items() for i, c in enumerate(grid) for kind in ("_good", "_bad")]
     summed = held.groupBy("_s").agg(F.sum("_good").alias("_n"), *counts)
     summed = table(summed, "holdout")
@@ -149,24 +153,25 @@ def thresholds(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha:
             cut = [[cutoff(grid, *[[r[f"{name}{kind}{i}"] for i in range(len(grid))] for kind in ("_good", "_bad")], r["_n"] or 0, per_rule, level) for name, (_, grid) in RULES.items()] for r in b.to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("_s")), pa.array(cut, pa.list_(pa.float64()))], names=["_s", "_cut"])
 
-    return summed.mapInArrow(choose, f"_s {dict(docs.dtypes)[stratum]}, _cut array<double>")
+    return summed.mapInArrow(choose, f"_s {dict(feats.dtypes)['_s']}, _cut array<double>")
 
 
-def judged(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """``docs`` plus ``_f`` (features), ``_base`` (base rules reject) and ``_kept`` (the verdict)."""
-    cuts = bounded(thresholds(docs, labels, stratum, alpha, delta), 100_000)
-    out = docs.withColumn("_f", features(F.col("text")))
-    out = out.join(cuts, out[stratum].eqNullSafe(cuts["_s"]), "left")
+def judge(rows: DataFrame, stratum: str, cuts: DataFrame) -> DataFrame:
+    """``rows`` (with ``_f``) plus ``_base`` (base rules reject) and ``_kept`` (the verdict)."""
+    cuts = bounded(cuts.withColumnRenamed("_s", "_s2"), 100_000)
+    out = rows.join(cuts, F.col(stratum).eqNullSafe(F.col("_s2")), "left")
     over = " OR ".join(f"coalesce({expr} > _cut[{i}], false)" for i, (expr, _) in enumerate(RULES.values()))
-    return out.withColumn("_base", base_failed()).withColumn("_kept", F.expr(f"NOT _base AND NOT ({over})")).drop("_s", "_cut")
+    return out.withColumn("_base", base_failed()).withColumn("_kept", F.expr(f"NOT _base AND NOT ({over})")).drop("_s2", "_cut")
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """The rows of ``docs`` that pass base rules and thresholds, columns unchanged."""
-    return judged(docs, labels, stratum, alpha, delta).where("_kept").select(*[docs[c] for c in docs.columns])
+    cuts = table(thresholds(feature_table(docs, stratum), labels, alpha, delta), "cuts")
+    return judge(docs.withColumn("_f", features(F.col("text"))), stratum, cuts).where("_kept").select(*[docs[c] for c in docs.columns])
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    feats = feature_table(documents(spark, sf_dir).select("doc_id", "text", "lang"))
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
-    return judged(docs, labels).select("doc_id", *[f"_f.{x}" for x in BASE], F.col("_base").alias("base_failed"), F.col("_kept").alias("kept"))
+    out = judge(feats, "_s", table(thresholds(feats, labels), "cuts"))
+    return out.select(F.col("_id").alias("doc_id"), *[f"_f.{x}" for x in BASE], F.col("_base").alias("base_failed"), F.col("_kept").alias("kept"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from weftgraph.llm import licenses, quality
+from weftgraph.llm import licenses, mixing, pii, quality, tokens
 
 QUERIES = {
+    "op1_pareto_mix": mixing.op1,
+    "op5_token_output": tokens.op5,
     "op6_license_scan": licenses.op6,
     "op7_quality_rules": quality.op7,
+    "op10_personal_data": pii.op10,
 }
 ORACLES: dict[str, str] = {}
