@@ -1,8 +1,9 @@
-"""Shared work space, bounded broadcasts and small plan helpers of the llm operators."""
+"""Shared work space and bounded broadcasts."""
 
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from functools import partial
@@ -35,6 +36,9 @@ def table(df: DataFrame, name: str = "t") -> DataFrame:
     schema = df.schema
     df.write.parquet(path)
     atexit.register(partial(_delete, spark, path))
+    # plans that only fed this table are garbage now: let the driver's cleaner drop their shuffle files
+    gc.collect()
+    spark._jvm.System.gc()
     return spark.read.schema(schema).parquet(path)
 
 
