@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from weftgraph.llm import licenses, mixing, pii, quality, tokens
+from weftgraph.llm import decontamination, jaccard, licenses, mixing, pii, quality, substrings, suffixes, tokens
 
 QUERIES = {
     "op1_pareto_mix": mixing.op1,
+    "op2_substring_dedup": substrings.op2,
+    "op3_decontamination": decontamination.op3,
     "op5_token_output": tokens.op5,
     "op6_license_scan": licenses.op6,
     "op7_quality_rules": quality.op7,
+    "op8_jaccard_join": jaccard.op8,
+    "op9_suffix_dedup": suffixes.op9,
     "op10_personal_data": pii.op10,
 }
 ORACLES: dict[str, str] = {}
