@@ -1,22 +1,64 @@
-"""The corpus pipeline: stages over ``documents``."""
+"""The corpus pipeline: quality rules, near duplicates, decontamination, mixing, token ids.
+
+Every stage takes what its predecessor kept.  The first four return rows of
+``documents`` with its columns; the last writes the token files and returns what
+they say of each document.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from weftgraph.llm.decontamination import decontaminate
+from weftgraph.llm.jaccard import one_of_each
+from weftgraph.llm.mixing import mix_documents
 from weftgraph.llm.quality import quality_filter
+from weftgraph.llm.tokens import token_output
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules reject go."""
     return quality_filter(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-STAGES = [("quality_rules", quality_stage)]
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays."""
+    return one_of_each(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a benchmark item go."""
+    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are repeated or left out to bring their sources to the target weights."""
+    return mix_documents(docs)
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids in ascending id order, with Elias-Fano boundaries."""
+    return token_output(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_stage),
+    ("jaccard_join", near_duplicate_stage),
+    ("decontamination", decontamination_stage),
+    ("mixing", mixing_stage),
+    ("token_output", token_stage),
+]
+#: Tokenisation and min-wise hashing are not SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written as Parquet and read again by the next."""
+    from weftgraph.plans.work import table
+
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = table(docs, name)
     return docs
