@@ -34,7 +34,7 @@ from weftgraph.llm._work import bounded, documents, table
 
 WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
-BUCKET = 50_000
+BUCKET = 4_096
 _TWO52 = 1 << 52
 
 
