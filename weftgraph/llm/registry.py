@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from weftgraph.llm import decontamination, jaccard, licenses, mixing, pii, quality, substrings, suffixes, tokens
+from weftgraph.llm import decontamination, jaccard, language_model, licenses, mixing, pii, quality, substrings, suffixes, tokens
 
 QUERIES = {
     "op1_pareto_mix": mixing.op1,
     "op2_substring_dedup": substrings.op2,
     "op3_decontamination": decontamination.op3,
+    "op4_language_model": language_model.op4,
     "op5_token_output": tokens.op5,
     "op6_license_scan": licenses.op6,
     "op7_quality_rules": quality.op7,
