@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 from functools import partial
 
@@ -12,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_freed = [time.monotonic()]
+
+
 def work_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``; a local one only where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -37,8 +41,10 @@ def table(df: DataFrame, name: str = "t") -> DataFrame:
     df.write.parquet(path)
     atexit.register(partial(_delete, spark, path))
     # plans that only fed this table are garbage now: let the driver's cleaner drop their shuffle files
-    gc.collect()
-    spark._jvm.System.gc()
+    if time.monotonic() - _freed[0] > 5:
+        gc.collect()
+        spark._jvm.System.gc()
+        _freed[0] = time.monotonic()
     return spark.read.schema(schema).parquet(path)
 
 
