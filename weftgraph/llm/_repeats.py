@@ -204,7 +204,8 @@ def repeated_windows(docs: DataFrame, units: str, L: int, K: int, resolve, hot:
     keyed = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("h"), F.col("text"))
     rows = table(keyed.mapInArrow(_superwindows(units, L, K), _ANCHOR_TYPE), "anchors")
     many = rows.groupBy("a").agg(F.count("*").alias("c"), F.min("s").alias("s0"), F.max("s").alias("s1")).where("c > 1").select("a", (F.col("s0") != F.col("s1")).alias("mixed"))
-    cand = table(rows.join(many, "a"), "candidates")
+    # both sides of this join have their own exchange, so a hot anchor is split
+    cand = table(rows.join(table(many, "many"), "a"), "candidates")
     first = [F.first(c).alias(c) for c in ("id", "h", "lo", "off", "n")]
     reps = cand.where("mixed").groupBy("a", "s").agg(F.count("*").alias("c"), *first)
     want = reps.groupBy("id", "h").agg(F.collect_list(F.struct("a", "s", "lo", "off", "n")).alias("w"))
@@ -229,7 +230,7 @@ def repeated_windows(docs: DataFrame, units: str, L: int, K: int, resolve, hot:
     verdict = table(verdict, "verdicts")
     every = F.array(F.struct(F.lit(0).alias("at"), F.col("n").alias("n")))
     full = cand.where("NOT mixed").select("id", "h", "lo", every.cast(RANGES).alias("r"))
-    copies = counts.where("c > 1").select("a", "s")
+    copies = table(counts.where("c > 1").select("a", "s"), "copies")
     found = cand.where("mixed").join(copies.withColumn("twin", F.lit(True)), ["a", "s"], "left").join(verdict, ["a", "s"], "left")
     found = found.where("twin OR r IS NOT NULL").select("id", "h", "lo", F.when(F.col("twin"), every.cast(RANGES)).otherwise(F.col("r").cast(RANGES)).alias("r"))
     spans = full.unionByName(found).select("id", "h", F.transform("r", lambda x: F.struct((F.col("lo") + x["at"]).alias("at"), x["n"].alias("n"))).alias("r"))
