@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.llm import _text as tx
-from weftgraph.llm._work import bounded, documents, table
+from weftgraph.llm._work import bounded, documents, packed, table
 
 WINDOW = 8
 MIN_WORDS = 5
@@ -162,9 +162,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` without a benchmark item, columns unchanged."""
     bad = table(contaminated(docs, benchmark, **options).select(F.col("id").alias("_i"), F.col("h").alias("_h")).distinct(), "contaminated")
-    own = docs.withColumn("_i2", F.col("doc_id").cast("long")).withColumn("_h2", F.xxhash64("text"))
+    own = packed(docs, _i2=F.col("_row.doc_id").cast("long"), _h2=F.xxhash64("_row.text"))
     on = F.col("_i2").eqNullSafe(F.col("_i")) & (F.col("_h2") == F.col("_h"))
-    return own.join(bounded(bad, 200_000), on, "left_anti").select(*docs.columns)
+    return own.join(bounded(bad, 200_000), on, "left_anti").select("_row.*")
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.llm import _text as tx
-from weftgraph.llm._work import documents, table
+from weftgraph.llm._work import documents, packed, table
 from weftgraph.operators.components import connected_components
 
 N = 5
@@ -238,10 +238,10 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     c = table(classes(docs, **options), "classes")
     first = c.where("class IS NOT NULL").groupBy("class").agg(F.min(F.struct("id", "h")).alias("k")).select(F.col("k.id").alias("_i"), F.col("k.h").alias("_h"))
     # struct order puts null ids first; a class keeps a row without id only through its hash
-    own = docs.withColumn("_i2", F.col("doc_id").cast("long")).withColumn("_h2", F.xxhash64("text"))
+    own = packed(docs, _i2=F.col("_row.doc_id").cast("long"), _h2=F.xxhash64("_row.text"))
     kept = own.join(first.hint("shuffle_hash"), F.col("_i2").eqNullSafe(F.col("_i")) & (F.col("_h2") == F.col("_h")), "left_semi").dropDuplicates(["_i2", "_h2"])
-    empty = docs.where(~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
-    return kept.select(*docs.columns).unionByName(empty)
+    empty = own.where(~F.coalesce(F.col("_row.text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
+    return kept.select("_row.*").unionByName(empty.select("_row.*"))
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weftgraph.llm._work import bounded, documents, table
+from weftgraph.llm._work import bounded, documents, packed, table
 
 WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
@@ -125,13 +125,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source: str | Column = "source"
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """``docs`` with each row repeated as often as the mix takes it, columns unchanged."""
     taken = mix(docs, id_col, **options).groupBy("_id", "_src", "_size").agg(F.sum("_copies").alias("_sum"), F.count("*").alias("_n"))
-    own = docs.withColumn("_k1", F.col(id_col)).withColumn("_k2", F.col("source")).withColumn("_k3", word_count(F.col("text")))
-    w = W.partitionBy("_k1", "_k2", "_k3").orderBy(F.xxhash64("text"))
+    own = packed(docs, _k1=F.col(f"_row.{id_col}"), _k2=F.col("_row.source"), _k3=word_count(F.col("_row.text")))
+    w = W.partitionBy("_k1", "_k2", "_k3").orderBy(F.xxhash64("_row.text"))
     own = own.withColumn("_i", F.row_number().over(w))
-    j = own.join(taken, own["_k1"].eqNullSafe(taken["_id"]) & own["_k2"].eqNullSafe(taken["_src"]) & (own["_k3"] == taken["_size"]))
+    j = own.join(taken, F.col("_k1").eqNullSafe(F.col("_id")) & F.col("_k2").eqNullSafe(F.col("_src")) & (F.col("_k3") == F.col("_size")))
     # rows equal in id, source and size share their copies: the first of them take the odd ones
     n = F.floor(F.col("_sum") / F.col("_n")) + F.when(F.col("_i") <= F.col("_sum") % F.col("_n"), 1).otherwise(0)
-    return j.withColumn("_c", F.explode(F.sequence(F.lit(0), n.cast("int")))).where("_c > 0").select(*[docs[c] for c in docs.columns])
+    return j.withColumn("_c", F.explode(F.sequence(F.lit(0), n.cast("int")))).where("_c > 0").select("_row.*")
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.llm import _text as tx
-from weftgraph.llm._work import bounded, documents, table
+from weftgraph.llm._work import bounded, documents, packed, table
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 FEATURES = (*BASE, "n_upper", "n_punct", "n_lines")
@@ -167,7 +167,8 @@ def judge(rows: DataFrame, stratum: str, cuts: DataFrame) -> DataFrame:
 def quality_filter(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """The rows of ``docs`` that pass base rules and thresholds, columns unchanged."""
     cuts = table(thresholds(feature_table(docs, stratum), labels, alpha, delta), "cuts")
-    return judge(docs.withColumn("_f", features(F.col("text"))), stratum, cuts).where("_kept").select(*[docs[c] for c in docs.columns])
+    rows = packed(docs, _f=features(F.col("_row.text")), _stratum=F.col(f"_row.{stratum}"))
+    return judge(rows, "_stratum", cuts).where("_kept").select("_row.*")
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
