@@ -22,10 +22,10 @@ stream, and a segment closes after ``SEGMENT_IDS`` ids, always between documents
 Only one number per part is summed across the output.
 
 Encoding: each whole text by the ``tokenizers`` library.  A byte-level
-pre-tokenizer never joins characters across a space that precedes a non-space,
-so texts are cut there, and a bounded cache holds the ids of pieces; pieces not
-in it are encoded together.  Texts with runs of white space around a space or
-with special-token strings are encoded as they are.
+pre-tokenizer never joins characters across a lone space or line end, so texts
+are cut there, and a bounded cache holds the ids of pieces; pieces not in it are
+encoded together.  Texts with runs of white space or special-token strings are
+encoded as they are.
 
 Nulls: null text is empty (only the end id); a null id is kept as null.  Repeated
 rows are written each.  Empty table: no segments, no rows.  Other columns are
@@ -39,6 +39,7 @@ import re
 import struct
 import uuid
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -52,7 +53,7 @@ END_ID = 0
 SEGMENT_IDS = 1 << 20
 CACHE_PIECES = 400_000
 _SEGMENT_TYPE = "part int, seg int, n_docs bigint, n_ids bigint, data binary"
-_RUNS = re.compile(r" \s")
+_RUNS = re.compile(r"\s\s")
 
 
 class EliasFano:
@@ -137,8 +138,9 @@ class Encoder:
         size = max(vocab.values()) + 1
         self.width = 2 if size <= 65_536 else 4
         self.kind = f"<u{self.width}"
-        self.starts = np.zeros(size, bool)  # ids whose token begins with a space
-        self.starts[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True
+        self.starts = np.zeros(size, bool)  # ids whose token begins with a space or a line end
+        self.starts[[i for t, i in vocab.items() if t[0] in "ĠĊ"]] = True
+        self.ends = {c: self.plain(c) for c in ".,"}
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.limit = cache
         self.new: dict[str, bytes] = {}
@@ -148,32 +150,50 @@ class Encoder:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.kind).tobytes() if text else b""
 
     def _learn(self, missing: list[str]) -> None:
-        old = self.old
-        rest = [p for p in missing if p not in old]
-        self.new.update((p, old[p]) for p in missing if p in old)
-        if rest:
-            ids = np.array(self.tok.encode(" " + " ".join(rest), add_special_tokens=False).ids, self.kind)
+        """Ids of new pieces: taken from the older half of the cache, put together from a known stem, or encoded, all in one text."""
+        old, new, need, derived = self.old, self.new, set(), []
+        for p in missing:
+            if p in old:
+                new[p] = old[p]
+            elif p[-1] in self.ends and p[-2:-1].isalnum():  # a letter or digit never joins . or ,
+                derived.append(p)
+                stem = p[:-1]
+                if stem in old:
+                    new[stem] = old[stem]
+                elif stem not in new:
+                    need.add(stem)
+            else:
+                need.add(p)
+        if need:
+            rest = list(need)
+            ids = np.array(self.tok.encode("".join([p if p[0] == "\n" else " " + p for p in rest]), add_special_tokens=False).ids, self.kind)
             cut = np.flatnonzero(self.starts[ids])
             if len(cut) != len(rest):
                 raise ValueError("pieces and ids do not agree")
             data, cut = ids.tobytes(), (np.append(cut, len(ids)) * self.width).tolist()
-            self.new.update((p, data[cut[i] : cut[i + 1]]) for i, p in enumerate(rest))
+            new.update(zip(rest, [data[i:j] for i, j in zip(cut, cut[1:], strict=False)], strict=True))
+        for p in derived:
+            new[p] = new[p[:-1]] + self.ends[p[-1]]
 
     def encode(self, text: str) -> bytes:
-        if "  " in text or _RUNS.search(text) or any(s in text for s in self.special) or text[-1:].isspace():
+        if _RUNS.search(text) or any(s in text for s in self.special) or text[-1:].isspace():
             return self.plain(text)
-        parts = text.split(" ")
-        out = [self.plain(parts[0])]
-        if len(parts) > 1:
-            tail = parts[1:]
-            missing = list(set(tail).difference(self.new))
-            if missing:
-                if len(self.new) + len(missing) > self.limit:
-                    self.old, self.new = self.new, {}
-                    missing = list(set(tail))
-                self._learn(missing)
-            out += map(self.new.__getitem__, tail)
-        return b"".join(out)
+        first, *tail = text.replace("\n", " \n").split(" ")
+        if not tail:
+            return self.plain(first)
+        missing = list(set(tail).difference(self.new))
+        if missing:
+            if len(self.new) + len(missing) > self.limit:
+                self.old, self.new = self.new, {}
+                missing = list(set(tail))
+            self._learn(missing)
+        return self.plain(first) + b"".join(map(self.new.__getitem__, tail))
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One encoder for each Python worker: its cache outlives a task."""
+    return Encoder(path)
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, segment_ids: int = SEGMENT_IDS) -> None:
@@ -182,7 +202,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID,
     def encode(batches):
         from pyspark import TaskContext
 
-        enc = Encoder(tokenizer)
+        enc = encoder(tokenizer)
         end = np.array([end_id], enc.kind).tobytes()
         part, seg = TaskContext.get().partitionId(), 0
         names: list = []
