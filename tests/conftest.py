@@ -13,6 +13,7 @@ def spark(tmp_path_factory):
     s = (
         SparkSession.builder.master("local[2]")
         .config("spark.sql.shuffle.partitions", "2")
+        .config("spark.sql.adaptive.enabled", "false")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "3g")
         .config("spark.sql.session.timeZone", "UTC")
