@@ -15,6 +15,9 @@ from weftgraph.llm.mixing import mix_documents
 from weftgraph.llm.quality import quality_filter
 from weftgraph.llm.tokens import token_output
 
+#: Pieces in the encoder's cache: fewer than alone, as the workers that keep it serve the other stages too.
+CACHE_PIECES = 100_000
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
@@ -38,7 +41,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids in ascending id order, with Elias-Fano boundaries."""
-    return token_output(docs)
+    return token_output(docs, cache=CACHE_PIECES)
 
 
 STAGES = [

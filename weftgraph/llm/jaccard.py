@@ -86,7 +86,7 @@ def _signatures(n: int, trees: int, levels: int, depth: int):
     def run(batches):
         for b in batches:
             ids, hs = b.column(0), b.column(1)
-            for lo, hi, buf, offs in tx.parts(b.column(2), 1 << 20):
+            for lo, hi, buf, offs in tx.parts(b.column(2)):
                 r, g = run_sets(buf, offs, n)
                 rows = hi - lo
                 size = np.bincount(r, minlength=rows).astype(np.int32)
@@ -119,7 +119,7 @@ def _sets(n: int):
     def run(batches):
         for b in batches:
             tasks, node, m = b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()
-            for lo, hi, buf, offs in tx.parts(b.column(0), 1 << 20):
+            for lo, hi, buf, offs in tx.parts(b.column(0)):
                 r, g = run_sets(buf, offs, n)
                 cut = np.searchsorted(r, np.arange(hi - lo + 1))
                 out = [[] for _ in range(4)]

@@ -191,18 +191,18 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, cache: int) -> Encoder:
     """One encoder for each Python worker: its cache outlives a task."""
-    return Encoder(path)
+    return Encoder(path, cache)
 
 
-def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, segment_ids: int = SEGMENT_IDS) -> None:
+def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, segment_ids: int = SEGMENT_IDS, cache: int = CACHE_PIECES) -> None:
     """Encode ``docs`` (doc_id, text) and write the format above to ``path``."""
 
     def encode(batches):
         from pyspark import TaskContext
 
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, cache)
         end = np.array([end_id], enc.kind).tobytes()
         part, seg = TaskContext.get().partitionId(), 0
         names: list = []
@@ -264,11 +264,11 @@ def public_tokenizer(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def token_output(docs: DataFrame, tokenizer: str | None = None, path: str | None = None) -> DataFrame:
+def token_output(docs: DataFrame, tokenizer: str | None = None, path: str | None = None, cache: int = CACHE_PIECES) -> DataFrame:
     """Write ``docs`` in the format and return what the files say."""
     spark = docs.sparkSession
     path = path or f"{work_dir(spark)}/weft-ids-{uuid.uuid4().hex}"
-    write_ids(docs, path, tokenizer or public_tokenizer())
+    write_ids(docs, path, tokenizer or public_tokenizer(), cache=cache)
     return read_ids(spark, path)
 
 
