@@ -179,3 +179,15 @@ def test_streamed_alignments(spark, tmp_path):
         stream.awaitTermination()
     got = {r.node: r.component for r in store.read(spark).collect()}
     assert got == {i: i % 4 for i in range(12)}
+
+
+@pytest.mark.parametrize("parts", [1, 3, 10_000])
+def test_split_join(spark, parts):
+    from weftgraph.plans.work import split_join, table
+
+    keys = [1] * 40 + [2] * 5 + [3, 4, None]
+    rows = table(spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k int, i int"), "rows")
+    lookup = table(spark.createDataFrame([(k, keys.count(k), f"v{k}") for k in (1, 2, 3, 9)], "k int, c int, v string"), "lookup")
+    got = split_join(rows, lookup, ["k"], parts=parts).select("k", "i", "v").collect()
+    assert sorted(map(tuple, got)) == [(k, i, f"v{k}") for i, k in enumerate(keys) if k in (1, 2, 3)]
+    assert split_join(rows.limit(0), lookup, ["k"]).count() == 0
