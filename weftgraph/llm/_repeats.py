@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm import _text as tx
-from weftgraph.llm._work import table
+from weftgraph.llm._work import bounded, split_join, table
 
 BLOCK = 1 << 20
 HOT = 30_000
@@ -203,9 +203,8 @@ def repeated_windows(docs: DataFrame, units: str, L: int, K: int, resolve, hot:
     """
     keyed = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("h"), F.col("text"))
     rows = table(keyed.mapInArrow(_superwindows(units, L, K), _ANCHOR_TYPE), "anchors")
-    many = rows.groupBy("a").agg(F.count("*").alias("c"), F.min("s").alias("s0"), F.max("s").alias("s1")).where("c > 1").select("a", (F.col("s0") != F.col("s1")).alias("mixed"))
-    # both sides of this join have their own exchange, so a hot anchor is split
-    cand = table(rows.join(table(many, "many"), "a"), "candidates")
+    many = rows.groupBy("a").agg(F.count("*").alias("c"), F.min("s").alias("s0"), F.max("s").alias("s1")).where("c > 1").select("a", "c", (F.col("s0") != F.col("s1")).alias("mixed"))
+    cand = table(split_join(rows, table(many, "many"), ["a"]), "candidates")
     first = [F.first(c).alias(c) for c in ("id", "h", "lo", "off", "n")]
     reps = cand.where("mixed").groupBy("a", "s").agg(F.count("*").alias("c"), *first)
     want = reps.groupBy("id", "h").agg(F.collect_list(F.struct("a", "s", "lo", "off", "n")).alias("w"))
@@ -214,25 +213,25 @@ def repeated_windows(docs: DataFrame, units: str, L: int, K: int, resolve, hot:
     # rows equal in id and text bring their representative twice
     texts = table(texts.groupBy("a", "s").agg(F.first("off").alias("off"), F.first("n").alias("n"), F.first("x").alias("x")), "texts")
     sizes = texts.groupBy("a").agg(F.count("*").alias("g")).where(F.col("g") > hot).select("a")
-    big = table(sizes, "hot")
+    big = bounded(table(sizes, "hot"), 200_000)
     resolver = _resolver(resolve, L, batch_rows)
     if big.limit(1).count():
         cool = texts.join(big, "a", "left_anti")
         verdict = _verdicts(cool, resolver)
         wins = table(texts.join(big, "a", "left_semi").mapInArrow(_window_hashes(units, L), "a bigint, s bigint, i int, rel int, k1 bigint, k2 bigint"), "windows")
         same = ["a", "rel", "k1", "k2"]
-        twice = wins.groupBy(*same).agg(F.min("s").alias("m0"), F.max("s").alias("m1")).where("m0 != m1").select(*same)
-        hits = wins.join(twice, same, "left_semi").groupBy("a", "s").agg(F.sort_array(F.collect_set("i")).alias("i"))
+        twice = wins.groupBy(*same).agg(F.count("*").alias("c"), F.min("s").alias("m0"), F.max("s").alias("m1")).where("m0 != m1").select(*same, "c")
+        hits = split_join(wins, table(twice, "twice"), same).groupBy("a", "s").agg(F.sort_array(F.collect_set("i")).alias("i"))
         verdict = verdict.unionByName(hits.select("a", "s", F.transform("i", lambda x: F.struct(x.alias("at"), F.lit(1).alias("n"))).alias("r")))
     else:
         verdict = _verdicts(texts, resolver)
+    # one row per distinct superwindow that repeats, whole (``c`` > 1) or in part (``r``)
     counts = cand.where("mixed").groupBy("a", "s").agg(F.count("*").alias("c"))
-    verdict = table(verdict, "verdicts")
+    told = table(counts.join(table(verdict, "verdicts"), ["a", "s"], "left").where("c > 1 OR r IS NOT NULL").withColumn("twin", F.expr("c > 1")), "told")
     every = F.array(F.struct(F.lit(0).alias("at"), F.col("n").alias("n")))
     full = cand.where("NOT mixed").select("id", "h", "lo", every.cast(RANGES).alias("r"))
-    copies = table(counts.where("c > 1").select("a", "s"), "copies")
-    found = cand.where("mixed").join(copies.withColumn("twin", F.lit(True)), ["a", "s"], "left").join(verdict, ["a", "s"], "left")
-    found = found.where("twin OR r IS NOT NULL").select("id", "h", "lo", F.when(F.col("twin"), every.cast(RANGES)).otherwise(F.col("r").cast(RANGES)).alias("r"))
+    found = split_join(cand.where("mixed"), told, ["a", "s"])
+    found = found.select("id", "h", "lo", F.when(F.col("twin"), every.cast(RANGES)).otherwise(F.col("r").cast(RANGES)).alias("r"))
     spans = full.unionByName(found).select("id", "h", F.transform("r", lambda x: F.struct((F.col("lo") + x["at"]).alias("at"), x["n"].alias("n"))).alias("r"))
     return keyed, spans.groupBy("id", "h").agg(F.flatten(F.collect_list("r")).alias("r"))
 
