@@ -206,6 +206,13 @@ def test_language_model(docs, head):
     assert sum(g[6] for g in got) > sum(g[5] for g in got)
 
 
+def test_the_head_changes_no_score(docs):
+    got = [{(r.doc_id, r.n_tokens, round(r.base_score, 6)): r.score for r in language_model.score(docs, head).collect()} for head in (1 << 20, 10, 0)]
+    assert got[0].keys() == got[1].keys() == got[2].keys()
+    for k, v in got[0].items():
+        assert got[1][k] == pytest.approx(v) and got[2][k] == pytest.approx(v)
+
+
 def test_expectation_maximisation_prefers_the_good_ratio():
     cells = np.array([[3, 4, 40, 100.0], [5, -1, 8, 100.0]])
     w = language_model.expectation_maximisation(cells, 1000)

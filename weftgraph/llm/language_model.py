@@ -3,13 +3,13 @@
 Documents whose crc32 of the id (as text) leaves 2 modulo 7 are held out; the
 others train (a null id trains).  Tokens: words lower-cased A-Z, then one end.
 
-Base score: add-one unigrams.  Model: a bigram over the ``HEAD`` most frequent words
-at most (all words down to one count), one class for the rest and the end:
+Base score: add-one unigrams.  Model: a bigram over all training words and the end,
+and one class for words that no training document has:
 
     P(w | v) = l2[b] c(v, w) / c(v) + l1[b] c(w) / N + l0[b] / classes
 
-with weights by bucket b (the power of two) of the context's count c(v); a word of
-the rest class also takes (c(w) + 1) / (N_rest + V_rest + 1).  The weights are learned
+with weights by bucket b (the power of two) of the context's count c(v); a context
+never seen gives its l2 to l1.  The weights are learned
 by expectation-maximisation on deleted counts: the training documents that leave 3
 modulo 7 are scored by the counts of the other ones, bucket by bucket, over a
 histogram of (bucket, ratio, ratio) whose size is bounded by its grid.
@@ -18,9 +18,12 @@ Scale: a chunk of texts turns into sorted count blobs, one for each hash part of
 distinct word pairs, with the documents each occurs in; one shuffle by part brings
 all counts of a pair together, and the task that knows its count adds its
 log-probability to the documents of every chunk.  A pair in a third of all
-documents costs two bytes a document.  Words outside the head go the same way.
-Only the head (``HEAD`` rows), the counts of counts and the histogram reach the
-driver.  The pair blobs are kept on disk between the two passes and made again
+documents costs two bytes a document.  The ``HEAD`` most frequent words at most (all
+words down to one count) are a broadcast table that spares space and changes no score:
+their pairs carry short numbers.  Every other word goes by its 64-bit hash: a pair
+with one such word meets the word's counts in its part, a pair of two is joined with
+the table of words.  Such a word has at most 1 / ``HEAD`` of all tokens.
+Only the head, the counts of counts and the histogram reach the driver.  The pair blobs are kept on disk between the two passes and made again
 from their lineage if an executor goes.
 
 Nulls and empty texts: one token, the end.  Empty table: no rows.  Repeated rows
@@ -81,26 +84,26 @@ def _unigrams(batches):
 
 
 class Head:
-    """The head words with their counts, and the totals."""
+    """The head words with their counts, and the totals; ``rest`` stands for every other word, ``classes`` counts all words."""
 
     def __init__(self, w: np.ndarray, c: np.ndarray, d: np.ndarray, total: int, deleted: int, distinct: int, docs: int, docs_deleted: int) -> None:
         o = np.argsort(w)
         self.w, n = w[o], len(w)
-        self.rest, self.end, self.classes = n, n + 1, n + 2
-        self.total, self.distinct = total, distinct
-        self.c = np.concatenate((c[o], [total - docs - int(c.sum()), docs])).astype(np.int64)
-        self.d = np.concatenate((d[o], [deleted - docs_deleted - int(d.sum()), docs_deleted])).astype(np.int64)
-        self.rest_distinct = distinct - n - (docs > 0)
+        self.rest, self.end, self.slots = n, n + 1, n + 2
+        self.total, self.deleted, self.distinct = total, deleted, distinct
+        self.classes = distinct - (docs > 0) + 2
+        self.c = np.concatenate((c[o], [0, docs])).astype(np.int64)
+        self.d = np.concatenate((d[o], [0, docs_deleted])).astype(np.int64)
 
     def ids(self, h: np.ndarray) -> np.ndarray:
         if not len(self.w):
             return np.full(len(h), self.rest, np.int64)
-        u, at = np.unique(h, return_inverse=True)
-        i = np.minimum(np.searchsorted(self.w, u), len(self.w) - 1)
-        return np.where(self.w[i] == u, i, self.rest)[at]
+        i = np.minimum(np.searchsorted(self.w, h), len(self.w) - 1)
+        return np.where(self.w[i] == h, i, self.rest)
 
 
-def learn_head(keyed: DataFrame, limit: int = HEAD) -> Head:
+def learn_head(keyed: DataFrame, limit: int = HEAD) -> tuple[Head, DataFrame]:
+    """The head, and the other training words (w, c, d)."""
     words = table(keyed.where(F.col("fold") != HELD).mapInArrow(_unigrams, "w bigint, c bigint, d bigint").groupBy("w").agg(F.sum("c").alias("c"), F.sum("d").alias("d")), "words")
     n_docs = keyed.where(F.col("fold") != HELD).agg(F.count("*"), F.count(F.when(F.col("fold") == DELETED, 1))).first()
     of = words.groupBy("c").agg(F.count("*").alias("n"), F.sum("d").alias("d")).orderBy(F.desc("c")).collect()  # at most sqrt(2 N) rows
@@ -112,7 +115,7 @@ def learn_head(keyed: DataFrame, limit: int = HEAD) -> Head:
     head = words.where(F.col("c") >= least).toArrow()
     cols = [head.column(x).to_numpy() for x in ("w", "c", "d")]
     total, deleted, distinct = sum(r.c * r.n for r in of) + n_docs[0], sum(r.d for r in of) + n_docs[1], sum(r.n for r in of) + (n_docs[0] > 0)
-    return Head(cols[0].view(np.uint64), cols[1], cols[2], total, deleted, distinct, n_docs[0], n_docs[1])
+    return Head(cols[0].view(np.uint64), cols[1], cols[2], total, deleted, distinct, n_docs[0], n_docs[1]), words.where(F.col("c") < least)
 
 
 # --- blobs -------------------------------------------------------------------------
@@ -165,16 +168,28 @@ def _grouped(key: np.ndarray, doc: np.ndarray, fold: np.ndarray):
     return k[first], train, deleted, np.diff(np.append(first, len(k))), d, cnt
 
 
-def _split(part: np.ndarray, parts: int, key, train, deleted, docs, doc, cnt):
+def _split(part: np.ndarray, key, train, deleted, docs, doc, cnt):
     """The arrays of ``_grouped`` for each part that has keys."""
     which = np.repeat(part, docs)
-    for p in np.unique(part).tolist():
-        m, n = part == p, which == p
-        yield p, key[m], train[m], deleted[m], docs[m], doc[n], cnt[n]
+    o, q = np.argsort(part, kind="stable"), np.argsort(which, kind="stable")
+    key, train, deleted, docs, doc, cnt = key[o], train[o], deleted[o], docs[o], doc[q], cnt[q]
+    names, first = np.unique(part[o], return_index=True)
+    ends = np.append(first, len(part))
+    marks = np.append(np.searchsorted(which[q], names), len(which))
+    for i, p in enumerate(names.tolist()):
+        x, y = slice(ends[i], ends[i + 1]), slice(marks[i], marks[i + 1])
+        yield p, key[x], train[x], deleted[x], docs[x], doc[y], cnt[y]
+
+
+#: Kinds of blobs: pairs of head words, words outside the head, documents, pairs with such a word second, first and twice, counts for the last.
+PAIR, WORD, DOC, SECOND, FIRST, BOTH, COUNTS = range(7)
 
 
 def _blobs(head, parts: int):
-    """Rows (part, kind, chunk, data): pairs (kind 0) and rest words (1) by part, documents (2) under part -1."""
+    """Rows (part, kind, chunk, data): pairs and words outside the head by part, documents under part -1."""
+
+    def of(x: np.ndarray) -> np.ndarray:
+        return (tx.mix(x) % np.uint64(parts)).astype(np.int64)
 
     def run(batches):
         from pyspark import TaskContext
@@ -188,28 +203,37 @@ def _blobs(head, parts: int):
                 rows = hi - lo
                 h, row = _hashes(buf, offs)
                 words = np.bincount(row, minlength=rows)
-                token = np.full(len(h) + rows, m.end, np.int64)
+                u, local = np.unique(h, return_inverse=True)
+                short, u = np.append(m.ids(u), m.end), np.append(u, np.uint64(0))
+                end, size = len(u) - 1, len(u)
+                tail = short == m.rest
+                token = np.full(len(h) + rows, end, np.int64)
                 doc = np.repeat(np.arange(rows), words + 1)
                 at = np.arange(len(h)) + row
-                token[at] = m.ids(h)
-                prev = np.concatenate(([m.end], token[:-1]))
+                token[at] = local
+                prev = np.concatenate(([end], token[:-1]))
                 f = fold[lo:hi]
                 out = []
-                got = _grouped(prev * m.classes + token, doc, f)
-                for p, key, *rest in _split((tx.mix(got[0].astype(np.uint64)) % np.uint64(parts)).astype(np.int64), parts, *got):
-                    v = key // m.classes
-                    out.append((p, 0, _pack(np.diff(v, prepend=0), key % m.classes, *rest)))
-                tail = token[at] == m.rest
-                got = _grouped(h[tail], row[tail], f)
-                for p, key, *rest in _split((tx.mix(got[0]) % np.uint64(parts)).astype(np.int64), parts, *got):
-                    out.append((p, 1, _pack(key, *rest)))
-                known = (token != m.rest) & (m.c[token] > 0)
-                base = np.where(token != m.rest, log_c[token], 0.0) - np.log10(m.total + m.distinct + 1.0)
+                got = _grouped(prev * size + token, doc, f)
+                v, w = got[0] // size, got[0] % size
+                kind = np.where(tail[v], np.where(tail[w], BOTH, FIRST), np.where(tail[w], SECOND, PAIR))
+                part = np.where(tail[v], of(u[v]), np.where(tail[w], of(u[w]), of((short[v] * m.slots + short[w]).astype(np.uint64))))
+                for p, key, *rest in _split(kind * parts + part, *got):
+                    k, p = divmod(p, parts)
+                    v, w = key // size, key % size
+                    v, w = u[v] if k in (FIRST, BOTH) else short[v], u[w] if k in (SECOND, BOTH) else short[w]
+                    out.append((p, k, _pack(np.diff(v, prepend=0) if k == PAIR else v, w, *rest)))
+                out_words = tail[local]
+                got = _grouped(h[out_words], row[out_words], f)
+                for p, key, *rest in _split(of(got[0]), *got):
+                    out.append((p, WORD, _pack(key, *rest)))
+                known = m.c[short[token]] > 0
+                base = np.where(tail[token], 0.0, log_c[short[token]]) - np.log10(m.total + m.distinct + 1.0)
                 info = np.stack((words + 1.0, np.bincount(doc, weights=known, minlength=rows), np.bincount(doc, weights=base, minlength=rows)))
                 names = ids.slice(lo, rows)
                 null = np.asarray(names.is_null().to_numpy(zero_copy_only=False), np.float64)
                 name = names.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8")
-                out.append((-1, 2, name.tobytes() + np.concatenate((info, [null, f.astype(np.float64)])).astype("<f8").tobytes()))
+                out.append((-1, DOC, name.tobytes() + np.concatenate((info, [null, f.astype(np.float64)])).astype("<f8").tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int32()), pa.array([chunk] * len(out), pa.int64()), pa.array([x[2] for x in out], pa.binary())], names=["part", "kind", "chunk", "data"])
                 chunk += 1
 
@@ -229,28 +253,92 @@ def _by(batches, key: int):
         yield held
 
 
-def _merged(blobs: list, kind: int, classes: int):
-    """Per chunk (chunk, keys, documents, counts), and all keys with training and deleted counts."""
-    chunks, keys, train, deleted = [], [], [], []
+def _merged(blobs: list, kind: int, slots: int):
+    """Per chunk (chunk, places of keys, documents, counts), and all keys (first word, second word, training and deleted counts)."""
+    firsts, seconds, train, deleted, parts = [], [], [], [], []
     for _, k, chunk, data in blobs:
         if k != kind:
             continue
         a = _unpack(data)
-        if kind == 0:
-            key, a = np.cumsum(a[0]) * np.uint64(classes) + a[1], a[2:]
-        else:
-            key, a = a[0], a[1:]
-        chunks.append((chunk, np.repeat(key, a[2].astype(np.int64)), a[3].astype(np.int64), a[4].astype(np.float64)))
-        keys.append(key)
-        train.append(a[0])
-        deleted.append(a[1])
-    if not keys:
-        z = np.zeros(0, np.int64)
-        return [], np.zeros(0, np.uint64), z, z
-    u, at = np.unique(np.concatenate(keys), return_inverse=True)
+        firsts.append(np.cumsum(a[0]) if kind == PAIR else a[0])
+        if kind != WORD:
+            a = a[1:]
+            seconds.append(a[0])
+        train.append(a[1])
+        deleted.append(a[2])
+        parts.append((chunk, a[3].astype(np.int64), a[4].astype(np.int64), a[5].astype(np.float64)))
+    if not firsts:
+        z, h = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return [], h, h, z, z
+    key, bound = np.concatenate(firsts), np.uint64(slots)
+    if kind == PAIR:
+        key = key * bound + np.concatenate(seconds)
+    elif kind != WORD:  # two words of which one or both are hashes: number them first
+        of_v, v = np.unique(key, return_inverse=True)
+        of_w, w = np.unique(np.concatenate(seconds), return_inverse=True)
+        key, bound = v.astype(np.uint64) * np.uint64(len(of_w)) + w.astype(np.uint64), np.uint64(len(of_w))
+    u, at = np.unique(key, return_inverse=True)
     c = np.bincount(at, weights=np.concatenate(train), minlength=len(u)).astype(np.int64)
     d = np.bincount(at, weights=np.concatenate(deleted), minlength=len(u)).astype(np.int64)
-    return chunks, u, c, d
+    chunks, lo = [], 0
+    for chunk, docs, doc, cnt in parts:
+        chunks.append((chunk, np.repeat(at[lo : lo + len(docs)], docs), doc, cnt))
+        lo += len(docs)
+    if kind == WORD:
+        return chunks, u, u, c, d
+    v, w = u // bound, u % bound
+    return (chunks, v, w, c, d) if kind == PAIR else (chunks, of_v[v.astype(np.int64)], of_w[w.astype(np.int64)], c, d)
+
+
+def _counts(words: np.ndarray, c: np.ndarray, d: np.ndarray):
+    """Training and deleted counts of words by a sorted table; 0 for others."""
+
+    def of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(words):
+            return np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
+        i = np.minimum(np.searchsorted(words, x), len(words) - 1)
+        return np.where(words[i] == x, c[i], 0), np.where(words[i] == x, d[i], 0)
+
+    return of
+
+
+def _pairs(blobs: list, m: Head):
+    """Of each kind of pairs: chunks, pair counts, counts of the first and of the second word (training and deleted)."""
+
+    def short(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return m.c[x.astype(np.int64)], m.d[x.astype(np.int64)]
+
+    kinds = {b[1] for b in blobs}
+    hashed = None
+    if kinds & {FIRST, SECOND}:
+        _, words, _, c, d = _merged(blobs, WORD, m.slots)
+        hashed = _counts(words, c, d)
+    elif BOTH in kinds:
+        got = [_unpack(b[3]) for b in blobs if b[1] == COUNTS]
+        words, c, d = (np.concatenate([g[i] for g in got] or [np.zeros(0, np.uint64)]) for i in range(3))
+        o = np.argsort(words)
+        hashed = _counts(words[o], c[o].astype(np.int64), d[o].astype(np.int64))
+    for kind, first, second in ((PAIR, short, short), (SECOND, short, hashed), (FIRST, hashed, short), (BOTH, hashed, hashed)):
+        if kind in kinds:
+            chunks, v, w, c, d = _merged(blobs, kind, m.slots)
+            yield chunks, (c, d), first(v), second(w)
+
+
+def _words_of(batches):
+    """Rows (part, w): the words of pairs of two words outside the head."""
+    for b in batches:
+        for part, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            w = np.unique(np.concatenate(_unpack(data)[:2])).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([part] * len(w), pa.int32()), pa.array(w)], names=["part", "w"])
+
+
+def _count_blobs(batches):
+    for b in batches:
+        part, w, c, d = (x.to_numpy(zero_copy_only=False) for x in b.columns)
+        names = np.unique(part)
+        data = [_pack(w[part == p].view(np.uint64), c[part == p], d[part == p]) for p in names]
+        n = len(names)
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array([COUNTS] * n, pa.int32()), pa.array([0] * n, pa.int64()), pa.array(data, pa.binary())], names=["part", "kind", "chunk", "data"])
 
 
 def _ratio(a: np.ndarray, b: np.ndarray | float) -> np.ndarray:
@@ -266,18 +354,19 @@ def _histogram(head):
 
     def run(batches):
         m = head.value
-        total = int((m.c - m.d).sum())
+        total = m.total - m.deleted
         for blobs in _by(batches, 0):
-            _, key, c, d = _merged(blobs, 0, m.classes)
-            use = d > 0
-            v, w = (key[use] // np.uint64(m.classes)).astype(np.int64), (key[use] % np.uint64(m.classes)).astype(np.int64)
-            ctx = (m.c - m.d)[v]
-            cells = []
-            for p in (_ratio((c - d)[use], ctx), _ratio((m.c - m.d)[w], float(total))):
-                cells.append(np.where(p > 0, np.round(-np.log2(np.maximum(p, 1e-300)) * STEP), -1).astype(np.int64))
-            cell, at = np.unique(np.stack((bucket(ctx), *cells)), axis=1, return_inverse=True)
-            n = np.bincount(at.ravel(), weights=d[use], minlength=cell.shape[1])
-            yield pa.RecordBatch.from_arrays([*[pa.array(x) for x in cell], pa.array(n)], names=["b", "q2", "q1", "n"])
+            for _, (c, d), (cv, dv), (cw, dw) in _pairs(blobs, m):
+                use = d > 0
+                if not use.any():
+                    continue
+                ctx = (cv - dv)[use]
+                cells = []
+                for p in (_ratio((c - d)[use], ctx), _ratio((cw - dw)[use], float(total))):
+                    cells.append(np.where(p > 0, np.round(-np.log2(np.maximum(p, 1e-300)) * STEP), -1).astype(np.int64))
+                cell, at = np.unique(np.stack((bucket(ctx), *cells)), axis=1, return_inverse=True)
+                n = np.bincount(at.ravel(), weights=d[use], minlength=cell.shape[1])
+                yield pa.RecordBatch.from_arrays([*[pa.array(x) for x in cell], pa.array(n)], names=["b", "q2", "q1", "n"])
 
     return run
 
@@ -303,30 +392,23 @@ def expectation_maximisation(cells: np.ndarray, classes: int, rounds: int = 40)
 
 
 def _partial_scores(head, weights: np.ndarray):
-    """Rows (chunk, data): what the pairs or rest words of one part add to the chunk's documents."""
+    """Rows (chunk, data): what the pairs and words of one part add to the chunk's documents."""
 
     def run(batches):
         m = head.value
-        total = float(m.c.sum())
-        l = np.where(m.c[:, None] > 0, weights[bucket(m.c)], 0)  # noqa: E741
-        empty = m.c == 0  # a context never seen: its bigram weight goes to the unigrams
-        if empty.any():
-            l[empty] = weights[0]
-            l[empty, 1] += l[empty, 2]
+        total = float(m.total)
+        unseen = weights[0] + np.array([0, weights[0, 2], 0])  # a context never seen: its bigram weight goes to the unigrams
         for blobs in _by(batches, 0):
-            chunks, key, c, _ = _merged(blobs, 0, m.classes)
-            v, w = (key // np.uint64(m.classes)).astype(np.int64), (key % np.uint64(m.classes)).astype(np.int64)
-            p = l[v, 2] * _ratio(c, m.c[v]) + l[v, 1] * _ratio(m.c[w], total) + l[v, 0] / m.classes
-            log_p = np.log10(p)
             out = []
-            for chunk, k, doc, cnt in chunks:
-                out.append((chunk, np.stack((np.bincount(doc, weights=cnt * log_p[np.searchsorted(key, k)]), *[np.zeros(int(doc.max()) + 1)] * 2))))
-            chunks, key, c, _ = _merged(blobs, 1, m.classes)
+            for chunks, (c, _), (cv, _), (cw, _) in _pairs(blobs, m):
+                l = np.where(cv[:, None] > 0, weights[bucket(cv)], unseen)  # noqa: E741
+                log_p = np.log10(l[:, 2] * _ratio(c, cv) + l[:, 1] * _ratio(cw, total) + l[:, 0] / m.classes)
+                for chunk, k, doc, cnt in chunks:
+                    out.append((chunk, np.stack((np.bincount(doc, weights=cnt * log_p[k]), *[np.zeros(int(doc.max()) + 1)] * 2))))
+            chunks, _, _, c, _ = _merged(blobs, WORD, m.slots)
             log_c = np.log10(c + 1.0)
-            rest = np.log10(float(m.c[m.rest]) + m.rest_distinct + 1.0)
             for chunk, k, doc, cnt in chunks:
-                i = np.searchsorted(key, k)
-                out.append((chunk, np.stack([np.bincount(doc, weights=cnt * x) for x in (log_c[i] - rest, c[i] > 0, log_c[i])])))
+                out.append((chunk, np.stack([np.bincount(doc, weights=cnt * x) for x in (np.zeros(len(k)), c[k] > 0, log_c[k])])))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([zlib.compress(x[1].tobytes(), 1) for x in out], pa.binary())], names=["chunk", "data"])
 
@@ -340,13 +422,13 @@ def _totals(head):
     def run(batches):
         m = head.value
         for rows in _by(batches, 0):
-            info = next(x[2] for x in rows if x[1] == 2)
+            info = next(x[2] for x in rows if x[1] == DOC)
             n = len(info) // 48
             doc = np.frombuffer(info, "<i8", n)
             tokens, known, base, null, fold = np.frombuffer(info, "<f8", 5 * n, 8 * n).reshape(5, n)
             sums = np.zeros((3, n))
             for _, kind, data in rows:
-                if kind != 2:
+                if kind != DOC:
                     part = np.frombuffer(zlib.decompress(data)).reshape(3, -1)
                     sums[:, : part.shape[1]] += part
             cols = [pa.array(doc, mask=null > 0), pa.array(fold == HELD), pa.array(tokens.astype(np.int64)), pa.array((known + sums[1]).astype(np.int64)), pa.array(np.full(n, m.total, np.int64)), pa.array(base + sums[2]), pa.array(sums[0])]
@@ -355,22 +437,34 @@ def _totals(head):
     return run
 
 
+_CELLS = "b bigint, q2 bigint, q1 bigint, n double"
+_PARTIAL = "chunk bigint, data binary"
+
+
 def score(docs: DataFrame, head_words: int = HEAD) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each document."""
     spark = docs.sparkSession
     keyed = folds(docs)
-    model = learn_head(keyed, head_words)
+    model, others = learn_head(keyed, head_words)
     head = spark.sparkContext.broadcast(model)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blobs = keyed.mapInArrow(_blobs(head, 2 * n), "part int, kind int, chunk bigint, data binary").repartition(n, "part").sortWithinPartitions("part", "chunk")
     blobs = blobs.persist(StorageLevel.DISK_ONLY)
-    cells = blobs.where("kind = 0").mapInArrow(_histogram(head), "b bigint, q2 bigint, q1 bigint, n double").groupBy("b", "q2", "q1").agg(F.sum("n").alias("n")).toArrow()
+    both = blobs.where(F.col("kind") == BOTH)
+    need = both.select("part", "data").mapInArrow(_words_of, "part int, w bigint").distinct()
+    counts = need.join(others, "w").select("part", "w", "c", "d").mapInArrow(_count_blobs, blobs.schema)
+    both = both.unionByName(counts).repartition(n, "part").sortWithinPartitions("part", "chunk").persist(StorageLevel.DISK_ONLY)
+    single = blobs.where(F.col("kind").isin(PAIR, WORD, SECOND, FIRST))
+    learn = _histogram(head)
+    cells = single.mapInArrow(learn, _CELLS).unionByName(both.mapInArrow(learn, _CELLS)).groupBy("b", "q2", "q1").agg(F.sum("n").alias("n")).toArrow()
     rows = np.stack([cells.column(x).to_numpy().astype(np.float64) for x in ("b", "q2", "q1", "n")], axis=1) if cells.num_rows else np.zeros((0, 4))
     weights = expectation_maximisation(rows, model.classes)
-    partial = blobs.where("kind < 2").mapInArrow(_partial_scores(head, weights), "chunk bigint, data binary")
-    every = partial.select("chunk", F.lit(0).alias("kind"), "data").unionByName(blobs.where("kind = 2").select("chunk", "kind", "data"))
+    add = _partial_scores(head, weights)
+    partial = single.mapInArrow(add, _PARTIAL).unionByName(both.mapInArrow(add, _PARTIAL))
+    every = partial.select("chunk", F.lit(PAIR).alias("kind"), "data").unionByName(blobs.where(F.col("kind") == DOC).select("chunk", "kind", "data"))
     schema = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     out = table(every.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_totals(head), schema), "scores")
+    both.unpersist()
     blobs.unpersist()
     return out
 
