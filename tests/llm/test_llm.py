@@ -186,6 +186,26 @@ def test_decontamination(spark, none):
     assert decontamination.contaminated(short, bench).count() == 1
 
 
+def test_decontamination_of_number_rich_items(spark):
+    item = "Sort the numbers 34 12 7 95 61 23 88 5 42 16 77 30"
+    bare = "34 12 7 95 61 23 88 5 42 16 77 30"
+    bench = spark.createDataFrame([(1, item), (2, bare + " 99")], "item_id long, text string")
+    rows = [(1, "so we ask. " + item + " now"), (2, "x " + bare + " 99 y"), (3, "1 2 3 4 5 6 7 8 9 10 11 12 13")]
+    got = decontamination.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench)
+    assert {(1, 1), (2, 2)} <= {(r.id, r.item) for r in got.collect()}
+    assert got.where("id = 3").count() == 0
+
+
+def test_decontamination_of_names_that_open_sentences(spark):
+    item = "Anna has 5 apples. Anna buys 3 more. Bob takes 2 of them. Bob eats 1 himself. Anna counts the rest now."
+    german = "der alte Mann sah den Hund und das kleine Kind im Garten neben dem Haus am Fluss"
+    bench = spark.createDataFrame([(1, item), (2, german)], "item_id long, text string")
+    wrapped = "".join(w + ("\n" if n[:1].isupper() else " ") for w, n in zip(german.split(), [*german.split()[1:], ""], strict=True))
+    rows = [(1, item.replace("Anna", "Carla").replace("Bob", "Tom").replace("5", "8")), (2, wrapped), (3, item.lower())]
+    got = {(r.id, r.item) for r in decontamination.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert {(1, 1), (2, 2)} <= got
+
+
 # --- 4
 
 

@@ -1,15 +1,19 @@
 """Operator 3: benchmark decontamination by template canonicalisation.
 
 Words are stripped of outer punctuation and lower-cased (A-Z); then numbers, units
-after a number and capitalised words inside a sentence become typed placeholders,
-so a question keeps its template when its figures and names are changed.  Windows
-of ``WINDOW`` template words are hashed and hash-joined with the benchmark's.
+after a number and capitalised words become typed placeholders, so a question keeps
+its template when its figures and names are changed.  A capitalised word that opens
+a row, a sentence or a line may be a name or not: windows are hashed in both
+readings, one of which doesn't depend on layout.  Windows of ``WINDOW`` template
+words are hashed and hash-joined with the benchmark's; a reading of fewer than
+``MIN_LITERALS`` words that are no placeholders is replaced by the exact words.
 
 Matches of a document and an item at one distance (place in the document minus
 place in the item) form a diagonal; its slots must be consistent: each benchmark
 value stands for one document value (share of values that do: ``CONSISTENT``).
+A diagonal counts with both readings, or else with the second alone.
 A document is contaminated by an item if windows on consistent diagonals cover
-``COVERAGE`` of the item's windows.  An item of fewer than ``WINDOW`` words is one
+``COVERAGE`` of the item's windows, or of those with ``MIN_LITERALS`` such words.  An item of fewer than ``WINDOW`` words is one
 window of its own length; items under ``MIN_WORDS`` words match nothing.
 
 The benchmark side is a fixed-size list: up to ``FILTER`` windows its hashes go
@@ -24,7 +28,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.llm import _text as tx
@@ -68,11 +72,11 @@ def _member(x: np.ndarray, table_: np.ndarray) -> np.ndarray:
     return table_[np.minimum(i, len(table_) - 1)] == x
 
 
-def canonical(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(template hash, value hash, is a slot, row) of every word."""
+def canonical(buf: np.ndarray, offs: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
+    """((template hash, is a slot) by reading: words that open a sentence or line are names, are none), value hash and row of every word."""
     s, e, row = tx.words(buf, offs)
     if not len(s):
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool), row
+        return [(np.zeros(0, np.uint64), np.zeros(0, bool))] * 2, np.zeros(0, np.uint64), row
     low = _LOWER[buf]
     place = np.flatnonzero(_ALNUM[buf])
     a = np.searchsorted(place, s)
@@ -90,16 +94,18 @@ def canonical(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     inside = np.zeros(len(s), bool)
     lines = np.concatenate(([0], np.cumsum(buf == 10)))
     inside[1:] = (row[1:] == row[:-1]) & ~_STOP[buf[e[:-1] - 1]] & (lines[s[1:]] == lines[e[:-1]])
-    name = upper & inside & ~number
     unit = np.zeros(len(s), bool)
     unit[1:] = number[:-1] & (row[1:] == row[:-1]) & ~number[1:] & _member(h[1:], _UNIT_HASHES)
-    name &= ~unit
-    t = h.copy()
-    t[number], t[name], t[unit] = NUMBER, NAME, UNIT
-    return t, h, number | name | unit, row
+    out = []
+    for name in (upper & ~number & ~unit, upper & inside & ~number & ~unit):
+        t = h.copy()
+        t[number], t[name], t[unit] = NUMBER, NAME, UNIT
+        out.append((t, number | name | unit))
+    return out, h, row
 
 
-_TYPE = "id bigint, h bigint, pos int, total int, w bigint, slots array<bigint>"
+EXACT = np.uint64(0x4444444444444444)
+_TYPE = "id bigint, h bigint, pos int, total int, rich int, is_rich boolean, wide boolean, w bigint, slots array<bigint>"
 
 
 def _windows(lengths: dict[int, np.ndarray | None], whole: bool):
@@ -109,26 +115,35 @@ def _windows(lengths: dict[int, np.ndarray | None], whole: bool):
         for b in batches:
             ids, hs = b.column(0), b.column(1)
             for lo, _, buf, offs in tx.parts(b.column(2)):
-                t, v, slot, row = canonical(buf, offs)
+                (wide, narrow), v, row = canonical(buf, offs)
                 count = np.bincount(row, minlength=len(offs) - 1)
                 first = np.cumsum(count) - count
-                literal = np.concatenate(([0], np.cumsum(~slot)))
+                literal = [np.concatenate(([0], np.cumsum(~slot))) for _, slot in (wide, narrow)]
                 for n, wanted in lengths.items():
-                    if len(t) < n:
+                    if len(v) < n:
                         continue
-                    w = tx.gram_hash(t, n) + np.uint64(n)
-                    ok = (row[: len(w)] == row[n - 1 :]) & (literal[n:] - literal[:-n] >= MIN_LITERALS)
+                    m = len(v) - n + 1
+                    ok = row[:m] == row[n - 1 :]
                     if whole:
-                        ok &= (count[row[: len(w)]] == n) if n < WINDOW else (count[row[: len(w)]] >= n)
-                    if wanted is not None:
-                        ok &= _member(w, wanted)
-                    i = np.flatnonzero(ok)
-                    if not len(i):
-                        continue
-                    r = row[i]
-                    slots = [v[x : x + n][slot[x : x + n]].view(np.int64) for x in i.tolist()]
-                    cols = [ids.take(pa.array(r + lo)), hs.take(pa.array(r + lo)), pa.array((i - first[r]).astype(np.int32)), pa.array((count[r] - n + 1).astype(np.int32)), pa.array(w[i].view(np.int64)), pa.array(slots, pa.list_(pa.int64()))]
-                    yield pa.RecordBatch.from_arrays(cols, names=["id", "h", "pos", "total", "w", "slots"])
+                        ok &= (count[row[:m]] == n) if n < WINDOW else (count[row[:m]] >= n)
+                    much = [x[n:] - x[:-n] >= MIN_LITERALS for x in literal]
+                    rich = np.bincount(row[:m], weights=ok & much[1], minlength=len(count)).astype(np.int32)
+                    by = [tx.gram_hash(t, n) + np.uint64(n) for t, _ in (wide, narrow)]
+                    exact = tx.mix(tx.gram_hash(v, n) + np.uint64(n) ^ EXACT)
+                    # narrow reading, wide reading where it differs, exact words where the wide one has few literals
+                    kinds = [(by[1], much[1], narrow[1], False), (by[0], much[0] & (by[0] != by[1]), wide[1], True), (exact, ~much[0], wide[1], True)]
+                    for w, use, slot, is_wide in kinds:
+                        use = ok & use
+                        if wanted is not None:
+                            use &= _member(w, wanted)
+                        i = np.flatnonzero(use)
+                        if not len(i):
+                            continue
+                        r = row[i]
+                        slots = [v[x : x + n][slot[x : x + n]].view(np.int64) for x in i.tolist()]
+                        cols = [ids.take(pa.array(r + lo)), hs.take(pa.array(r + lo)), pa.array((i - first[r]).astype(np.int32)), pa.array((count[r] - n + 1).astype(np.int32)), pa.array(rich[r])]
+                        cols += [pa.array(much[1][i]), pa.array(np.full(len(i), is_wide)), pa.array(w[i].view(np.int64)), pa.array(slots, pa.list_(pa.int64()))]
+                        yield pa.RecordBatch.from_arrays(cols, names=["id", "h", "pos", "total", "rich", "is_rich", "wide", "w", "slots"])
 
     return run
 
@@ -147,15 +162,28 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
         lengths = {n: w for n in lengths if n in have}
     keyed = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("h"), F.col("text"))
     wins = keyed.mapInArrow(_windows(lengths, False), _TYPE)
-    b = bounded(bench.select(F.col("id").alias("item"), F.col("h").alias("ih"), F.col("pos").alias("bpos"), "total", "w", F.col("slots").alias("bslots")), 200_000)
-    hit = wins.drop("total").join(b, "w").withColumn("gap", F.col("pos") - F.col("bpos"))
-    pairs = F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("bslots", "slots"))))
-    diag = hit.groupBy("id", "h", "item", "ih", "total", "gap").agg(F.collect_set("bpos").alias("at"), pairs.alias("p"))
-    values = F.size(F.array_distinct(F.transform("p", lambda x: x["bslots"])))
-    diag = diag.where((F.size("p") == 0) | (values >= consistent * F.size("p")))
+    of_item = ["total", "rich", "is_rich", F.col("wide").alias("bwide"), "w", F.col("slots").alias("bslots")]
+    b = bounded(bench.select(F.col("id").alias("item"), F.col("h").alias("ih"), F.col("pos").alias("bpos"), *of_item), 200_000)
+    hit = wins.drop("total", "rich", "is_rich").join(b, "w").withColumn("gap", F.col("pos") - F.col("bpos"))
+    narrow = ~F.col("wide") & ~F.col("bwide")
+    place, zipped = F.struct("bpos", "is_rich"), F.arrays_zip("bslots", "slots")
+
+    def pairs(of: Column) -> Column:
+        return F.array_distinct(F.flatten(F.collect_list(of)))
+
+    def consistent_(p: str) -> Column:
+        return (F.size(p) == 0) | (F.size(F.array_distinct(F.transform(p, lambda x: x["bslots"]))) >= consistent * F.size(p))
+
+    key = ["id", "h", "item", "ih", "total", "rich"]
+    diag = hit.groupBy(*key, "gap").agg(F.collect_set(place).alias("at"), pairs(zipped).alias("p"), F.collect_set(F.when(narrow, place)).alias("at1"), pairs(F.when(narrow, zipped)).alias("p1"))
+    both = consistent_("p")
+    diag = diag.where(both | consistent_("p1") & (F.size("at1") > 0))
+    diag = diag.select(*key, F.when(both, F.col("at")).otherwise(F.col("at1")).alias("at"), F.when(both, F.col("p")).otherwise(F.col("p1")).alias("p"))
     changed = F.size(F.filter("p", lambda x: x["bslots"] != x["slots"]))
-    per = diag.groupBy("id", "h", "item", "ih", "total").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("matched"), F.min(changed).alias("changed"))
-    per = per.withColumn("share", F.col("matched") / F.col("total")).where(F.col("share") >= coverage)
+    per = diag.groupBy(*key).agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"), F.min(changed).alias("changed"))
+    rich = F.size(F.filter("at", lambda x: x["is_rich"]))
+    share = F.greatest(F.size("at") / F.col("total"), F.when(F.col("rich") > 0, rich / F.col("rich")))
+    per = per.withColumn("matched", F.size("at")).withColumn("share", share).where(F.col("share") >= coverage)
     return per.groupBy("id", "h", "item").agg(F.max("matched").alias("matched"), F.max("share").alias("share"), F.min("changed").alias("changed"))
 
 
