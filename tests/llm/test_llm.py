@@ -311,6 +311,16 @@ def test_expressions(text, value):
     assert (got[1] if got else None) == pytest.approx(value)
 
 
+def test_long_and_unknown_expressions():
+    ac = licenses.automaton(licenses.phrase_table())
+    got = licenses.scan_text("SPDX-License-Identifier: " + "MIT AND " * 100 + "(GPL-3.0-only)\n", ac)
+    assert got[5] == "gpl-3.0-only,mit" and got[6] == pytest.approx(0.3)
+    got = licenses.scan_text("// SPDX-License-Identifier: MIT AND LicenseRef-Proprietary", ac)
+    assert got[5] == "licenseref-proprietary,mit" and got[6] == 0
+    assert licenses.evaluate("MIT OR EUPL-1.2") == (["mit", "eupl-1.2"], 1.0)
+    assert licenses.evaluate("OFL-1.1") == (["ofl-1.1"], 0.0)
+
+
 # --- 7
 
 

@@ -2,12 +2,16 @@
 
 One Aho-Corasick automaton over the words of a text finds notice phrases (a
 place is where all words of a phrase stand consecutively, overlaps included)
-and licence identifiers; ``SPDX-License-Identifier:`` tags are found in the raw
-text, and their expressions are read by a shunting-yard parser: WITH binds
+and the words of ``SPDX-License-Identifier`` tags.  Where these occur, the tags
+(with the colon, in the raw text) give expressions, each up to the end of its line
+or a ``*``, whatever its length, read by a shunting-yard parser: WITH binds
 tighter than AND, AND tighter than OR, parentheses group.  An expression's
 value is the permissiveness of its best permitted reading: OR takes the larger,
-AND the smaller operand, WITH adds an allowance.  A malformed expression yields
-its known identifiers as labels and the smallest of their values.
+AND the smaller operand, WITH adds an allowance.  Every identifier
+is a label; one of no known family is taken as ``UNKNOWN``, the most restrictive
+value.  A malformed expression yields its identifiers as labels and the smallest of
+their values.  A lone word of no known family is an identifier only with a ``-``
+or a digit in it; else it is prose and the tag is passed over.
 
 ``score`` is the smallest value over all expressions and phrases found (the
 licence that restricts most), 0 where none is found.
@@ -58,8 +62,10 @@ VALUES = {
     "cc-by-nd": 0.2, "cc-by-nc": 0.1, "all-rights-reserved": 0.0,
 }
 WITH_ALLOWANCE = 0.3
+UNKNOWN = 0.0
+TAG = "spdx license identifier"
 TYPE = "struct<n_words:bigint,n_base:bigint,first_word:bigint,last_word:bigint,base_labels:string,labels:string,score:double>"
-_TAG = re.compile(r"spdx-license-identifier:[ \t]*([^\n\r*]{1,400})")
+_TAG = re.compile(r"spdx-license-identifier:[ \t]*([^\n\r*]+)")
 _TOKEN = re.compile(r"[()]|[^\s()]+")
 #: A-Z lower-cased; every other ASCII byte outside 0-9 and a-z ends a word.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -110,7 +116,7 @@ def to_postfix(tokens: list[str]) -> list[str] | None:
 
 
 def evaluate(expression: str) -> tuple[list[str], float] | None:
-    """Labels and value of an expression; None if it names no known licence."""
+    """Labels and value of an expression; None if it names no licence."""
     tokens = _TOKEN.findall(expression.lower())
     # prose may follow an expression: it ends where two operands meet
     end, was = len(tokens), False
@@ -122,31 +128,35 @@ def evaluate(expression: str) -> tuple[list[str], float] | None:
         was = is_operand or t == ")"
     tokens = [t.rstrip(".,;") if t not in "()" else t for t in tokens[:end]]
     exceptions = {i + 1 for i, t in enumerate(tokens) if t == "with"}
-    labels = [t for i, t in enumerate(tokens) if i not in exceptions and t not in _PRECEDENCE and t not in "()" and value_of(t) is not None]
-    if not labels:
+    labels = [t for i, t in enumerate(tokens) if i not in exceptions and t not in _PRECEDENCE and t not in "()" and any(map(str.isalnum, t))]
+    if not any(value_of(x) is not None for x in labels) and (not labels or len(tokens) == 1 and not re.search(r"[-0-9]", labels[0])):
         return None
+
+    def value(x: str) -> float:
+        known = value_of(x)
+        return UNKNOWN if known is None else known
+
     post = to_postfix(tokens)
     if post is None:
-        return labels, min(value_of(x) for x in labels)
-    stack: list[float | None] = []
+        return labels, min(map(value, labels))
+    stack: list[float] = []
     for t in post:
         if t in _PRECEDENCE:
             b, a = stack.pop(), stack.pop()
             if t == "with":
-                stack.append(None if a is None else min(1.0, a + WITH_ALLOWANCE))
-            elif a is None or b is None:
-                stack.append(a if b is None else b)
+                stack.append(min(1.0, a + WITH_ALLOWANCE))
             else:
                 stack.append(max(a, b) if t == "or" else min(a, b))
         else:
-            stack.append(value_of(t))
-    return labels, 0.0 if stack[0] is None else stack[0]
+            stack.append(value(t))
+    return labels, stack[0]
 
 
 def automaton(phrases: dict[str, list[tuple[str, bool]]]) -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
     for phrase, labels in phrases.items():
         a.add_word(f" {phrase} ", (len(phrase) + 2, labels))
+    a.add_word(f"{TAG} ", (len(TAG) + 1, None))
     a.make_automaton()
     return a
 
@@ -166,8 +176,11 @@ def scan_text(text: str | None, ac: ahocorasick.Automaton) -> tuple:
     line = (b" " + b" ".join(ws) + b" ").decode("utf-8", "surrogatepass")
     base: set[str] = set()
     found: set[str] = set()
-    n_base, first, last, seen, words = 0, None, None, 0, 0
+    n_base, first, last, seen, words, tagged = 0, None, None, 0, 0, False
     for end, (length, labels) in ac.iter(line):
+        if labels is None:
+            tagged = True
+            continue
         start = end - length + 1
         for label, is_base in labels:
             found.add(label)
@@ -179,9 +192,8 @@ def scan_text(text: str | None, ac: ahocorasick.Automaton) -> tuple:
                 first = at if first is None else min(first, at)
                 last = at if last is None else max(last, at)
     values = [v for v in map(value_of, found) if v is not None]
-    lower = raw.translate(_LOWER)
-    if b"spdx-license-identifier:" in lower:
-        for m in _TAG.finditer(lower.decode("utf-8", "surrogatepass")):
+    if tagged:
+        for m in _TAG.finditer(raw.translate(_LOWER).decode("utf-8", "surrogatepass")):
             if got := evaluate(m[1]):
                 found.update(got[0])
                 values.append(got[1])
