@@ -40,12 +40,25 @@ def table(df: DataFrame, name: str = "t") -> DataFrame:
     schema = df.schema
     df.write.parquet(path)
     atexit.register(partial(_delete, spark, path))
+    _tidy(spark)
+    out = spark.read.schema(schema).parquet(path)
+    out._weft_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete written tables that no later plan reads: call it only once their successors are written."""
+    for t in tables:
+        if path := getattr(t, "_weft_path", None):
+            _delete(t.sparkSession, path)
+
+
+def _tidy(spark: SparkSession) -> None:
     # plans that only fed this table are garbage now: let the driver's cleaner drop their shuffle files
     if time.monotonic() - _freed[0] > 5:
         gc.collect()
         spark._jvm.System.gc()
         _freed[0] = time.monotonic()
-    return spark.read.schema(schema).parquet(path)
 
 
 def bounded(df: DataFrame, rows: int) -> DataFrame:
