@@ -2,13 +2,18 @@
 
 Texts stay UTF-8 bytes in one buffer; words are maximal runs of bytes other than
 space and ``\\x09-\\x0D`` (ASCII, so bytes and code points agree on them).
-Hashes are 64-bit; wherever equality decides a result across documents the
-operators compare the symbols themselves, hashes only bring candidates together.
+
+Hashes: ``span_hash`` mixes eight bytes a round by multiplication and xor-shift
+(spans over ``LONG`` bytes: blake2b), so no family of texts collides whatever the
+constants, as it does under a plain polynomial modulo 2**64; two different words
+agree with probability 2**-64.  ``rolling`` is such a polynomial: it only chooses
+and groups anchors, and what it brings together is compared by other means.
 """
 
 from __future__ import annotations
 
 import ctypes
+import hashlib
 
 import numpy as np
 import pyarrow as pa
@@ -16,20 +21,12 @@ import pyarrow.compute as pc
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BASE = 0x9E3779B97F4A7C15 | 1
+LONG = 128
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_MUL = np.uint64(0xD6E8FEB86659FD93)
+_BASE = 0x9E3779B97F4A7C15
 _TABLE = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n of the base and of its inverse modulo 2**64."""
-    if len(_powers[0]) <= n:
-        m = max(n + 1, 1 << 16)
-        for k, b in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            a = np.full(m, b, np.uint64)
-            a[0] = 1
-            _powers[k] = np.multiply.accumulate(a)
-    return _powers[0], _powers[1]
+_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -93,17 +90,54 @@ def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return s, np.flatnonzero(last) + 1, np.searchsorted(offs, s, side="right") - 1
 
 
-def prefix(buf: np.ndarray) -> np.ndarray:
-    """Running polynomial sums; ``span_hash`` reads any byte span's hash from them."""
-    p, _ = powers(len(buf))
-    out = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(_TABLE[buf] * p[: len(buf)], out=out[1:])
-    return out
+def digest64(data: bytes | memoryview) -> int:
+    """Eight bytes of blake2b as a number."""
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little")
 
 
-def span_hash(pre: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    _, inv = powers(len(pre))
-    return mix((pre[e] - pre[s]) * inv[s] + (e - s).astype(np.uint64))
+def span_hash(buf: np.ndarray, s: np.ndarray, e: np.ndarray, stretch: int = 1 << 18) -> np.ndarray:
+    """A 64-bit hash of each byte span [s, e), a bounded number of spans at a time."""
+    if not len(s):
+        return np.zeros(0, np.uint64)
+    padded = np.concatenate((buf, np.zeros(8, np.uint8)))
+    return np.concatenate([_span_hash(padded, s[i : i + stretch], e[i : i + stretch]) for i in range(0, len(s), stretch)])
+
+
+def _span_hash(padded: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    view = np.ndarray((len(padded) - 7,), "<u8", buffer=padded, strides=(1,))  # eight bytes from every place on
+    left = e - s
+    out = left.astype(np.uint64) * _ODD + np.uint64(1)
+    long = np.flatnonzero(left > LONG)
+    todo = np.flatnonzero(left <= LONG)
+    head, left, acc, at = s[todo], left[todo], out[todo], 0
+    while len(todo):  # eight bytes of every span that has more
+        c = view[head + at] & _MASKS[np.clip(left - at, 0, 8)]
+        acc = (acc ^ c) * _MUL
+        acc ^= acc >> np.uint64(32)
+        acc *= _ODD
+        acc ^= acc >> np.uint64(29)
+        more = left - at > 8
+        done = ~more
+        out[todo[done]] = acc[done]
+        todo, left, head, acc = todo[more], left[more], head[more], acc[more]
+        at += 8
+    for k in long.tolist():
+        out[k] = digest64(memoryview(padded)[int(s[k]) : int(e[k])])
+    return mix(out)
+
+
+def rolling(buf: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each run of ``n`` bytes (len(buf) - n + 1 values), from running sums."""
+    m = len(buf) - n + 1
+    if m <= 0:
+        return np.zeros(0, np.uint64)
+    p, q = (np.full(len(buf) + 1, b, np.uint64) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
+    p[0] = q[0] = 1
+    np.multiply.accumulate(p, out=p)
+    np.multiply.accumulate(q, out=q)
+    pre = np.zeros(len(buf) + 1, np.uint64)
+    np.cumsum(_TABLE[buf] * p[:-1], out=pre[1:])
+    return mix((pre[n:] - pre[:m]) * q[:m])
 
 
 def gram_hash(h: np.ndarray, n: int) -> np.ndarray:
@@ -111,15 +145,25 @@ def gram_hash(h: np.ndarray, n: int) -> np.ndarray:
     m = len(h) - n + 1
     if m <= 0:
         return np.zeros(0, np.uint64)
-    out = np.zeros(m, np.uint64)
+    out = np.full(m, n, np.uint64)
     for i in range(n):
-        out = out * np.uint64(_BASE) + h[i : i + m]
+        out = (out ^ h[i : i + m]) * _MUL
+        out ^= out >> np.uint64(32)
     return mix(out)
 
 
+def per_row(mask: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """How many true values each row has."""
+    out = np.zeros(len(offs) - 1, np.int64)
+    some = np.flatnonzero(offs[1:] > offs[:-1])
+    if len(some):
+        out[some] = np.add.reduceat(mask.view(np.uint8), offs[:-1][some], dtype=np.int64)
+    return out
+
+
 def covered(starts: np.ndarray, length: int, n: int) -> np.ndarray:
     """Which of ``n`` places lie in a window of ``length`` from one of ``starts``."""
-    d = np.zeros(n + 1, np.int64)
+    d = np.zeros(n + 1, np.int32)
     np.add.at(d, starts, 1)
     np.add.at(d, np.minimum(starts + length, n), -1)
     return np.cumsum(d[:-1]) > 0

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.plans.work import bounded, documents, split_join, table, work_dir
+from weftgraph.plans.work import bounded, documents, drop, split_join, table, work_dir
 
-__all__ = ["bounded", "documents", "packed", "split_join", "table", "work_dir"]
+__all__ = ["bounded", "documents", "drop", "packed", "split_join", "table", "work_dir"]
 
 
 def packed(docs: DataFrame, **keys: Column) -> DataFrame:

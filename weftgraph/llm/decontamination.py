@@ -59,7 +59,7 @@ def _hash_words(words: list[str]) -> np.ndarray:
     data = " ".join(words).encode()
     buf = np.frombuffer(data, np.uint8)
     s, e, _ = tx.words(buf, np.array([0, len(buf)]))
-    return np.sort(tx.span_hash(tx.prefix(buf), s, e))
+    return np.sort(tx.span_hash(buf, s, e))
 
 
 _UNIT_HASHES = _hash_words(list(UNITS))
@@ -84,7 +84,7 @@ def canonical(buf: np.ndarray, offs: np.ndarray) -> tuple[list[tuple[np.ndarray,
     some = z > a
     place = np.append(place, 0)
     cs, ce = np.where(some, place[np.minimum(a, len(place) - 1)], s), np.where(some, place[z - 1] + 1, e)
-    h = tx.span_hash(tx.prefix(low), cs, ce)
+    h = tx.span_hash(low, cs, ce)
     first = buf[cs]
     number = (first >= 48) & (first <= 57)
     second = buf[np.minimum(cs + 1, len(buf) - 1)]

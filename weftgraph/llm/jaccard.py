@@ -58,7 +58,7 @@ def run_sets(buf: np.ndarray, offs: np.ndarray, n: int = N):
     rows = len(offs) - 1
     if not len(s):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h = tx.span_hash(tx.prefix(buf), s, e)
+    h = tx.span_hash(buf, s, e)
     count = np.bincount(row, minlength=rows)
     grams = tx.gram_hash(h, n)
     ok = np.flatnonzero(row[: len(grams)] == row[n - 1 :]) if len(grams) else np.zeros(0, np.int64)

@@ -60,14 +60,7 @@ def folds(docs: DataFrame) -> DataFrame:
 
 def _hashes(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     s, e, row = tx.words(buf, offs)
-    if not len(s):
-        return np.zeros(0, np.uint64), row
-    out = []
-    step = 1 << 18
-    for i in range(0, len(s), step):  # prefix sums over bounded stretches
-        a, z = int(s[i]), int(e[min(i + step, len(s)) - 1])
-        out.append(tx.span_hash(tx.prefix(_LOWER[buf[a:z]]), s[i : i + step] - a, e[i : i + step] - a))
-    return np.concatenate(out), row
+    return tx.span_hash(_LOWER[buf], s, e), row
 
 
 def _unigrams(batches):

@@ -53,11 +53,6 @@ _PUNCT = ~(_LETTER | _DIGIT | tx.SPACE)
 _HEAD = (np.arange(256) & 0xC0) != 0x80
 
 
-def _per_row(mask: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    c = np.concatenate(([0], np.cumsum(mask)))
-    return c[offs[1:]] - c[offs[:-1]]
-
-
 def _features(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     n = len(offs) - 1
     out = np.zeros((len(FEATURES), n), np.int64)
@@ -65,32 +60,18 @@ def _features(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
         return out
     s, e, row = tx.words(buf, offs)
     out[0] = np.bincount(row, minlength=n)
-    out[1] = _per_row(_HEAD[buf] & ~tx.SPACE[buf], offs)
-    out[2] = _per_row(_SYMBOL[buf], offs)
-    out[5] = _per_row(_UPPER[buf], offs)
-    out[6] = _per_row(_PUNCT[buf], offs)
-    pre = tx.prefix(buf)
-    # lines: split at \n inside each row
-    nl = np.flatnonzero(buf == 10)
-    ls = np.sort(np.concatenate((offs[:-1], nl + 1)))
-    lrow = np.searchsorted(offs, np.concatenate((offs[:-1], nl)), side="right") - 1
-    lrow = np.sort(np.concatenate((np.arange(n), lrow[n:])))
-    le = np.concatenate((ls[1:] - 1, [len(buf)]))
-    last = np.concatenate((lrow[1:] != lrow[:-1], [True]))
-    le[last] = offs[lrow[last] + 1]
-    wc = np.concatenate(([0], np.cumsum(~tx.SPACE[buf])))
-    has = wc[le] > wc[ls]
-    lrow, ls, le = lrow[has], ls[has], le[has]
-    out[7] = np.bincount(lrow, minlength=n)
-    salt = tx.mix(np.arange(n, dtype=np.uint64) + np.uint64(77))
-    key = tx.span_hash(pre, ls, le) ^ salt[lrow]
-    _, first = np.unique(key, return_index=True)
-    out[3] = out[7] - np.bincount(lrow[first], minlength=n)
+    out[1] = tx.per_row(_HEAD[buf] & ~tx.SPACE[buf], offs)
+    out[2] = tx.per_row(_SYMBOL[buf], offs)
+    out[5] = tx.per_row(_UPPER[buf], offs)
+    out[6] = tx.per_row(_PUNCT[buf], offs)
+    for i, (lo, hi) in enumerate(zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)):
+        lines = [x for x in buf[lo:hi].tobytes().split(b"\n") if x and not x.isspace()]
+        out[7, i], out[3, i] = len(lines), len(lines) - len(set(lines))
     # words inside 5-word windows that occur twice or more in their row
-    h = tx.gram_hash(tx.span_hash(pre, s, e), 5)
+    h = tx.gram_hash(tx.span_hash(buf, s, e), 5)
     if len(h):
-        ok = row[4:] == row[: len(row) - 4]
-        at = np.flatnonzero(ok)
+        salt = tx.mix(np.arange(n, dtype=np.uint64) + np.uint64(77))
+        at = np.flatnonzero(row[4:] == row[: len(row) - 4])
         dup = at[tx.duplicated(h[at] ^ salt[row[at]])]
         out[4] = np.bincount(row[tx.covered(dup, 5, len(s))], minlength=n)
     return out
