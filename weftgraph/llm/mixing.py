@@ -5,32 +5,38 @@ and share the words of the whole corpus by weight; a source gets at most
 ``max_copies`` times its own words, and what it cannot take is shared again by
 weight until no source is above its limit.
 
-A source with target T and S words has every document expected ``T / S`` times:
-``floor(T / S)`` copies of each are certain, and the remaining words are filled
-by a Pareto sample.  A document with inclusion probability p (the fraction, times
-an optional ``propensity`` column, bounded below 1) and uniform number u gets the
-rank  (u / (1 - u)) / (p / (1 - p));  the lowest ranks are taken up to the
-remaining words, and one more document, the one that brings the total closest to
-the target, rounds it off.  u is a hash of the id, so reruns agree.
-
-Scale: only (id, source, size) rows are handled.  Ranks are cut into per-source
+A source with target T and S words gives every document ``floor(T / S)`` certain whole
+copies; the other R words are a Pareto sample with unequal probabilities.  A document's
+size measure is its number of words (or another whole number, ``measure``); its inclusion
+probability is p = lambda * measure, with lambda such that the expected words are R.
+Documents with p of 1 or more are taken for certain and the others rescaled, until none is
+above 1 (``_sources``).  The others are ranked by random odds over inclusion odds,
+(u / (1 - u)) / (p / (1 - p)).  The sample has a fixed size, in words: the lowest ranks are taken as
+long as they fit into R, and the one group among the next ones that brings the total closest rounds it off.
+u is a hash of the id and the text, so reruns agree.
+
+Scale: only (id, source, size, u) rows are handled.  Ranks are cut into per-source
 buckets of about ``BUCKET`` documents by value; bucket sums are aggregated and
 cumulated per source, and just the bucket where a source's target falls is
-ordered document by document, so a hot source never sits in one task.
+ordered, so a hot source never sits in one task.  What comes out is one
+row per source with its cut; documents meet it by broadcast, texts are never shuffled.
 
 Nulls: null text has size 0; null source is a source, null id is hashed as text
-'null'.  Ties of rank fall to the lower id, then size; rows equal in both are
-alike.  Documents of size 0 are taken floor(T / S) times 0 words = 0.  A source
-without words has target 0.  Empty table: no rows.  Other columns pass by.
+'null'.  Ties: rows equal in id, source and text are drawn together; of equal ranks the lower id
+(null first), then the smaller size is first.  Documents of size 0 add no words.  A source
+without words has target 0 and gives nothing.  Empty table: no rows.  Texts of any length count whole.
+Other columns pass by, whatever their names.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weftgraph.llm._work import bounded, documents, packed, table
+from weftgraph.llm._work import bounded, documents, drop, packed, table
 
 WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
@@ -71,67 +77,100 @@ def uniform(key: Column) -> Column:
     return (h.cast("double") + 0.5) / float(_TWO52)
 
 
-def plan(docs: DataFrame, id_col: str, source: Column, size: Column, propensity: Column | None = None, weights: tuple[int, ...] = WEIGHTS, max_copies: int = MAX_COPIES, seed: str = "mix") -> tuple[DataFrame, DataFrame]:
-    """(sizes with ranks and copies, sources).  Copies are in ``_copies``."""
-    base = docs.select(F.col(id_col).alias("_id"), source.alias("_src"), size.cast("long").alias("_size"), (F.lit(1.0) if propensity is None else propensity.cast("double")).alias("_prop"))
-    base = table(base, "sizes")
-    src = bounded(table(source_targets(base, weights, max_copies), "sources"), 100_000)
-    d = base.join(src.withColumnRenamed("_src", "_s2"), F.col("_src").eqNullSafe(F.col("_s2")), "left").drop("_s2")
+def draw(key: Column, text: Column, seed: str) -> Column:
+    """The uniform number of a document."""
+    return uniform(F.concat_ws(":", F.lit(seed), F.coalesce(key.cast("string"), F.lit("null")), F.md5(F.coalesce(text, F.lit("")).cast("binary"))))
+
+
+def _sources(base: DataFrame, weights: tuple[int, ...], max_copies: int) -> DataFrame:
+    """One row per source: ``source_targets`` with ``_whole`` copies, ``_need`` words beside them, ``_lam`` and ``_most``, the largest measure that isn't certain.
+
+    Rows per source and measure; from the largest measure on, those with p >= 1 are certain.
+    """
+    src = table(source_targets(base, weights, max_copies), "targets")
     rate = F.when(F.col("_total") > 0, F.col("_target") / F.col("_total")).otherwise(F.lit(0.0))
-    d = d.withColumn("_whole", F.floor(rate)).withColumn("_need", F.col("_target") - F.floor(rate) * F.col("_total"))
-    p = F.greatest(F.least((rate - F.floor(rate)) * F.coalesce(F.col("_prop"), F.lit(1.0)), F.lit(0.999999)), F.lit(1e-9))
-    u = uniform(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("_id").cast("string"), F.lit("null"))))
-    d = d.withColumn("_rank", (u / (F.lit(1.0) - u)) / (p / (F.lit(1.0) - p)))
+    src = src.withColumn("_whole", F.floor(rate)).withColumn("_need", F.col("_target") - F.floor(rate) * F.col("_total"))
+    big = "decimal(38,0)"
+    by = base.groupBy("_src", "_x").agg(F.sum("_size").alias("_w"), F.sum(F.col("_size").cast(big) * F.col("_x").cast("decimal(18,0)")).cast(big).alias("_wx"))
+    larger = W.partitionBy("_src").orderBy(F.col("_x").desc()).rowsBetween(W.unboundedPreceding, -1)
+    rest = W.partitionBy("_src").orderBy("_x").rowsBetween(W.unboundedPreceding, 0)
+    by = by.withColumn("_c", F.coalesce(F.sum("_w").over(larger), F.lit(0))).withColumn("_q", F.sum("_wx").over(rest).cast("double"))
+    by = by.where("_q > 0").withColumnRenamed("_src", "_s2").join(F.broadcast(src.select(F.col("_src").alias("_s3"), "_need")), F.col("_s2").eqNullSafe(F.col("_s3")))
+    by = by.withColumn("_lam", (F.col("_need") - F.col("_c")) / F.col("_q")).where("_lam * _x <= 1")
+    lam = by.groupBy("_s2").agg(F.max(F.struct("_x", "_lam")).alias("_m"))
+    out = src.join(lam, F.col("_src").eqNullSafe(F.col("_s2")), "left")
+    return out.select("_src", "_total", "_docs", "_target", "_whole", "_need", F.col("_m._lam").alias("_lam"), F.col("_m._x").alias("_most"))
+
+
+def _ranked(rows: DataFrame) -> DataFrame:
+    """Adds rank and bucket (certain ones: 0 and -1) to rows with the columns of their source."""
+    p = F.greatest(F.col("_lam") * F.col("_x"), F.lit(1e-12))
+    sure = F.coalesce((F.col("_x") > F.col("_most")) | (p >= 1), F.lit(False))
+    rank = (F.col("_u") / (F.lit(1.0) - F.col("_u"))) / (p / (F.lit(1.0) - p))
+    out = rows.withColumn("_rank", F.when(sure, F.lit(0.0)).otherwise(rank))
     buckets = F.ceil(F.col("_docs") / F.lit(BUCKET))
-    return d.withColumn("_b", F.floor(F.col("_rank") / (F.col("_rank") + 1.0) * buckets)), src
+    return out.withColumn("_b", F.when(sure, F.lit(-1)).otherwise(F.floor(F.col("_rank") / (F.col("_rank") + 1.0) * buckets)).cast("long"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", source: str | Column = "source", size: Column | None = None, **options) -> DataFrame:
-    """Rows (_id, _src, _size, _total, _target, _copies), one for each row of ``docs``."""
-    source = F.col(source) if isinstance(source, str) else source
-    d, _ = plan(docs, id_col, source, word_count(F.col("text")) if size is None else size, **options)
-    sums = d.groupBy("_src", "_b").agg(F.sum("_size").alias("_in"), F.first("_need").alias("_goal"))
+def _of_source(rows: DataFrame, cuts: DataFrame) -> DataFrame:
+    return rows.join(bounded(cuts.withColumnRenamed("_src", "_s2"), 100_000), F.col("_src").eqNullSafe(F.col("_s2")), "left").drop("_s2")
+
+
+def cuts(docs: DataFrame, id_col: str, source: Column, size: Column, text: Column, measure: Column | None = None, weights: tuple[int, ...] = WEIGHTS, max_copies: int = MAX_COPIES, seed: str = "mix") -> tuple[DataFrame, DataFrame]:
+    """(slim rows _id, _src, _size, _x, _u; one row per source that says which of them are taken)."""
+    base = docs.select(F.col(f"`{id_col}`").alias("_id"), source.alias("_src"), size.cast("long").alias("_size"), (size if measure is None else measure).cast("long").alias("_x"), draw(F.col(f"`{id_col}`"), text, seed).alias("_u"))
+    base = table(base, "sizes")
+    src = table(_sources(base, weights, max_copies), "sources")
+    d = _ranked(_of_source(base, src))
+    sums = d.where("_need > 0").groupBy("_src", "_b").agg(F.sum("_size").alias("_in"), F.first("_need").alias("_goal"))
     upto = W.partitionBy("_src").orderBy("_b")
     sums = sums.withColumn("_before", F.sum("_in").over(upto) - F.col("_in"))
-    edge = sums.where("_before < _goal AND _before + _in >= _goal").groupBy("_src").agg(F.min(F.struct("_b", "_before")).alias("_e"))
-    edge = bounded(table(edge.select(F.col("_src").alias("_s2"), F.col("_e._b").alias("_eb"), F.col("_e._before").alias("_eu")), "edges"), 100_000)
-    d = d.join(edge, F.col("_src").eqNullSafe(F.col("_s2")), "left").drop("_s2")
-    # sources whose remaining words are zero or all of theirs have no edge bucket
-    d = d.withColumn("_below", F.when(F.col("_eb").isNull(), F.col("_need") > 0).otherwise(F.col("_b") < F.col("_eb")))
-    inside = d.where("_b = _eb").withColumn("_cum", F.col("_eu") + F.sum("_size").over(W.partitionBy("_src", "_b").orderBy("_rank", "_id", "_size").rowsBetween(W.unboundedPreceding, 0)))
-    inside = inside.withColumn("_fits", F.col("_cum") <= F.col("_need"))
-    # past the edge only documents of the edge bucket or later may round the total; the edge bucket holds the crossing one
-    rest = inside.groupBy("_src").agg(
-        F.max(F.when(F.col("_fits"), F.col("_cum"))).alias("_got"),
-        F.first("_eu").alias("_eu2"),
-        F.first("_need").alias("_goal"),
-    )
-    rest = rest.select(F.col("_src").alias("_s2"), (F.col("_goal") - F.coalesce(F.col("_got"), F.col("_eu2"))).alias("_gap"))
-    rest = bounded(table(rest, "gaps"), 100_000)
-    late = inside.where("NOT _fits").join(rest, F.col("_src").eqNullSafe(F.col("_s2"))).where("_size > 0 AND abs(_gap - _size) < _gap")
-    one = late.groupBy("_src").agg(F.min(F.struct(F.abs(F.col("_gap") - F.col("_size")).alias("_d"), "_rank", "_id", "_size")).alias("_m"))
-    one = bounded(table(one.select(F.col("_src").alias("_s2"), F.col("_m._rank").alias("_mr"), F.col("_m._id").alias("_mi"), F.col("_m._size").alias("_ms")), "rounding"), 100_000)
-    inside = inside.join(one, F.col("_src").eqNullSafe(F.col("_s2")), "left")
-    same = (F.col("_rank") == F.col("_mr")) & F.col("_id").eqNullSafe(F.col("_mi")) & (F.col("_size") == F.col("_ms")) & ~F.col("_fits")
-    first_same = F.row_number().over(W.partitionBy("_src", "_b", "_rank", "_id", "_size").orderBy("_fits")) == 1
-    inside = inside.withColumn("_extra", F.when(F.col("_fits") | (F.coalesce(same, F.lit(False)) & first_same), 1).otherwise(0))
-    keep = ["_id", "_src", "_size", "_total", "_target", "_whole"]
-    outside = d.where("_eb IS NULL OR _b != _eb").withColumn("_extra", F.when(F.col("_below"), 1).otherwise(0))
-    out = outside.select(*keep, "_extra").unionByName(inside.select(*keep, "_extra"))
-    copies = F.least(F.col("_whole") + F.col("_extra"), F.lit(options.get("max_copies", MAX_COPIES))).cast("long")
-    return out.select("_id", "_src", "_size", "_total", "_target", copies.alias("_copies"))
-
-
-def mix_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with each row repeated as often as the mix takes it, columns unchanged."""
-    taken = mix(docs, id_col, **options).groupBy("_id", "_src", "_size").agg(F.sum("_copies").alias("_sum"), F.count("*").alias("_n"))
-    own = packed(docs, _k1=F.col(f"_row.{id_col}"), _k2=F.col("_row.source"), _k3=word_count(F.col("_row.text")))
-    w = W.partitionBy("_k1", "_k2", "_k3").orderBy(F.xxhash64("_row.text"))
-    own = own.withColumn("_i", F.row_number().over(w))
-    j = own.join(taken, F.col("_k1").eqNullSafe(F.col("_id")) & F.col("_k2").eqNullSafe(F.col("_src")) & (F.col("_k3") == F.col("_size")))
-    # rows equal in id, source and size share their copies: the first of them take the odd ones
-    n = F.floor(F.col("_sum") / F.col("_n")) + F.when(F.col("_i") <= F.col("_sum") % F.col("_n"), 1).otherwise(0)
-    return j.withColumn("_c", F.explode(F.sequence(F.lit(0), n.cast("int")))).where("_c > 0").select("_row.*")
+    edge = sums.where("_b >= 0 AND _before <= _goal AND _before + _in >= _goal").groupBy("_src").agg(F.min(F.struct("_b", "_before")).alias("_e"))
+    edge = table(edge.select("_src", F.col("_e._b").alias("_eb"), F.col("_e._before").alias("_eu")), "edges")
+    key = ["_rank", "_id", "_size"]
+    inside = _of_source(d, edge).where("_b = _eb").groupBy("_src", *key).agg(F.sum("_size").alias("_words"), F.first("_eu").alias("_eu"), F.first("_need").alias("_goal"))
+    inside = inside.withColumn("_cum", F.col("_eu") + F.sum("_words").over(W.partitionBy("_src").orderBy(*key).rowsBetween(W.unboundedPreceding, 0)))
+    inside = table(inside.withColumn("_fits", F.col("_cum") <= F.col("_goal")), "edge_rows")
+    got = inside.groupBy("_src").agg(F.max(F.when(F.col("_fits"), F.struct(*key))).alias("_cut"), (F.first("_goal") - F.coalesce(F.max(F.when(F.col("_fits"), F.col("_cum"))), F.first("_eu"))).alias("_gap"))
+    got = table(got, "gaps")
+    off = F.abs(F.col("_gap") - F.col("_words"))
+    late = _of_source(inside.where("NOT _fits AND _words > 0"), got.select("_src", "_gap")).where(off < F.col("_gap"))
+    one = late.groupBy("_src").agg(F.min(F.struct(off.alias("_d"), *key)).alias("_m")).select(F.col("_src").alias("_s1"), F.struct(*[F.col(f"_m.{k}") for k in key]).alias("_round"))
+    out = src
+    for name, part in (("_s3", edge.select("_src", "_eb")), ("_s4", got.select("_src", "_cut"))):
+        out = out.join(part.withColumnRenamed("_src", name), F.col("_src").eqNullSafe(F.col(name)), "left").drop(name)
+    out = table(out.join(one, F.col("_src").eqNullSafe(F.col("_s1")), "left").drop("_s1").withColumn("_limit", F.lit(max_copies)), "cuts")
+    drop(src, edge, inside, got)
+    return base, out
+
+
+def taken(rows: DataFrame, cut: DataFrame) -> DataFrame:
+    """Adds ``_copies`` to rows with _id, _src, _size, _x and _u."""
+    d = _ranked(_of_source(rows, cut))
+    key = F.struct("_rank", "_id", "_size")
+    at = F.col("_b") == F.col("_eb")
+    either = (F.col("_b") < F.col("_eb"), at & (key <= F.col("_cut")), at & key.eqNullSafe(F.col("_round")))
+    more = reduce(lambda x, y: x | y, [F.coalesce(c, F.lit(False)) for c in either])
+    return d.withColumn("_copies", F.least(F.col("_whole") + F.when(more, 1).otherwise(0), F.col("_limit")).cast("long"))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", source: str | Column = "source", size: Column | None = None, text: str = "text", **options) -> DataFrame:
+    """Rows (_id, _src, _size, _total, _target, _copies), one for each row of ``docs``."""
+    source = F.col(f"`{source}`") if isinstance(source, str) else source
+    base, cut = cuts(docs, id_col, source, word_count(F.col(f"`{text}`")) if size is None else size, F.col(f"`{text}`"), **options)
+    return taken(base, cut).select("_id", "_src", "_size", "_total", "_target", "_copies")
+
+
+def mix_documents(docs: DataFrame, id_col: str = "doc_id", seed: str = "mix", **options) -> DataFrame:
+    """``docs`` with each row repeated as often as the mix takes it, columns unchanged; texts stay where they are."""
+    row = packed(docs)
+    source, text = F.col("_row.source"), F.col("_row.text")
+    slim = row.select(F.col(f"_row.{id_col}").alias("doc_id"), source.alias("source"), text.alias("text"))
+    base, cut = cuts(slim, "doc_id", F.col("source"), word_count(F.col("text")), F.col("text"), seed=seed, **options)
+    own = row.select("_row", F.col(f"_row.{id_col}").alias("_id"), source.alias("_src"), word_count(text).alias("_size"), draw(F.col(f"_row.{id_col}"), text, seed).alias("_u")).withColumn("_x", F.col("_size"))
+    out = taken(own, cut).where("_copies > 0").select("_row", F.explode(F.array_repeat(F.lit(1), F.col("_copies").cast("int"))))
+    drop(base)
+    return out.select("_row.*")
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,26 +4,39 @@ from __future__ import annotations
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
-#: Pareto mix: targets by filling sources in order of limit over weight, ranks from md5 uniforms.
+#: Pareto mix: targets by filling sources in order of limit over weight, probabilities by words, ranks from md5 uniforms.
 OP1 = rf"""
-WITH d AS (SELECT doc_id AS id, source AS src, len({_WORDS}) AS size FROM documents),
+WITH d AS (SELECT doc_id AS id, source AS src, len({_WORDS}) AS size,
+  (CAST(('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, ''))), 1, 13)) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u FROM documents),
 s0 AS (SELECT src, CAST(sum(size) AS BIGINT) AS total, count(*) AS docs FROM d GROUP BY src),
 s1 AS (SELECT *, CASE (row_number() OVER (ORDER BY src NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END::DOUBLE AS w, CAST(total * 3 AS DOUBLE) AS lim FROM s0),
 s2 AS (SELECT *, sum(total) OVER () - coalesce(sum(lim) OVER b, 0) AS rest, sum(w) OVER () - coalesce(sum(w) OVER b, 0) AS wrest FROM s1
   WINDOW b AS (ORDER BY lim / w, src NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 s3 AS (SELECT *, rest / wrest AS share, lim <= w * (rest / wrest) AS fill FROM s2),
 lv AS (SELECT arg_min(share, lim / w) AS level FROM s3 WHERE NOT fill),
-s AS (SELECT src, total, CASE WHEN fill THEN lim ELSE w * level END AS target FROM s3, lv),
-r0 AS (SELECT d.*, s.total, s.target, CASE WHEN s.total > 0 THEN s.target / s.total ELSE 0.0 END AS rate,
-  (CAST(('0x' || substr(md5('mix:' || coalesce(CAST(d.id AS VARCHAR), 'null')), 1, 13)) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
-  FROM d JOIN s ON d.src IS NOT DISTINCT FROM s.src),
-r1 AS (SELECT *, greatest(least(rate - floor(rate), 0.999999::DOUBLE), 1e-9::DOUBLE) AS p, target - floor(rate) * total AS need FROM r0),
-r2 AS (SELECT *, (u / (1 - u)) / (p / (1 - p)) AS rk FROM r1),
-r3 AS (SELECT *, sum(size) OVER (PARTITION BY src ORDER BY rk, id, size ROWS UNBOUNDED PRECEDING) AS cum FROM r2),
-r4 AS (SELECT *, need > 0 AND cum <= need AS fits, need - coalesce(max(CASE WHEN need > 0 AND cum <= need THEN cum END) OVER (PARTITION BY src), 0) AS gap FROM r3),
-r5 AS (SELECT *, CASE WHEN need > 0 AND NOT fits AND size > 0 AND abs(gap - size) < gap THEN row_number() OVER (PARTITION BY src, (need > 0 AND NOT fits AND size > 0 AND abs(gap - size) < gap) ORDER BY abs(gap - size), rk, id, size) END AS o FROM r4)
-SELECT id AS doc_id, CAST(size AS BIGINT) AS size, total AS source_size, target,
-  CAST(least(floor(rate) + CASE WHEN fits OR o = 1 THEN 1 ELSE 0 END, 3) AS BIGINT) * size AS taken FROM r5
+s4 AS (SELECT src, total, docs, CASE WHEN fill THEN lim ELSE w * level END AS target FROM s3, lv),
+s5 AS (SELECT *, floor(CASE WHEN total > 0 THEN target / total ELSE 0.0::DOUBLE END) AS whole FROM s4),
+s6 AS (SELECT *, target - whole * total AS need FROM s5),
+z0 AS (SELECT src, size, sum(size) AS w, sum(CAST(size AS HUGEINT) * size) AS wx FROM d GROUP BY src, size),
+z1 AS (SELECT src, size, coalesce(sum(w) OVER (PARTITION BY src ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c,
+  CAST(sum(wx) OVER (PARTITION BY src ORDER BY size ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS q FROM z0),
+z2 AS (SELECT z1.src, z1.size, (need - c) / q AS lam FROM z1 JOIN s6 ON z1.src IS NOT DISTINCT FROM s6.src WHERE q > 0),
+z AS (SELECT src, max(size) AS most, arg_max(lam, size) AS lam FROM z2 WHERE lam * size <= 1 GROUP BY src),
+r0 AS (SELECT d.*, total, docs, target, whole, need, most, greatest(lam * size, 1e-12::DOUBLE) AS p FROM d JOIN s6 ON d.src IS NOT DISTINCT FROM s6.src LEFT JOIN z ON z.src IS NOT DISTINCT FROM d.src),
+r1 AS (SELECT *, coalesce(size > most OR p >= 1, false) AS sure FROM r0),
+r2 AS (SELECT *, CASE WHEN sure THEN 0.0 ELSE (u / (1 - u)) / (p / (1 - p)) END AS rk FROM r1),
+r3 AS (SELECT *, CASE WHEN sure THEN -1 ELSE floor(rk / (rk + 1) * ceil(docs / 4096.0::DOUBLE)) END AS b FROM r2),
+g0 AS (SELECT src, b, rk, id, size, any_value(need) AS need, sum(size) AS words FROM r3 WHERE need > 0 GROUP BY src, b, rk, id, size),
+g1 AS (SELECT *, sum(words) OVER (PARTITION BY src ORDER BY b, rk, id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) AS cum,
+  sum(words) OVER (PARTITION BY src ORDER BY b RANGE UNBOUNDED PRECEDING) AS upto, sum(words) OVER (PARTITION BY src, b) AS here FROM g0),
+e AS (SELECT src, min(b) AS eb FROM g1 WHERE b >= 0 AND upto - here <= need AND upto >= need GROUP BY src),
+g2 AS (SELECT g1.*, eb, b < eb OR b = eb AND cum <= need AS fits FROM g1 JOIN e ON g1.src IS NOT DISTINCT FROM e.src),
+g3 AS (SELECT *, need - coalesce(max(CASE WHEN fits THEN cum END) OVER (PARTITION BY src), 0) AS gap FROM g2),
+g4 AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY abs(gap - words), rk, id NULLS FIRST, size) AS o FROM g3 WHERE b = eb AND NOT fits AND words > 0 AND abs(gap - words) < gap),
+t AS (SELECT src, b, rk, id, size FROM g3 WHERE fits UNION ALL SELECT src, b, rk, id, size FROM g4 WHERE o = 1)
+SELECT r3.id AS doc_id, CAST(r3.size AS BIGINT) AS size, total AS source_size, target,
+  CAST(least(whole + CASE WHEN t.b IS NULL THEN 0 ELSE 1 END, 3) AS BIGINT) * r3.size AS taken
+FROM r3 LEFT JOIN t ON t.src IS NOT DISTINCT FROM r3.src AND t.b = r3.b AND t.rk = r3.rk AND t.id IS NOT DISTINCT FROM r3.id AND t.size = r3.size
 """
 
 #: Substring dedup: every 35-word window written out.
