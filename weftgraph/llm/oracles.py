@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from weftgraph.llm.quality import ALPHA, BASE_RISKS, DELTA, RULES
+
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 #: Pareto mix: targets by filling sources in order of limit over weight, probabilities by words, ranks from md5 uniforms.
@@ -50,6 +52,45 @@ k AS (SELECT r, count(*) AS n, CAST(sum(gone) AS BIGINT) AS m, string_agg(wd, '
 SELECT doc_id, coalesce(n, 0) AS n_words, coalesce(m, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN k USING (r)
 """
 
+_RULES = list(RULES.values())
+_VALUES = ", ".join(f"CAST({expr} AS DOUBLE)" for expr, _ in _RULES)
+_GRID = ", ".join(f"({i}, {j}, {c}::DOUBLE)" for i, (_, grid) in enumerate(_RULES, 1) for j, c in enumerate(grid))
+_RISKS = ", ".join(f"({ALPHA}::DOUBLE * {x}::DOUBLE)" for x in BASE_RISKS)
+
+
+def _proved(k: str, n: str, risk: str, level: str) -> str:
+    """The binomial test as SQL: all terms of the distribution function."""
+    cdf = f"list_sum(list_transform(range(0, {k} + 1), lambda i: exp(lgamma({n} + 1) - lgamma(i + 1) - lgamma({n} - i + 1) + i * ln({risk}) + ({n} - i) * ln(1 - {risk}))))"
+    return f"({n} > 0 AND {k} < {n} * {risk} AND {cdf} <= {level})"
+
+
+#: Quality rules: features, trials by distinct text, binomial bounds, cutoffs, verdicts.
+OP7 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t, {_WORDS} AS ws FROM documents),
+ln AS (SELECT r, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+win AS (SELECT r, i, array_to_string(ws[i : i + 4], ' ') AS g FROM (SELECT r, ws, unnest(generate_series(1, len(ws) - 4)) AS i FROM d WHERE len(ws) >= 5)),
+dup AS (SELECT win.r, i FROM win JOIN (SELECT r, g FROM win GROUP BY r, g HAVING count(*) > 1) x ON x.r = win.r AND x.g = win.g),
+rep AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest(generate_series(i, i + 4)) AS j FROM dup) GROUP BY r),
+f AS (SELECT d.r, doc_id, lang, t, struct_pack(n_words := len(ws), word_chars := length(array_to_string(ws, '')), n_symbols := len(regexp_extract_all(t, '[#*$%&|<>]')),
+  n_dup_lines := len(ls) - len(list_distinct(ls)), n_repeat_words := coalesce(n, 0), n_upper := len(regexp_extract_all(t, '[A-Z]')),
+  n_punct := len(regexp_extract_all(t, '[\x00-\x08\x0E-\x1F\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]')), n_lines := len(ls)) AS _f FROM d JOIN ln ON ln.r = d.r LEFT JOIN rep ON rep.r = d.r),
+v AS (SELECT *, _f.n_words < 10 OR 100 * _f.n_repeat_words > 20 * _f.n_words AS base, [{_VALUES}] AS vs FROM f),
+m AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS g FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
+tr AS (SELECT lang, t, any_value(base) AS base, any_value(vs) AS vs, max(g) AS g FROM v JOIN m ON m.doc_id = v.doc_id GROUP BY lang, t),
+st AS (SELECT lang, CAST(sum(g) AS BIGINT) AS n, CAST(sum(CASE WHEN base THEN g ELSE 0 END) AS BIGINT) AS lost, {DELTA}::DOUBLE / (count(*) OVER () * {len(_RULES) + 1}) AS level FROM tr GROUP BY lang),
+br AS (SELECT lang, min(x) AS b FROM st, (SELECT unnest([{_RISKS}]) AS x) WHERE {_proved("lost", "n", "x", f"level / {len(BASE_RISKS)}")} GROUP BY lang),
+sr AS (SELECT st.*, ({ALPHA}::DOUBLE - b) / {len(_RULES)} AS risk FROM st JOIN br ON br.lang IS NOT DISTINCT FROM st.lang WHERE b < {ALPHA}),
+gr(rule, i, cut) AS (VALUES {_GRID}),
+k AS (SELECT sr.lang, rule, i, cut, any_value(n) AS n, any_value(risk) AS risk, any_value(level) AS level,
+  count(CASE WHEN NOT base AND vs[rule] > cut AND g = 1 THEN 1 END) AS k, count(CASE WHEN NOT base AND vs[rule] > cut AND g = 0 THEN 1 END) AS b
+  FROM sr JOIN tr ON tr.lang IS NOT DISTINCT FROM sr.lang CROSS JOIN gr GROUP BY sr.lang, rule, i, cut),
+ok AS (SELECT *, bool_and({_proved("k", "n", "risk", "level")}) OVER (PARTITION BY lang, rule ORDER BY i) AS safe FROM k),
+c AS (SELECT lang, rule, arg_max(cut, (b - k) * 1000 - i) AS cut FROM ok WHERE safe AND b > k GROUP BY lang, rule),
+j AS (SELECT v.r, bool_or(vs[rule] > cut) AS hit FROM v JOIN c ON c.lang IS NOT DISTINCT FROM v.lang GROUP BY v.r)
+SELECT doc_id, CAST(_f.n_words AS BIGINT) AS n_words, CAST(_f.word_chars AS BIGINT) AS word_chars, CAST(_f.n_symbols AS BIGINT) AS n_symbols, CAST(_f.n_dup_lines AS BIGINT) AS n_dup_lines,
+  CAST(_f.n_repeat_words AS BIGINT) AS n_repeat_words, base AS base_failed, NOT base AND NOT coalesce(hit, false) AS kept FROM v LEFT JOIN j ON j.r = v.r
+"""
+
 #: Jaccard join: all intersections by a join on 5-word runs, classes by recursion.
 OP8 = rf"""
 WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS ws FROM documents),

@@ -4,17 +4,23 @@ Each rule is a number per document that grows with badness.  For every stratum
 (``lang``) and rule a cutoff is chosen from a fixed grid, going from the
 loosest to stricter ones as long as the labelled holdout proves, by an exact
 one-sided binomial (Clopper-Pearson) test, that the share of good documents
-above the cutoff is under ``alpha / rules``.  The level ``delta`` is divided by
-strata x rules (Bonferroni); walking the grid in a fixed order and stopping at
+above the cutoff is under the rule's part of the risk.  The base rules are fixed and reject good
+documents too: the smallest of ``BASE_RISKS`` that their share is proved to stay under is taken off ``alpha`` first,
+the rest is shared by the rules; a stratum where nothing is left gets no cutoffs.
+The level ``delta`` is divided by strata x (rules + 1) (Bonferroni), for the base by its grid too;
+walking a rule's grid in a fixed order and stopping at
 the first failure needs no further correction.  So with probability 1 - delta
-no stratum loses more than ``alpha`` of its good documents to all rules.
+no stratum with cutoffs loses more than ``alpha`` of its good documents to all rules, base rules included.
+
+Trials: one for each distinct text of a stratum, however many rows, copies or labels it has,
+so repeating rows proves nothing; a text is good if any of its labels says so (which can only raise the counted risk).
 
 Nulls: a null text counts as empty (no words, so it fails the base rules); a
 null stratum is a stratum of its own; labels with a null id, quality or no
-document are ignored.  Several label rows for one document each count; they are
-first summed per document.  Ties at a cutoff are kept (a rule rejects strictly
+document are ignored.  Ties at a cutoff are kept (a rule rejects strictly
 above it).  Repeated document rows get equal results.  A stratum without enough
-labels gets no cutoffs: only base rules reject there.  Other columns pass by.
+labels gets no cutoffs: only base rules reject there.  Texts of any length are counted whole, in about six
+bytes a byte.  Empty tables: no rows, or no cutoffs.  Other columns pass by, whatever their names.
 """
 
 from __future__ import annotations
@@ -45,6 +51,8 @@ RULES: dict[str, tuple[str, tuple[float, ...]]] = {
     "short_text": ("1 / greatest(_f.n_words, 1)", (0.1, 0.07, 0.05, 0.04, 0.03, 0.02)),
 }
 ALPHA, DELTA = 0.05, 0.05
+#: Shares of ``alpha`` that may go to the base rules.
+BASE_RISKS = (0.0625, 0.125, 0.25, 0.5, 0.75)
 _SYMBOL = np.isin(np.arange(256), np.frombuffer(SYMBOLS, np.uint8))
 _UPPER = (np.arange(256) >= 65) & (np.arange(256) <= 90)
 _LETTER = _UPPER | ((np.arange(256) >= 97) & (np.arange(256) <= 122)) | (np.arange(256) >= 128)
@@ -94,45 +102,59 @@ def base_failed(f: str = "_f") -> Column:
 
 
 def binomial_cdf(k: int, n: int, p: float) -> float:
-    """P(X <= k) for X ~ Bin(n, p), summed exactly in log space."""
+    """P(X <= k) for X ~ Bin(n, p), summed in log space from k down; terms 40 standard deviations below add nothing."""
     if k >= n:
         return 1.0
-    lp, lq, top = math.log(p), math.log1p(-p), math.lgamma(n + 1)
-    i = np.arange(k + 1)
-    lg = np.array([math.lgamma(x + 1) + math.lgamma(n - x + 1) for x in i])
-    return float(min(1.0, np.exp(top - lg + i * lp + (n - i) * lq).sum()))
+    top = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p)
+    i = np.arange(k, max(0, k - 1000 - int(40 * math.sqrt(n * p * (1 - p)))), -1)
+    down = np.cumsum(np.log(i * (1 - p)) - np.log((n - i + 1) * p))  # from i to i - 1
+    return float(min(1.0, np.exp(top) + np.exp(top + down).sum()))
+
+
+def proved(k: int, n: int, risk: float, level: float) -> bool:
+    """Whether k rejections of n good documents prove, at this level, that the share is under ``risk``."""
+    return n > 0 and k < n * risk and binomial_cdf(int(k), int(n), risk) <= level
 
 
-def cutoff(grid: tuple[float, ...], good: list[int], bad: list[int], n: int, alpha: float, delta: float) -> float | None:
+def cutoff(grid: tuple[float, ...], good: list[int], bad: list[int], n: int, risk: float, level: float) -> float | None:
     """Of the cutoffs proved safe, the loosest that rejects the most bad over good documents; None if none gains."""
     best, chosen = 0, None
     for cut, k, b in zip(grid, good, bad, strict=True):
-        if n == 0 or binomial_cdf(int(k), int(n), alpha) > delta:
+        if not proved(k, n, risk, level):
             break
         if b - k > best:
             best, chosen = b - k, cut
     return chosen
 
 
+def base_risk(k: int, n: int, alpha: float, level: float) -> float:
+    """The risk to set aside for the base rules: the smallest of the grid that is proved, else all of it."""
+    return next((alpha * x for x in BASE_RISKS if proved(k, n, alpha * x, level / len(BASE_RISKS))), alpha)
+
+
 def feature_table(docs: DataFrame, stratum: str = "lang") -> DataFrame:
-    """(_id, _s, _f) of every document: written once, so joins with labels never move texts."""
-    return table(docs.select(F.col("doc_id").alias("_id"), F.col(stratum).alias("_s"), features(F.col("text")).alias("_f")), "features")
+    """(_id, _h, _s, _f) of every document: written once, so joins with labels never move texts."""
+    return table(docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_h"), F.col(f"`{stratum}`").alias("_s"), features(F.col("text")).alias("_f")), "features")
 
 
 def thresholds(feats: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """One row per stratum of ``feature_table``: ``_s`` and ``_cut``, an array with a cutoff (or null) for each rule."""
-    marks = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").alias("_id"))
-    marks = marks.agg(F.sum(F.expr("IF(quality = 1, 1, 0)")).alias("_good"), F.sum(F.expr("IF(quality = 1, 0, 1)")).alias("_bad"))
-    held = feats.where(~base_failed()).join(marks, "_id")
-    counts = [F.sum(F.expr(f"IF({expr} > {c}D, {kind}, 0)")).alias(f"{name}{kind}{i}") for name, (expr, grid) in RULES.items() for i, c in enumerate(grid) for kind in ("_good", "_bad")]
-    summed = held.groupBy("_s").agg(F.sum("_good").alias("_n"), *counts)
-    summed = table(summed, "holdout")
-    per_rule, level = alpha / len(RULES), delta / (max(1, summed.count()) * len(RULES))
+    marks = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.col("quality") == 1).alias("_g"))
+    trials = feats.join(marks, "_id").groupBy("_s", "_h", "_f").agg(F.max("_g").alias("_g"))
+    trials = trials.withColumn("_good", F.col("_g").cast("int")).withColumn("_bad", 1 - F.col("_good")).withColumn("_base", base_failed())
+    counts = [F.sum(F.expr(f"IF(NOT _base AND {expr} > {c}D, {kind}, 0)")).alias(f"{name}{kind}{i}") for name, (expr, grid) in RULES.items() for i, c in enumerate(grid) for kind in ("_good", "_bad")]
+    summed = table(trials.groupBy("_s").agg(F.sum("_good").alias("_n"), F.sum(F.expr("IF(_base, _good, 0)")).alias("_lost"), *counts), "holdout")
+    level = delta / (max(1, summed.count()) * (len(RULES) + 1))
 
     def choose(batches):
         for b in batches:
-            cut = [[cutoff(grid, *[[r[f"{name}{kind}{i}"] for i in range(len(grid))] for kind in ("_good", "_bad")], r["_n"] or 0, per_rule, level) for name, (_, grid) in RULES.items()] for r in b.to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("_s")), pa.array(cut, pa.list_(pa.float64()))], names=["_s", "_cut"])
+            cuts = []
+            for r in b.to_pylist():
+                n = r["_n"] or 0
+                left = alpha - base_risk(r["_lost"] or 0, n, alpha, level)
+                risk = left / len(RULES)
+                cuts.append([cutoff(grid, *[[r[f"{name}{kind}{i}"] for i in range(len(grid))] for kind in ("_good", "_bad")], n, risk, level) if left > 0 else None for name, (_, grid) in RULES.items()])
+            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("_s")), pa.array(cuts, pa.list_(pa.float64()))], names=["_s", "_cut"])
 
     return summed.mapInArrow(choose, f"_s {dict(feats.dtypes)['_s']}, _cut array<double>")
 
@@ -146,10 +168,11 @@ def judge(rows: DataFrame, stratum: str, cuts: DataFrame) -> DataFrame:
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """The rows of ``docs`` that pass base rules and thresholds, columns unchanged."""
-    cuts = table(thresholds(feature_table(docs, stratum), labels, alpha, delta), "cuts")
-    rows = packed(docs, _f=features(F.col("_row.text")), _stratum=F.col(f"_row.{stratum}"))
-    return judge(rows, "_stratum", cuts).where("_kept").select("_row.*")
+    """The rows of ``docs`` that pass base rules and thresholds, columns unchanged; one pass counts the features."""
+    text = F.col("_row.text")
+    rows = table(packed(docs, _id=F.col("_row.doc_id"), _h=F.xxhash64(text), _s=F.col(f"_row.`{stratum}`"), _f=features(text)), "judged")
+    cuts = table(thresholds(rows.select("_id", "_h", "_s", "_f"), labels, alpha, delta), "cuts")
+    return judge(rows, "_s", cuts).where("_kept").select("_row.*")
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

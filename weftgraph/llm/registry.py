@@ -20,5 +20,6 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op1_pareto_mix": oracles.OP1,
     "op2_substring_dedup": oracles.OP2,
+    "op7_quality_rules": oracles.OP7,
     "op8_jaccard_join": oracles.OP8,
 }
