@@ -18,16 +18,21 @@ Scale: a chunk of texts turns into sorted count blobs, one for each hash part of
 distinct word pairs, with the documents each occurs in; one shuffle by part brings
 all counts of a pair together, and the task that knows its count adds its
 log-probability to the documents of every chunk.  A pair in a third of all
-documents costs two bytes a document.  The ``HEAD`` most frequent words at most (all
+documents costs two bytes a document.  The number of parts follows from the number of tokens
+(``PART_TOKENS`` a task).  The ``HEAD`` most frequent words at most (all
 words down to one count) are a broadcast table that spares space and changes no score:
 their pairs carry short numbers.  Every other word goes by its 64-bit hash: a pair
 with one such word meets the word's counts in its part, a pair of two is joined with
 the table of words.  Such a word has at most 1 / ``HEAD`` of all tokens.
-Only the head, the counts of counts and the histogram reach the driver.  The pair blobs are kept on disk between the two passes and made again
-from their lineage if an executor goes.
+Only the head, the counts of counts and the histogram reach the driver.
+
+The texts are read three times (words, counts for the weights, scores) instead of keeping the
+blobs; so ``docs`` must give the same rows in the same order each time, as a scan of files does.
+``stable=False`` writes them first.  Nothing is cached: a lost executor's share is read again.
 
 Nulls and empty texts: one token, the end.  Empty table: no rows.  Repeated rows
-count and are scored each.  Other columns pass by.
+count and are scored each.  Ties: equal counts share a bucket, sums are taken in a fixed order.  Texts of any
+length are scored whole.  Other columns pass by, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,14 +42,14 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.llm import _text as tx
-from weftgraph.llm._work import documents, table
+from weftgraph.llm._work import documents, drop, table
 
-HEAD = 1 << 20
+HEAD = 1 << 18
+PART_TOKENS = 1 << 21
 FOLDS, HELD, DELETED = 7, 2, 3
 CHUNK = 8 << 20
 STEP = 4.0  # histogram cells per factor of two
@@ -178,12 +183,25 @@ def _split(part: np.ndarray, key, train, deleted, docs, doc, cnt):
 PAIR, WORD, DOC, SECOND, FIRST, BOTH, COUNTS = range(7)
 
 
-def _blobs(head, parts: int):
-    """Rows (part, kind, chunk, data): pairs and words outside the head by part, documents under part -1."""
+def _blobs(head, parts: int, learn: bool):
+    """Rows (part, kind, chunk, data): pairs and words outside the head by part, and the documents.
+
+    To ``learn`` only counts in training documents go out, but for pairs of two words outside
+    the head, which carry all; to score all other kinds carry all.
+    """
 
     def of(x: np.ndarray) -> np.ndarray:
         return (tx.mix(x) % np.uint64(parts)).astype(np.int64)
 
+    def thin(kind: int, arrays: list) -> list:
+        """Without documents, and without pairs and words that don't train."""
+        if not learn or kind == BOTH:
+            return arrays
+        *names, train, deleted, _, _, _ = arrays
+        use = train > 0
+        z = np.zeros(0, np.int64)
+        return [*[x[use] for x in (*names, train, deleted)], z, z, z]
+
     def run(batches):
         from pyspark import TaskContext
 
@@ -213,21 +231,29 @@ def _blobs(head, parts: int):
                 part = np.where(tail[v], of(u[v]), np.where(tail[w], of(u[w]), of((short[v] * m.slots + short[w]).astype(np.uint64))))
                 for p, key, *rest in _split(kind * parts + part, *got):
                     k, p = divmod(p, parts)
+                    if k == BOTH and not learn:
+                        continue
                     v, w = key // size, key % size
                     v, w = u[v] if k in (FIRST, BOTH) else short[v], u[w] if k in (SECOND, BOTH) else short[w]
-                    out.append((p, k, _pack(np.diff(v, prepend=0) if k == PAIR else v, w, *rest)))
+                    v, *rest = thin(k, [v, w, *rest])
+                    if len(v):
+                        out.append((p, k, _pack(np.diff(v, prepend=0) if k == PAIR else v, *rest)))
                 out_words = tail[local]
                 got = _grouped(h[out_words], row[out_words], f)
                 for p, key, *rest in _split(of(got[0]), *got):
-                    out.append((p, WORD, _pack(key, *rest)))
-                known = m.c[short[token]] > 0
-                base = np.where(tail[token], 0.0, log_c[short[token]]) - np.log10(m.total + m.distinct + 1.0)
-                info = np.stack((words + 1.0, np.bincount(doc, weights=known, minlength=rows), np.bincount(doc, weights=base, minlength=rows)))
-                names = ids.slice(lo, rows)
-                null = np.asarray(names.is_null().to_numpy(zero_copy_only=False), np.float64)
-                name = names.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8")
-                out.append((-1, DOC, name.tobytes() + np.concatenate((info, [null, f.astype(np.float64)])).astype("<f8").tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int32()), pa.array([chunk] * len(out), pa.int64()), pa.array([x[2] for x in out], pa.binary())], names=["part", "kind", "chunk", "data"])
+                    key, *rest = thin(WORD, [key, *rest])
+                    if len(key):
+                        out.append((p, WORD, _pack(key, *rest)))
+                if not learn:
+                    known = m.c[short[token]] > 0
+                    base = np.where(tail[token], 0.0, log_c[short[token]]) - np.log10(m.total + m.distinct + 1.0)
+                    info = np.stack((words + 1.0, np.bincount(doc, weights=known, minlength=rows), np.bincount(doc, weights=base, minlength=rows)))
+                    names = ids.slice(lo, rows)
+                    null = np.asarray(names.is_null().to_numpy(zero_copy_only=False), np.float64)
+                    name = names.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8")
+                    out.append((chunk % (1 << 24) + (chunk >> 24), DOC, name.tobytes() + np.concatenate((info, [null, f.astype(np.float64)])).astype("<f8").tobytes()))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array([x[0] % parts for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int32()), pa.array([chunk] * len(out), pa.int64()), pa.array([x[2] for x in out], pa.binary())], names=["part", "kind", "chunk", "data"])
                 chunk += 1
 
     return run
@@ -259,7 +285,7 @@ def _merged(blobs: list, kind: int, slots: int):
             seconds.append(a[0])
         train.append(a[1])
         deleted.append(a[2])
-        parts.append((chunk, a[3].astype(np.int64), a[4].astype(np.int64), a[5].astype(np.float64)))
+        parts.append((chunk, len(a[1]), a[3].astype(np.int64), a[4].astype(np.int64), a[5].astype(np.float64)))
     if not firsts:
         z, h = np.zeros(0, np.int64), np.zeros(0, np.uint64)
         return [], h, h, z, z
@@ -274,9 +300,10 @@ def _merged(blobs: list, kind: int, slots: int):
     c = np.bincount(at, weights=np.concatenate(train), minlength=len(u)).astype(np.int64)
     d = np.bincount(at, weights=np.concatenate(deleted), minlength=len(u)).astype(np.int64)
     chunks, lo = [], 0
-    for chunk, docs, doc, cnt in parts:
-        chunks.append((chunk, np.repeat(at[lo : lo + len(docs)], docs), doc, cnt))
-        lo += len(docs)
+    for chunk, keys, docs, doc, cnt in parts:
+        if len(docs):
+            chunks.append((chunk, np.repeat(at[lo : lo + keys], docs), doc, cnt))
+        lo += keys
     if kind == WORD:
         return chunks, u, u, c, d
     v, w = u // bound, u % bound
@@ -342,13 +369,24 @@ def bucket(count: np.ndarray) -> np.ndarray:
     return np.floor(np.log2(count + 1.0)).astype(np.int64)
 
 
-def _histogram(head):
-    """Deleted tokens by context bucket and the two maximum-likelihood ratios of the other counts."""
+def _histogram(head, pairs_of_both: bool):
+    """Deleted tokens by context bucket and the two maximum-likelihood ratios of the other counts.
+
+    Pairs of two words outside the head are passed on, or (``pairs_of_both``) are all there is, with their counts.
+    """
 
     def run(batches):
         m = head.value
         total = m.total - m.deleted
+        nothing = [pa.nulls(0, k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.float64())]
         for blobs in _by(batches, 0):
+            if not pairs_of_both:
+                both = [x for x in blobs if x[1] == BOTH]
+                blobs = [x for x in blobs if x[1] != BOTH]
+                if both:
+                    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary())
+                    rows = [pa.array([x[i] for x in both], k) for i, k in enumerate(kinds)]
+                    yield pa.RecordBatch.from_arrays([*[pa.nulls(len(both), x.type) for x in nothing], *rows], names=_LEARN_NAMES)
             for _, (c, d), (cv, dv), (cw, dw) in _pairs(blobs, m):
                 use = d > 0
                 if not use.any():
@@ -359,7 +397,9 @@ def _histogram(head):
                     cells.append(np.where(p > 0, np.round(-np.log2(np.maximum(p, 1e-300)) * STEP), -1).astype(np.int64))
                 cell, at = np.unique(np.stack((bucket(ctx), *cells)), axis=1, return_inverse=True)
                 n = np.bincount(at.ravel(), weights=d[use], minlength=cell.shape[1])
-                yield pa.RecordBatch.from_arrays([*[pa.array(x) for x in cell], pa.array(n)], names=["b", "q2", "q1", "n"])
+                rest = [pa.nulls(len(n), k) for k in (pa.int32(), pa.int32(), pa.int64(), pa.binary())]
+                yield pa.RecordBatch.from_arrays([*[pa.array(x) for x in cell], pa.array(n), *rest], names=_LEARN_NAMES)
+        tx.release()
 
     return run
 
@@ -385,42 +425,57 @@ def expectation_maximisation(cells: np.ndarray, classes: int, rounds: int = 40)
 
 
 def _partial_scores(head, weights: np.ndarray):
-    """Rows (chunk, data): what the pairs and words of one part add to the chunk's documents."""
+    """Rows (chunk, part, kind, data): what the pairs and words of one part add to the chunk's documents; documents pass."""
 
     def run(batches):
         m = head.value
         total = float(m.total)
         unseen = weights[0] + np.array([0, weights[0, 2], 0])  # a context never seen: its bigram weight goes to the unigrams
         for blobs in _by(batches, 0):
-            out = []
+            part = blobs[0][0]
+            out = [(x[2], DOC, x[3]) for x in blobs if x[1] == DOC]
+            sums: dict[int, np.ndarray] = {}
+
+            def add(chunk: int, row: int, x: np.ndarray, sums=sums) -> None:
+                old = sums.get(chunk)
+                if old is None or old.shape[1] < len(x):
+                    sums[chunk] = np.zeros((3, len(x)))
+                    if old is not None:
+                        sums[chunk][:, : old.shape[1]] = old
+                sums[chunk][row, : len(x)] += x
+
             for chunks, (c, _), (cv, _), (cw, _) in _pairs(blobs, m):
                 l = np.where(cv[:, None] > 0, weights[bucket(cv)], unseen)  # noqa: E741
                 log_p = np.log10(l[:, 2] * _ratio(c, cv) + l[:, 1] * _ratio(cw, total) + l[:, 0] / m.classes)
                 for chunk, k, doc, cnt in chunks:
-                    out.append((chunk, np.stack((np.bincount(doc, weights=cnt * log_p[k]), *[np.zeros(int(doc.max()) + 1)] * 2))))
+                    add(chunk, 0, np.bincount(doc, weights=cnt * log_p[k]))
             chunks, _, _, c, _ = _merged(blobs, WORD, m.slots)
             log_c = np.log10(c + 1.0)
             for chunk, k, doc, cnt in chunks:
-                out.append((chunk, np.stack([np.bincount(doc, weights=cnt * x) for x in (np.zeros(len(k)), c[k] > 0, log_c[k])])))
+                add(chunk, 1, np.bincount(doc, weights=cnt * (c[k] > 0)))
+                add(chunk, 2, np.bincount(doc, weights=cnt * log_c[k]))
+            out += [(chunk, PAIR, zlib.compress(x.tobytes(), 1)) for chunk, x in sums.items()]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([zlib.compress(x[1].tobytes(), 1) for x in out], pa.binary())], names=["chunk", "data"])
+                n = len(out)
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([part] * n, pa.int32()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary())], names=["chunk", "part", "kind", "data"])
+        tx.release()
 
     return run
 
 
 def _totals(head):
-    """Rows (chunk, kind, data) sorted by chunk: documents with their sums."""
+    """Documents with their sums, of rows (chunk, part, kind, data) sorted by the first three."""
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def run(batches):
         m = head.value
         for rows in _by(batches, 0):
-            info = next(x[2] for x in rows if x[1] == DOC)
+            info = next(x[3] for x in rows if x[2] == DOC)
             n = len(info) // 48
             doc = np.frombuffer(info, "<i8", n)
             tokens, known, base, null, fold = np.frombuffer(info, "<f8", 5 * n, 8 * n).reshape(5, n)
             sums = np.zeros((3, n))
-            for _, kind, data in rows:
+            for _, _, kind, data in rows:
                 if kind != DOC:
                     part = np.frombuffer(zlib.decompress(data)).reshape(3, -1)
                     sums[:, : part.shape[1]] += part
@@ -430,36 +485,39 @@ def _totals(head):
     return run
 
 
-_CELLS = "b bigint, q2 bigint, q1 bigint, n double"
-_PARTIAL = "chunk bigint, data binary"
+_BLOB = "part int, kind int, chunk bigint, data binary"
+_LEARN = f"b bigint, q2 bigint, q1 bigint, n double, {_BLOB}"
+_LEARN_NAMES = ["b", "q2", "q1", "n", "part", "kind", "chunk", "data"]
+_PARTIAL = "chunk bigint, part int, kind int, data binary"
+_SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
-def score(docs: DataFrame, head_words: int = HEAD) -> DataFrame:
+def score(docs: DataFrame, head_words: int = HEAD, stable: bool = True, part_tokens: int = PART_TOKENS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each document."""
     spark = docs.sparkSession
+    if not stable:
+        docs = table(docs.select("doc_id", "text"), "texts")
     keyed = folds(docs)
     model, others = learn_head(keyed, head_words)
     head = spark.sparkContext.broadcast(model)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blobs = keyed.mapInArrow(_blobs(head, 2 * n), "part int, kind int, chunk bigint, data binary").repartition(n, "part").sortWithinPartitions("part", "chunk")
-    blobs = blobs.persist(StorageLevel.DISK_ONLY)
-    both = blobs.where(F.col("kind") == BOTH)
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-model.total // part_tokens))
+
+    def by_part(df: DataFrame) -> DataFrame:
+        return df.repartition(n, "part").sortWithinPartitions("part", "chunk", "kind")
+
+    counts = by_part(keyed.mapInArrow(_blobs(head, 2 * n, True), _BLOB))
+    learned = table(counts.mapInArrow(_histogram(head, False), _LEARN), "learned")
+    both = learned.where("data IS NOT NULL").select("part", "kind", "chunk", "data")
     need = both.select("part", "data").mapInArrow(_words_of, "part int, w bigint").distinct()
-    counts = need.join(others, "w").select("part", "w", "c", "d").mapInArrow(_count_blobs, blobs.schema)
-    both = both.unionByName(counts).repartition(n, "part").sortWithinPartitions("part", "chunk").persist(StorageLevel.DISK_ONLY)
-    single = blobs.where(F.col("kind").isin(PAIR, WORD, SECOND, FIRST))
-    learn = _histogram(head)
-    cells = single.mapInArrow(learn, _CELLS).unionByName(both.mapInArrow(learn, _CELLS)).groupBy("b", "q2", "q1").agg(F.sum("n").alias("n")).toArrow()
+    both = table(both.unionByName(need.join(others, "w").select("part", "w", "c", "d").mapInArrow(_count_blobs, _BLOB)), "rare_pairs")
+    cells = learned.where("data IS NULL").unionByName(by_part(both).mapInArrow(_histogram(head, True), _LEARN))
+    cells = cells.groupBy("b", "q2", "q1").agg(F.sum("n").alias("n")).orderBy("b", "q2", "q1").toArrow()
     rows = np.stack([cells.column(x).to_numpy().astype(np.float64) for x in ("b", "q2", "q1", "n")], axis=1) if cells.num_rows else np.zeros((0, 4))
+    drop(learned)
     weights = expectation_maximisation(rows, model.classes)
     add = _partial_scores(head, weights)
-    partial = single.mapInArrow(add, _PARTIAL).unionByName(both.mapInArrow(add, _PARTIAL))
-    every = partial.select("chunk", F.lit(PAIR).alias("kind"), "data").unionByName(blobs.where(F.col("kind") == DOC).select("chunk", "kind", "data"))
-    schema = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    out = table(every.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_totals(head), schema), "scores")
-    both.unpersist()
-    blobs.unpersist()
-    return out
+    every = by_part(keyed.mapInArrow(_blobs(head, 2 * n, False), _BLOB)).mapInArrow(add, _PARTIAL).unionByName(by_part(both).mapInArrow(add, _PARTIAL))
+    return table(every.repartition("chunk").sortWithinPartitions("chunk", "part", "kind").mapInArrow(_totals(head), _SCORES), "scores")
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
