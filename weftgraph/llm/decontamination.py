@@ -10,18 +10,23 @@ words are hashed and hash-joined with the benchmark's; a reading of fewer than
 
 Matches of a document and an item at one distance (place in the document minus
 place in the item) form a diagonal; its slots must be consistent: each benchmark
-value stands for one document value (share of values that do: ``CONSISTENT``).
+value stands for one document value, and each document name for one benchmark name
+(share of values that do: ``CONSISTENT``; two numbers may become one).
 A diagonal counts with both readings, or else with the second alone.
 A document is contaminated by an item if windows on consistent diagonals cover
 ``COVERAGE`` of the item's windows, or of those with ``MIN_LITERALS`` such words.  An item of fewer than ``WINDOW`` words is one
 window of its own length; items under ``MIN_WORDS`` words match nothing.
 
 The benchmark side is a fixed-size list: up to ``FILTER`` windows its hashes go
-to the tasks and other windows stay there; a larger one is joined by shuffle.
+to the tasks and other windows stay there; a larger one is joined by shuffle.  In a periodic
+stretch of a document (period up to a window's length) only the first period's windows
+are kept: they meet the same places of an item, so matches never grow with place times place.
 
 Nulls: null texts are empty and match nothing; a null id is kept as null.  Items
 with a null id match under null.  Documents equal in id and text give one row per
-item.  Texts of any length are handled whole; other columns pass by.
+item.  Ties: items with equal text match each; of several diagonals the one with the fewest changed
+values is reported.  Empty tables: no rows, and all documents are kept.
+Texts of any length are handled whole; other columns pass by, whatever their names.
 """
 
 from __future__ import annotations
@@ -53,6 +58,8 @@ _LOWER[65:91] += 32
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?:;"]] = True
 NUMBER, NAME, UNIT = (np.uint64(x) for x in (0x1111111111111111, 0x2222222222222222, 0x3333333333333333))
+#: Kinds of slots, in the lowest two bits of a slot's value hash.
+IS_NUMBER, IS_NAME, IS_UNIT = 1, 2, 3
 
 
 def _hash_words(words: list[str]) -> np.ndarray:
@@ -73,10 +80,10 @@ def _member(x: np.ndarray, table_: np.ndarray) -> np.ndarray:
 
 
 def canonical(buf: np.ndarray, offs: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
-    """((template hash, is a slot) by reading: words that open a sentence or line are names, are none), value hash and row of every word."""
+    """((template hash, kind of slot or 0) by reading: words that open a sentence or line are names, are none), value hash and row of every word."""
     s, e, row = tx.words(buf, offs)
     if not len(s):
-        return [(np.zeros(0, np.uint64), np.zeros(0, bool))] * 2, np.zeros(0, np.uint64), row
+        return [(np.zeros(0, np.uint64), np.zeros(0, np.uint8))] * 2, np.zeros(0, np.uint64), row
     low = _LOWER[buf]
     place = np.flatnonzero(_ALNUM[buf])
     a = np.searchsorted(place, s)
@@ -100,7 +107,7 @@ def canonical(buf: np.ndarray, offs: np.ndarray) -> tuple[list[tuple[np.ndarray,
     for name in (upper & ~number & ~unit, upper & inside & ~number & ~unit):
         t = h.copy()
         t[number], t[name], t[unit] = NUMBER, NAME, UNIT
-        out.append((t, number | name | unit))
+        out.append((t, (number * IS_NUMBER + name * IS_NAME + unit * IS_UNIT).astype(np.uint8)))
     return out, h, row
 
 
@@ -118,7 +125,7 @@ def _windows(lengths: dict[int, np.ndarray | None], whole: bool):
                 (wide, narrow), v, row = canonical(buf, offs)
                 count = np.bincount(row, minlength=len(offs) - 1)
                 first = np.cumsum(count) - count
-                literal = [np.concatenate(([0], np.cumsum(~slot))) for _, slot in (wide, narrow)]
+                literal = [np.concatenate(([0], np.cumsum(slot == 0))) for _, slot in (wide, narrow)]
                 for n, wanted in lengths.items():
                     if len(v) < n:
                         continue
@@ -131,6 +138,11 @@ def _windows(lengths: dict[int, np.ndarray | None], whole: bool):
                     by = [tx.gram_hash(t, n) + np.uint64(n) for t, _ in (wide, narrow)]
                     exact = tx.mix(tx.gram_hash(v, n) + np.uint64(n) ^ EXACT)
                     # narrow reading, wide reading where it differs, exact words where the wide one has few literals
+                    if not whole:
+                        again = np.zeros(m, bool)
+                        for k in range(1, min(n, m - 1) + 1):
+                            again[k:] |= (exact[k:] == exact[:-k]) & (by[1][k:] == by[1][:-k]) & (row[k:m] == row[: m - k])
+                        ok &= ~again
                     kinds = [(by[1], much[1], narrow[1], False), (by[0], much[0] & (by[0] != by[1]), wide[1], True), (exact, ~much[0], wide[1], True)]
                     for w, use, slot, is_wide in kinds:
                         use = ok & use
@@ -140,7 +152,7 @@ def _windows(lengths: dict[int, np.ndarray | None], whole: bool):
                         if not len(i):
                             continue
                         r = row[i]
-                        slots = [v[x : x + n][slot[x : x + n]].view(np.int64) for x in i.tolist()]
+                        slots = [(v[x : x + n] & ~np.uint64(3) | slot[x : x + n])[slot[x : x + n] > 0].view(np.int64) for x in i.tolist()]
                         cols = [ids.take(pa.array(r + lo)), hs.take(pa.array(r + lo)), pa.array((i - first[r]).astype(np.int32)), pa.array((count[r] - n + 1).astype(np.int32)), pa.array(rich[r])]
                         cols += [pa.array(much[1][i]), pa.array(np.full(len(i), is_wide)), pa.array(w[i].view(np.int64)), pa.array(slots, pa.list_(pa.int64()))]
                         yield pa.RecordBatch.from_arrays(cols, names=["id", "h", "pos", "total", "rich", "is_rich", "wide", "w", "slots"])
@@ -148,12 +160,12 @@ def _windows(lengths: dict[int, np.ndarray | None], whole: bool):
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, consistent: float = CONSISTENT) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, consistent: float = CONSISTENT, filter_rows: int = FILTER) -> DataFrame:
     """Rows (id, h, item, matched, share, changed): documents (id and text hash) with an item of the benchmark."""
     items = benchmark.select(F.col("item_id").cast("long").alias("id"), F.xxhash64("text").alias("h"), F.col("text")).dropDuplicates(["id", "h"])
     lengths = dict.fromkeys(range(MIN_WORDS, WINDOW + 1))
     bench = table(items.mapInArrow(_windows(lengths, True), _TYPE), "bench")
-    small = bench.limit(FILTER + 1).count() <= FILTER
+    small = bench.limit(filter_rows + 1).count() <= filter_rows
     if small:
         got = bench.select("w").toArrow()
         w = np.unique(got["w"].to_numpy().view(np.uint64))
@@ -172,7 +184,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
         return F.array_distinct(F.flatten(F.collect_list(of)))
 
     def consistent_(p: str) -> Column:
-        return (F.size(p) == 0) | (F.size(F.array_distinct(F.transform(p, lambda x: x["bslots"]))) >= consistent * F.size(p))
+        names = F.filter(p, lambda x: x["bslots"].bitwiseAND(F.lit(3)) == IS_NAME)
+        forth = F.size(F.array_distinct(F.transform(p, lambda x: x["bslots"]))) >= consistent * F.size(p)
+        back = F.size(F.array_distinct(F.transform(names, lambda x: x["slots"]))) >= consistent * F.size(names)
+        return forth & back
 
     key = ["id", "h", "item", "ih", "total", "rich"]
     diag = hit.groupBy(*key, "gap").agg(F.collect_set(place).alias("at"), pairs(zipped).alias("p"), F.collect_set(F.when(narrow, place)).alias("at1"), pairs(F.when(narrow, zipped)).alias("p1"))
