@@ -5,15 +5,20 @@ File format (``write_ids``): a folder with two Parquet tables.
 * ``segments``: one row per segment: ``part`` (range of ids, ascending), ``seg``
   (number in the part), ``n_docs``, ``n_ids`` and ``data``, which holds
 
-      "EFID" | version u8 | id width u8 | low bits u8 | 0 u8
-      n_docs u64 | n_ids u64 | bytes of low u64 | bytes of high u64
-      document ids i64[n_docs] | id-is-null bits | low | high | samples u32[] | ids
+      "EFID" | version u8 | id width u8 | 0 u16
+      n_docs u64 | n_ids u64 | least document id i64
+      document ends | document ids | id-is-null bits | ids
 
   The concatenated ids of all documents of the segment (2 bytes each where the
   vocabulary has at most 65,536 entries, else 4, little-endian) end the blob.
-  Document ends are Elias-Fano coded: ``low`` has the low bits of each end,
+  Document ends, and document ids (ascending, less the least; a null's is 0), are Elias-Fano coded, each as
+
+      low bits u8 | bytes of low u64 | bytes of high u64 | low | high | samples u32[]
+
+  ``low`` has the low bits of each value,
   packed, ``high`` the unary coded rest, ``samples`` the place of every 64th one
-  bit, so ``EliasFano.select(i)`` reads an end without decoding the others.
+  bit, so ``EliasFano.select(i)`` reads a value without decoding the others; ``read_ids`` reads all
+  offsets so.  No table of 64-bit numbers is in the file.
 * ``parts``: ``part``, ``start``: ids before the part, over the whole output.
 
 Documents are in ascending id order (null first; ties by a hash of the text):
@@ -24,16 +29,17 @@ Only one number per part is summed across the output.
 Encoding: each whole text by the ``tokenizers`` library.  A byte-level
 pre-tokenizer never joins characters across a lone space or line end, so texts
 are cut there, and a bounded cache holds the ids of pieces; pieces not in it are
-encoded together.  Texts with runs of white space or special-token strings are
-encoded as they are.
+encoded together.  Texts with runs of white space or special-token strings, and all texts under a
+tokenizer of another make (``Encoder.byte_level``), are encoded as they are.
 
 Nulls: null text is empty (only the end id); a null id is kept as null.  Repeated
-rows are written each.  Empty table: no segments, no rows.  Other columns are
-not written.
+rows are written each.  Empty table: no segments, no rows.  A text of any length is encoded whole and stays in one
+segment.  Other columns are not written, whatever their names.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -61,6 +67,7 @@ class EliasFano:
 
     def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, samples: np.ndarray) -> None:
         self.n, self.low_bits, self.low, self.high, self.samples = n, low_bits, low, high, samples
+        self._low, self._high = low.tobytes(), high.tobytes()
 
     @classmethod
     def encode(cls, values: np.ndarray) -> EliasFano:
@@ -79,14 +86,34 @@ class EliasFano:
         if not 0 <= i < self.n:
             raise IndexError(i)
         at, left = int(self.samples[i // 64]), i % 64
-        while left:  # ones after the sample
+        if left:  # the ``left``-th one bit after the sample: whole bytes, then bits
             at += 1
-            left -= int(self.high[at >> 3]) >> (at & 7) & 1
-        out = at - i
-        for k in range(self.low_bits - 1, -1, -1):
-            b = i * self.low_bits + k
-            out = out << 1 | (int(self.low[b >> 3]) >> (b & 7) & 1)
-        return out
+            k = at >> 3
+            byte = self._high[k] >> (at & 7) << (at & 7)
+            while (ones := byte.bit_count()) < left:
+                left -= ones
+                k += 1
+                byte = self._high[k]
+            for _ in range(left - 1):
+                byte &= byte - 1
+            at = k * 8 + (byte & -byte).bit_length() - 1
+        b = i * self.low_bits
+        low = int.from_bytes(self._low[b >> 3 : (b + self.low_bits + 7) >> 3], "little") >> (b & 7)
+        return (at - i) << self.low_bits | low & ((1 << self.low_bits) - 1)
+
+    def to_bytes(self) -> bytes:
+        return b"".join((struct.pack("<BQQ", self.low_bits, len(self._low), len(self._high)), self._low, self._high, self.samples.astype("<u4").tobytes()))
+
+    @classmethod
+    def from_bytes(cls, data: bytes, at: int, n: int) -> tuple[EliasFano, int]:
+        """The sequence of ``n`` values at a place of ``data``, and the place behind it."""
+        bits, n_low, n_high = struct.unpack_from("<BQQ", data, at)
+        at += struct.calcsize("<BQQ")
+        out = []
+        for kind, count in (("u1", n_low), ("u1", n_high), ("<u4", (n + 63) // 64)):
+            out.append(np.frombuffer(data, kind, count, at))
+            at += out[-1].nbytes
+        return cls(n, bits, *out), at
 
     def values(self) -> np.ndarray:
         at = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
@@ -98,32 +125,24 @@ class EliasFano:
 
 
 def pack(doc_ids: list[int | None], ends: np.ndarray, ids: bytes, width: int) -> bytes:
-    ef = EliasFano.encode(ends)
+    """A segment; document ids ascend, nulls first."""
     null = np.packbits(np.array([x is None for x in doc_ids], np.uint8), bitorder="little").tobytes()
-    low, high = ef.low.tobytes(), ef.high.tobytes()
-    head = b"EFID" + struct.pack("<BBBBQQQQ", 1, width, ef.low_bits, 0, len(doc_ids), len(ids) // width, len(low), len(high))
-    return b"".join((head, np.array([x or 0 for x in doc_ids], "<i8").tobytes(), null, low, high, ef.samples.astype("<u4").tobytes(), ids))
+    least = next((x for x in doc_ids if x is not None), 0)
+    names = np.array([0 if x is None else x - least for x in doc_ids], np.uint64)
+    head = b"EFID" + struct.pack("<BBHQQq", 2, width, 0, len(doc_ids), len(ids) // width, least)
+    return b"".join((head, EliasFano.encode(ends).to_bytes(), EliasFano.encode(names).to_bytes(), null, ids))
 
 
 def unpack(data: bytes) -> tuple[list[int | None], EliasFano, np.ndarray]:
     """(document ids, boundaries, ids) of a segment."""
-    if data[:4] != b"EFID" or data[4] != 1:
+    if data[:4] != b"EFID" or data[4] != 2:
         raise ValueError("not a segment of this format")
-    _, width, bits, _, n, n_ids, n_low, n_high = struct.unpack_from("<BBBBQQQQ", data, 4)
-    at = 4 + struct.calcsize("<BBBBQQQQ")
-
-    def take(kind: str, count: int) -> np.ndarray:
-        nonlocal at
-        out = np.frombuffer(data, kind, count, at)
-        at += out.nbytes
-        return out
-
-    doc = take("<i8", n).tolist()
-    null = np.unpackbits(take("u1", (n + 7) // 8), bitorder="little")[:n]
-    low, high = take("u1", n_low), take("u1", n_high)
-    samples = take("<u4", (n + 63) // 64)
-    ids = take(f"<u{width}", n_ids)
-    return [None if z else x for x, z in zip(doc, null, strict=True)], EliasFano(n, bits, low, high, samples), ids
+    _, width, _, n, n_ids, least = struct.unpack_from("<BBHQQq", data, 4)
+    ends, at = EliasFano.from_bytes(data, 4 + struct.calcsize("<BBHQQq"), n)
+    names, at = EliasFano.from_bytes(data, at, n)
+    null = np.unpackbits(np.frombuffer(data, "u1", (n + 7) // 8, at), bitorder="little")[:n]
+    ids = np.frombuffer(data, f"<u{width}", n_ids, at + (n + 7) // 8)
+    return [None if z else names.select(i) + least for i, z in enumerate(null.tolist())], ends, ids
 
 
 class Encoder:
@@ -143,9 +162,19 @@ class Encoder:
         self.ends = {c: self.plain(c) for c in ".,"}
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.limit = cache
+        self.byte_level = self._is_byte_level(path)
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    @staticmethod
+    def _is_byte_level(path: str) -> bool:
+        """Whether pieces may be encoded apart: byte-level pairs, split by the plain rule, nothing added or normalised."""
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        pre, model = made.get("pre_tokenizer") or {}, made.get("model") or {}
+        plain = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+        return plain and not made.get("normalizer") and model.get("type") == "BPE" and not model.get("dropout")
+
     def plain(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.kind).tobytes() if text else b""
 
@@ -176,7 +205,7 @@ class Encoder:
             new[p] = new[p[:-1]] + self.ends[p[-1]]
 
     def encode(self, text: str) -> bytes:
-        if _RUNS.search(text) or any(s in text for s in self.special) or text[-1:].isspace():
+        if not self.byte_level or _RUNS.search(text) or any(s in text for s in self.special) or text[-1:].isspace():
             return self.plain(text)
         first, *tail = text.replace("\n", " \n").split(" ")
         if not tail:
@@ -249,7 +278,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for at, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 doc, ef, ids = unpack(data.as_py())
-                ends = ef.values()
+                ends = np.array([ef.select(i) for i in range(ef.n)], np.int64)
                 heads = np.concatenate(([0], ends[:-1]))
                 wide = ids.astype("<u4")
                 crc = [zlib.crc32(wide[s:e]) for s, e in zip(heads.tolist(), ends.tolist(), strict=True)]
