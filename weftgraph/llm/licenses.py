@@ -1,10 +1,11 @@
 """Operator 6: licence scan.
 
 One Aho-Corasick automaton over the words of a text finds notice phrases (a
-place is where all words of a phrase stand consecutively, overlaps included)
-and the words of ``SPDX-License-Identifier`` tags.  Where these occur, the tags
-(with the colon, in the raw text) give expressions, each up to the end of its line
-or a ``*``, whatever its length, read by a shunting-yard parser: WITH binds
+place is where all words of a phrase stand consecutively, overlaps included),
+the words of ``SPDX-License-Identifier`` tags and identifiers that no prose has (``IDENTIFIERS``: a family with a version
+or a kind).  Where tags or identifiers occur, the raw text around them gives expressions, whatever their length:
+of a tag up to the end of its line or a ``*``, of an identifier in prose the run of operands joined by
+operators that it stands in (``MIT OR Apache-2.0``).  They are read by a shunting-yard parser: WITH binds
 tighter than AND, AND tighter than OR, parentheses group.  An expression's
 value is the permissiveness of its best permitted reading: OR takes the larger,
 AND the smaller operand, WITH adds an allowance.  Every identifier
@@ -16,9 +17,9 @@ or a digit in it; else it is prose and the tag is passed over.
 ``score`` is the smallest value over all expressions and phrases found (the
 licence that restricts most), 0 where none is found.
 
-Nulls and empty texts: no words, null places, empty labels, score 0.  Very long
+Nulls and empty texts: no words, null places, empty labels, score 0.  Empty table: no rows.  Very long
 texts are scanned in one pass, linear in their length.  Rows are independent:
-ties and repeated rows give equal results, other columns pass by.
+ties and repeated rows give equal results, other columns pass by, whatever their names.
 """
 
 from __future__ import annotations
@@ -61,12 +62,21 @@ VALUES = {
     "apache": 0.95, "cc-by": 0.9, "mpl": 0.6, "epl": 0.6, "lgpl": 0.5, "cc-by-sa": 0.4, "gpl": 0.3, "agpl": 0.2,
     "cc-by-nd": 0.2, "cc-by-nc": 0.1, "all-rights-reserved": 0.0,
 }
+#: Identifiers that stand alone in prose, by family: versions or kinds.
+IDENTIFIERS = {
+    "gpl": "1.0 2.0 3.0", "lgpl": "2.0 2.1 3.0", "agpl": "1.0 3.0", "apache": "1.0 1.1 2.0", "mpl": "1.0 1.1 2.0", "epl": "1.0 2.0", "eupl": "1.0 1.1 1.2",
+    "bsd": "1-clause 2-clause 3-clause 4-clause", "cc-by": "2.0 2.5 3.0 4.0", "cc-by-sa": "2.0 2.5 3.0 4.0", "cc-by-nc": "2.0 2.5 3.0 4.0", "cc-by-nd": "2.0 2.5 3.0 4.0",
+    "cc0": "1.0", "ofl": "1.0 1.1", "cddl": "1.0 1.1", "artistic": "1.0 2.0", "bsl": "1.0", "mit": "0",
+}
 WITH_ALLOWANCE = 0.3
 UNKNOWN = 0.0
 TAG = "spdx license identifier"
 TYPE = "struct<n_words:bigint,n_base:bigint,first_word:bigint,last_word:bigint,base_labels:string,labels:string,score:double>"
 _TAG = re.compile(r"spdx-license-identifier:[ \t]*([^\n\r*]+)")
 _TOKEN = re.compile(r"[()]|[^\s()]+")
+#: An operand in prose: a word with a digit or a short family name; and a run of operands joined by operators, or a lone one.
+_NAME = r"\(*[a-z0-9][a-z0-9.+-]*\)*"
+_PROSE = re.compile(rf"(?<![^\s(\"'`]){_NAME}(?:\s+(?:and|or|with)\s+{_NAME})*")
 #: A-Z lower-cased; every other ASCII byte outside 0-9 and a-z ends a word.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -157,10 +167,47 @@ def automaton(phrases: dict[str, list[tuple[str, bool]]]) -> ahocorasick.Automat
     for phrase, labels in phrases.items():
         a.add_word(f" {phrase} ", (len(phrase) + 2, labels))
     a.add_word(f"{TAG} ", (len(TAG) + 1, None))
+    for name in identifiers():
+        words = " ".join(re.findall(r"[a-z0-9]+", name))
+        key = f" {words} "
+        if key not in a:
+            a.add_word(key, (len(key), ()))
     a.make_automaton()
     return a
 
 
+def identifiers() -> set[str]:
+    return {f"{family}-{v}" for family, versions in IDENTIFIERS.items() for v in versions.split()}
+
+
+_KNOWN = identifiers()
+
+
+def named(token: str) -> bool:
+    """Whether a token of prose is one of ``IDENTIFIERS``, with or without a suffix."""
+    x = token.strip("()").rstrip(".,;").rstrip("+")
+    return x in _KNOWN or x.removesuffix("-only").removesuffix("-or-later") in _KNOWN
+
+
+def in_prose(lower: str) -> list[str]:
+    """Expressions of a lower-cased text that hold an identifier outside tags."""
+    out = []
+    for m in _PROSE.finditer(lower):
+        tokens = re.split(r"(\s+(?:and|or|with)\s+)", m[0])  # operand, operator, operand, ...
+        where = [i for i in range(0, len(tokens), 2) if named(tokens[i])]
+        if not where:
+            continue
+        # operands beside an identifier belong to it as long as they are of a known family or follow WITH
+        lo, hi = where[0], where[-1]
+        belongs = lambda i: value_of(tokens[i].strip("()").rstrip(".,;")) is not None or i > 0 and "with" in tokens[i - 1]
+        while lo > 1 and belongs(lo - 2):
+            lo -= 2
+        while hi + 2 < len(tokens) and belongs(hi + 2):
+            hi += 2
+        out.append("".join(tokens[lo : hi + 1]))
+    return out
+
+
 def phrase_table(extra: dict[str, str] | None = None) -> dict[str, list[tuple[str, bool]]]:
     """Phrase -> [(label, whether it is a base phrase)]."""
     out: dict[str, list[tuple[str, bool]]] = {}
@@ -176,11 +223,12 @@ def scan_text(text: str | None, ac: ahocorasick.Automaton) -> tuple:
     line = (b" " + b" ".join(ws) + b" ").decode("utf-8", "surrogatepass")
     base: set[str] = set()
     found: set[str] = set()
-    n_base, first, last, seen, words, tagged = 0, None, None, 0, 0, False
+    n_base, first, last, seen, words, tagged, prose = 0, None, None, 0, 0, False, False
     for end, (length, labels) in ac.iter(line):
         if labels is None:
             tagged = True
             continue
+        prose |= not labels
         start = end - length + 1
         for label, is_base in labels:
             found.add(label)
@@ -192,9 +240,10 @@ def scan_text(text: str | None, ac: ahocorasick.Automaton) -> tuple:
                 first = at if first is None else min(first, at)
                 last = at if last is None else max(last, at)
     values = [v for v in map(value_of, found) if v is not None]
-    if tagged:
-        for m in _TAG.finditer(raw.translate(_LOWER).decode("utf-8", "surrogatepass")):
-            if got := evaluate(m[1]):
+    if tagged or prose:
+        lower = raw.translate(_LOWER).decode("utf-8", "surrogatepass")
+        for expression in [m[1] for m in _TAG.finditer(lower)] + (in_prose(_TAG.sub("\n", lower)) if prose else []):
+            if got := evaluate(expression):
                 found.update(got[0])
                 values.append(got[1])
     return len(ws), n_base, first, last, ",".join(sorted(base)), ",".join(sorted(found)), min(values, default=0.0)
