@@ -6,13 +6,12 @@ import argparse
 import sys
 
 from weftgraph import __version__
-from weftgraph.functions.text import handy_number
+from weftgraph.functions.text import alignment_list, handy_number
 from weftgraph.operators.graph import BrokenGraph
 from weftgraph.operators.sequences import DuplicateNames
 from weftgraph.plans.induce import induce_files
 from weftgraph.session import session
-from weftgraph.sources.alignments import read_paf_list
-from weftgraph.sources.sequences import read_sequences
+from weftgraph.sources.lines import exists
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -35,13 +34,9 @@ def main(argv: list[str] | None = None) -> int:
         return 0 if getattr(e, "code", 1) == 0 else 1
     handy_number(a.transclose_batch, 1e6)
     spark = session(master=f"local[{a.threads}]" if a.threads else None)
-    try:
-        read_sequences(spark, a.seqs)
-    except FileNotFoundError:
+    if not exists(spark, a.seqs):
         return 2
-    try:
-        read_paf_list(spark, a.paf_alns)
-    except FileNotFoundError:
+    if not all(exists(spark, path) for path, _ in alignment_list(a.paf_alns)):
         return 4
     try:
         g = induce_files(spark, a.seqs, a.paf_alns, a.on_bad_row, min_match_len=a.min_match_len, sparse_factor=a.sparse_factor, repeat_max=a.repeat_max, min_repeat_dist=a.min_repeat_distance)

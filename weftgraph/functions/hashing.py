@@ -47,5 +47,18 @@ def keep_sparse(query: Column, target: Column, length: Column, factor: float) ->
 
 
 def integer_hash(key: Column) -> Column:
-    """A well-mixed hash of a long (Spark's own: no result depends on which one)."""
-    return F.xxhash64(key)
+    """Wang's 64-bit integer mix, as a signed long with the same bits."""
+
+    @F.arrow_udf("bigint")
+    def run(k: pa.Array) -> pa.Array:
+        x = _unsigned(k)
+        by = np.uint64
+        x = ~x + (x << by(21))
+        x ^= x >> by(24)
+        x = x * by(265)
+        x ^= x >> by(14)
+        x = x * by(21)
+        x ^= x >> by(28)
+        return pa.array((x + (x << by(31))).view(np.int64))
+
+    return run(key.cast("long"))

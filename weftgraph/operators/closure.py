@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftgraph.operators.components import connected_components
 from weftgraph.operators.matches import base_edges
-from weftgraph.operators.rank import numbered
+from weftgraph.operators.rank import neighbours, numbered
 from weftgraph.plans.work import table
 
 
@@ -56,21 +56,22 @@ def chained(mapped: DataFrame) -> DataFrame:
     """Adds ``first`` and ``last``: whether a base begins or ends an interval.
 
     A base continues its predecessor's interval if both have one strand and their
-    graph positions are neighbours in its direction.  Predecessors meet by an
-    equi-join on q, so a sequence of any length is spread over all tasks.
+    graph positions are neighbours in its direction.
     """
-    before = mapped.select((F.col("q") + 1).alias("q"), F.col("seq_id").alias("_i"), F.col("s").alias("_s"), F.col("is_rev").alias("_r"))
+    n = neighbours(mapped, "q", "seq_id", "s", "is_rev")
     step = F.when(F.col("is_rev"), -1).otherwise(1)
-    goes_on = (F.col("_i") == F.col("seq_id")) & (F.col("_r") == F.col("is_rev")) & (F.col("s") - F.col("_s") == step)
-    j = table(mapped.join(before, "q", "left").withColumn("first", ~F.coalesce(goes_on, F.lit(False))).drop("_i", "_s", "_r"), "chained")
-    after = j.select((F.col("q") - 1).alias("q"), F.col("seq_id").alias("_i"), F.col("first").alias("_f"))
-    return j.join(after, "q", "left").withColumn("last", F.coalesce((F.col("_i") != F.col("seq_id")) | F.col("_f"), F.lit(True))).drop("_i", "_f")
+
+    def joined(other: str, sign: int) -> Column:
+        o = F.col(other)
+        same = (o["q"] == F.col("q") + sign) & (o["seq_id"] == F.col("seq_id")) & (o["is_rev"] == F.col("is_rev"))
+        return F.coalesce(same & (o["s"] - F.col("s") == sign * step), F.lit(False))
+
+    return n.withColumn("first", ~joined("_prev", -1)).withColumn("last", ~joined("_next", 1)).drop("_prev", "_next")
 
 
 def path_intervals(chain: DataFrame) -> DataFrame:
-    """(seq_id, q_start, q_end, s_start, s_end, is_rev): windows run over interval ends only."""
-    ends = chain.where("first OR last")
-    w = W.partitionBy("seq_id").orderBy("q")
-    last_q, last_s = F.when(F.col("last"), F.col("q")).otherwise(F.lead("q").over(w)), F.when(F.col("last"), F.col("s")).otherwise(F.lead("s").over(w))
-    x = ends.withColumn("_q", last_q).withColumn("_s", last_s).where("first")
+    """(seq_id, q_start, q_end, s_start, s_end, is_rev): an interval's first base meets its last among the ends of all."""
+    ends = neighbours(chain.where("first OR last"), "q", "s").where("first")
+    q, s = (F.when(F.col("last"), F.col(c)).otherwise(F.col(f"_next.{c}")) for c in ("q", "s"))
+    x = ends.select("*", q.alias("_q"), s.alias("_s"))
     return x.select("seq_id", F.col("q").alias("q_start"), (F.col("_q") + 1).alias("q_end"), F.least("s", "_s").alias("s_start"), (F.greatest("s", "_s") + 1).alias("s_end"), "is_rev")

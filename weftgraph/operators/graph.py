@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftgraph.functions.dna import complement
 from weftgraph.functions.positions import strand
-from weftgraph.operators.rank import numbered, running_sum
+from weftgraph.operators.rank import neighbours, numbered, running_sum
 from weftgraph.plans.work import table
 
 
@@ -41,9 +40,8 @@ def steps(mapped: DataFrame, node_table: DataFrame) -> DataFrame:
 
 def step_pairs(step_table: DataFrame) -> DataFrame:
     """(from_id, from_rev, to_id, to_rev) of each two steps in a row."""
-    w = W.partitionBy("seq_id").orderBy("q")
-    s = step_table.withColumn("to_id", F.lead("node_id").over(w)).withColumn("to_rev", F.lead("is_rev").over(w))
-    return s.where("to_id IS NOT NULL").select(F.col("node_id").alias("from_id"), F.col("is_rev").alias("from_rev"), "to_id", "to_rev")
+    s = neighbours(step_table, "q", "seq_id", "node_id", "is_rev").where(F.col("_next.seq_id") == F.col("seq_id"))
+    return s.select(F.col("node_id").alias("from_id"), F.col("is_rev").alias("from_rev"), F.col("_next.node_id").alias("to_id"), F.col("_next.is_rev").alias("to_rev"))
 
 
 def links(step_table: DataFrame) -> DataFrame:
@@ -77,12 +75,17 @@ def spelling_faults(mapped: DataFrame) -> DataFrame:
     return mapped.where(spelled != F.col("base"))
 
 
+def map_faults(mapped: DataFrame) -> DataFrame:
+    """(q, n): bases that have not exactly one graph position."""
+    return mapped.groupBy("q").agg(F.count("*").alias("n")).where("n != 1")
+
+
 def check(mapped: DataFrame, intervals: DataFrame, sequences: DataFrame) -> None:
     """Raises if a base is mapped never or twice, a path spells another text or has another length."""
     if bad := spelling_faults(mapped).limit(1).collect():
         raise BrokenGraph(f"base {bad[0].q} of sequence {bad[0].seq_id} is not what its graph position says")
-    if bad := mapped.groupBy("q").count().where("count != 1").limit(1).collect():
-        raise BrokenGraph(f"base {bad[0].q} has {bad[0]['count']} graph positions")
+    if bad := map_faults(mapped).limit(1).collect():
+        raise BrokenGraph(f"base {bad[0].q} has {bad[0].n} graph positions")
     lengths = intervals.groupBy("seq_id").agg(F.sum(F.col("q_end") - F.col("q_start")).alias("n"))
     if bad := sequences.join(lengths, "seq_id", "left").where("n IS NULL OR n != seq_len").limit(1).collect():
         raise BrokenGraph(f"the path of {bad[0]['name']} has {bad[0].n} bases, not {bad[0].seq_len}")

@@ -1,7 +1,9 @@
 """Alignments to exact-match intervals.
 
-Every CIGAR entry is a row; its bases are compared as two arrays inside the row, so
-no row per base is made.  Runs never cross entries: ``M``, ``=`` and ``X`` are all
+CIGAR entries are rows with running offsets; an entry is cut where its query or
+its target crosses a block of the concatenation (``operators.sequences``), each piece meets its
+two blocks by equi-joins and keeps only its own slice of them.  The bases of a piece are compared as two arrays inside the row, so
+no row per base is made, and no row holds a sequence.  Runs never cross entries: ``M``, ``=`` and ``X`` are all
 compared again, ``I`` and ``D`` move one cursor, others move none.
 """
 
@@ -15,6 +17,8 @@ from weftgraph.functions.cigar import consumed
 from weftgraph.functions.dna import reverse_complement
 from weftgraph.functions.hashing import keep_sparse
 from weftgraph.functions.positions import make_pos
+from weftgraph.operators.sequences import BLOCK
+from weftgraph.plans.work import table
 
 
 class UnknownSequence(ValueError):
@@ -31,52 +35,72 @@ def valid_row() -> Column:
 
 
 def locate(paf: DataFrame, sequences: DataFrame) -> DataFrame:
-    """Alignments with the sequences they name; an unknown name raises."""
-    ids = sequences.select("name", "seq_id", "seq_offset", "seq_len", "seq")
-    named = paf.select(F.col("query_name").alias("name")).unionByName(paf.select(F.col("target_name").alias("name"))).distinct()
-    lost = [r.name for r in named.join(ids, "name", "left_anti").limit(5).collect()]
-    if lost:
-        raise UnknownSequence(f"alignments name unknown sequences, such as {', '.join(map(str, lost))}")
+    """Alignments with numbers (``aln``) and the places of the sequences they name, written; an unknown name raises."""
+    ids = sequences.select("name", "seq_id", "seq_offset", "seq_len")
     out = paf
     for x in ("query", "target"):
-        out = out.join(ids.select(F.col("name").alias(f"{x}_name"), *[F.col(c).alias(f"{x[0]}_{c}") for c in ("seq_offset", "seq_len", "seq")]), f"{x}_name")
+        out = out.join(ids.select(F.col("name").alias(f"{x}_name"), *[F.col(c).alias(f"{x[0]}_{c}") for c in ("seq_offset", "seq_len")]), f"{x}_name", "left")
+    out = table(out.withColumn("aln", F.monotonically_increasing_id()), "located")
+    lost = out.where("q_seq_len IS NULL OR t_seq_len IS NULL").select(F.when(F.col("q_seq_len").isNull(), F.col("query_name")).otherwise(F.col("target_name")).alias("name")).limit(5).collect()
+    if lost:
+        raise UnknownSequence(f"alignments name unknown sequences, such as {', '.join(sorted({str(r.name) for r in lost}))}")
     return out
 
 
 def cigar_steps(located: DataFrame) -> DataFrame:
     """One row per CIGAR entry with the bases both sides consumed before it (``a``, ``b``)."""
-    rows = located.withColumn("aln", F.monotonically_increasing_id())
-    lens = lambda by: F.transform("cigar", lambda x: consumed(x["op"], x["len"], by))
-    # prefix sums inside the row: one fold that appends the running total
-    sums = lambda by: F.aggregate(lens(by), F.array(F.lit(0).cast("long")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
-    rows = rows.withColumn("_a", sums("q")).withColumn("_b", sums("t"))
-    steps = rows.select("*", F.posexplode("cigar").alias("op_no", "_c"))
-    return steps.withColumn("a", F.element_at("_a", F.col("op_no") + 1)).withColumn("b", F.element_at("_b", F.col("op_no") + 1)).withColumn("len", F.col("_c.len")).withColumn("op", F.col("_c.op")).drop("_a", "_b", "_c")
+    steps = located.select("*", F.posexplode("cigar").alias("op_no", "_c")).drop("cigar").withColumn("len", F.col("_c.len")).withColumn("op", F.col("_c.op")).drop("_c")
+    before = W.partitionBy("aln").orderBy("op_no").rowsBetween(W.unboundedPreceding, -1)
+    for name, by in (("a", "q"), ("b", "t")):
+        steps = steps.withColumn(name, F.coalesce(F.sum(consumed(F.col("op"), F.col("len"), by)).over(before), F.lit(0)).cast("long"))
+    return steps
 
 
-def match_runs(located: DataFrame) -> DataFrame:
+def match_runs(located: DataFrame, block_table: DataFrame, width: int = BLOCK) -> DataFrame:
     """(aln, min_match_len, is_rev, q, t, len): maximal exact runs; q is the first compared base of the query.
 
     A base pair matches if it is equal, is not N and is not one and the same place.
     """
-    s = cigar_steps(located).where(F.col("op").isin("M", "=", "X") & (F.col("len") > 0))
+    slim = ["aln", "min_match_len", "strand", "query_name", "target_name", "query_start", "query_end", "target_start", "q_seq_offset", "q_seq_len", "t_seq_offset", "t_seq_len", "cigar"]
+    s = cigar_steps(located.select(*slim)).where(F.col("op").isin("M", "=", "X") & (F.col("len") > 0))
     rev = F.col("strand") != "+"
-    q0 = F.when(rev, F.col("query_end") - 1 - F.col("a")).otherwise(F.col("query_start") + F.col("a"))
-    s = s.withColumn("is_rev", rev).withColumn("ql", q0).withColumn("tl", F.col("target_start") + F.col("b"))
+    ql = F.when(rev, F.col("query_end") - 1 - F.col("a")).otherwise(F.col("query_start") + F.col("a"))
+    s = s.withColumn("is_rev", rev).withColumn("ql", ql).withColumn("tl", F.col("target_start") + F.col("b"))
     low = F.when(rev, F.col("ql") - F.col("len") + 1).otherwise(F.col("ql"))
     bad = (low < 0) | (low + F.col("len") > F.col("q_seq_len")) | (F.col("tl") + F.col("len") > F.col("t_seq_len"))
-    s = s.withColumn("_low", F.when(bad, F.raise_error(F.concat(F.lit("alignment leaves its sequence: "), F.col("query_name"), F.lit(" "), F.col("target_name"))).cast("long")).otherwise(low))
-    cut = F.substring(F.col("q_seq"), (F.col("_low") + 1).cast("int"), F.col("len").cast("int"))
-    s = s.withColumn("_qs", F.split(F.when(rev, reverse_complement(cut)).otherwise(cut), "")).withColumn("_ts", F.split(F.substring(F.col("t_seq"), (F.col("tl") + 1).cast("int"), F.col("len").cast("int")), ""))
-    s = s.withColumn("q0", F.col("q_seq_offset") + F.col("ql")).withColumn("t0", F.col("t_seq_offset") + F.col("tl"))
+    fault = F.raise_error(F.concat(F.lit("alignment leaves its sequence: "), F.col("query_name"), F.lit(" "), F.col("target_name"))).cast("long")
+    s = s.select("aln", "op_no", "min_match_len", "is_rev", "len", F.when(bad, fault).otherwise(F.col("q_seq_offset") + F.col("ql")).alias("q0"), (F.col("t_seq_offset") + F.col("tl")).alias("t0"))
+    # where the query or the target enters another block
+    q_cut = F.when(F.col("is_rev"), F.col("q0") % width + 1).otherwise(width - F.col("q0") % width)
+    t_cut = width - F.col("t0") % width
+    every = lambda c: F.when(c < F.col("len"), F.sequence(c, F.col("len") - 1, F.lit(width).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    s = s.withColumn("_cuts", F.array_sort(F.concat(F.array(F.lit(0).cast("long")), F.array_union(every(q_cut), every(t_cut)))))
+    s = s.select("*", F.posexplode("_cuts").alias("_j", "at")).withColumn("n", F.coalesce(F.get("_cuts", F.col("_j") + 1), F.col("len")) - F.col("at")).drop("_cuts", "_j")
     step = F.when(F.col("is_rev"), -1).otherwise(1)
-    same = lambda c, i: F.when((c == F.get("_ts", i)) & (c != "N") & (F.col("q0") + step * i != F.col("t0") + i), "1").otherwise("0")
-    s = s.withColumn("_m", F.array_join(F.transform(F.slice("_qs", 1, F.col("len").cast("int")), same), ""))
-    s = s.select("aln", "op_no", "min_match_len", "is_rev", "q0", "t0", F.posexplode(F.regexp_extract_all("_m", F.lit("0*1+"), F.lit(0))).alias("run", "_x"))
-    w = W.partitionBy("aln", "op_no").orderBy("run")
-    n = F.length(F.regexp_replace("_x", "0", "")).cast("long")
-    s = s.withColumn("len", n).withColumn("_at", F.sum(F.length("_x")).over(w) - n)
-    return s.select("aln", "min_match_len", "is_rev", (F.col("q0") + step * F.col("_at")).alias("q"), (F.col("t0") + F.col("_at")).alias("t"), "len")
+    first = F.when(F.col("is_rev"), F.col("q0") - F.col("at") - F.col("n") + 1).otherwise(F.col("q0") + F.col("at"))
+    for name, place in (("_qs", first), ("_ts", F.col("t0") + F.col("at"))):
+        s = s.withColumn("_p", place).withColumn("block", F.floor(F.col("_p") / width))
+        slice_ = F.substring(F.col("text"), (F.col("_p") % width + 1).cast("int"), F.col("n").cast("int"))
+        s = s.join(block_table, "block").withColumn(name, slice_).drop("text", "_p", "block")
+    query = F.split(F.when(F.col("is_rev"), reverse_complement(F.col("_qs"))).otherwise(F.col("_qs")), "")
+    s = s.withColumn("_ts", F.split("_ts", ""))
+    qa, ta = F.col("q0") + step * F.col("at"), F.col("t0") + F.col("at")
+    same = lambda c, i: F.when((c == F.get("_ts", i)) & (c != "N") & (qa + step * i != ta + i), "1").otherwise("0")
+    s = s.withColumn("_x", F.regexp_extract_all(F.array_join(F.transform(F.slice(query, 1, F.col("n").cast("int")), same), ""), F.lit("0*1+"), F.lit(0)))
+    # places of the runs: one fold over them that carries the length so far
+    none = F.array().cast("array<struct<s:bigint,e:bigint>>")
+    fold = lambda acc, x: F.struct((acc["at"] + F.length(x)).alias("at"), F.concat(acc["r"], F.array(F.struct((acc["at"] + F.instr(x, "1") - 1).alias("s"), (acc["at"] + F.length(x)).alias("e")))).alias("r"))
+    got = F.aggregate("_x", F.struct(F.lit(0).cast("long").alias("at"), none.alias("r")), fold, lambda acc: acc["r"])
+    s = s.select("aln", "op_no", "min_match_len", "is_rev", "q0", "t0", "at", "n", F.col("len").alias("_all"), F.explode(got).alias("_r"))
+    cut = (F.col("_r.s") == 0) & (F.col("at") > 0) | (F.col("_r.e") == F.col("n")) & (F.col("at") + F.col("n") < F.col("_all"))
+    s = s.select("aln", "op_no", "min_match_len", "is_rev", "q0", "t0", (F.col("at") + F.col("_r.s")).alias("i"), (F.col("_r.e") - F.col("_r.s")).alias("len"), cut.alias("_cut"))
+    # runs that a border may have cut grow together again
+    key = ["aln", "op_no", "min_match_len", "is_rev", "q0", "t0"]
+    w = W.partitionBy("aln", "op_no").orderBy("i")
+    ends = s.where("_cut").withColumn("_new", F.when(F.col("i") == F.lag(F.col("i") + F.col("len")).over(w), 0).otherwise(1))
+    ends = ends.withColumn("_g", F.sum("_new").over(w)).groupBy(*key, "_g").agg(F.min("i").alias("i"), F.sum("len").alias("len")).select(*key, "i", "len")
+    s = s.where("NOT _cut").select(*key, "i", "len").unionByName(ends)
+    return s.select("aln", "min_match_len", "is_rev", (F.col("q0") + step * F.col("i")).alias("q"), (F.col("t0") + F.col("i")).alias("t"), "len")
 
 
 def kept_runs(runs: DataFrame, min_match_len: int = 0, sparse_factor: float = 0.0) -> DataFrame:
@@ -97,8 +121,8 @@ def both_directions(runs: DataFrame) -> DataFrame:
     return one.unionAll(two)
 
 
-def unpack(paf: DataFrame, sequences: DataFrame, min_match_len: int = 0, sparse_factor: float = 0.0) -> DataFrame:
-    return kept_runs(match_runs(locate(paf, sequences)), min_match_len, sparse_factor)
+def unpack(paf: DataFrame, index: DataFrame, block_table: DataFrame, min_match_len: int = 0, sparse_factor: float = 0.0) -> DataFrame:
+    return kept_runs(match_runs(locate(paf, index), block_table), min_match_len, sparse_factor)
 
 
 def base_edges(runs: DataFrame) -> DataFrame:

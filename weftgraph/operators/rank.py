@@ -30,3 +30,18 @@ def running_sum(df: DataFrame, at: str, value: str, name: str, block: int = 1 <<
     before = d.groupBy("_b").agg(F.sum(value).alias("_v")).select("_b", F.coalesce(F.sum("_v").over(w), F.lit(0)).alias("_o"))
     inside = W.partitionBy("_b").orderBy(at)
     return d.withColumn("_i", F.sum(value).over(inside)).join(before, "_b").withColumn(name, F.col("_o") + F.col("_i")).drop("_b", "_i", "_o")
+
+
+def neighbours(df: DataFrame, at: str, *cols: str, block: int = 1 << 14) -> DataFrame:
+    """``df`` with ``_prev`` and ``_next``: structs of ``at`` and ``cols`` of the rows before and after it by the long ``at`` (null at the ends).
+
+    Windows run inside blocks of positions; between blocks the last and first rows of
+    each meet, one row a block, so a sequence of any length is spread over all tasks.
+    """
+    d = df.withColumn("_b", F.floor(F.col(at) / block)).withColumn("_own", F.struct(at, *cols))
+    ends = d.groupBy("_b").agg(F.min("_own").alias("_f"), F.max("_own").alias("_l"))
+    w = W.orderBy("_b")  # one row per block
+    ends = ends.select("_b", F.lag("_l").over(w).alias("_before"), F.lead("_f").over(w).alias("_after"))
+    inside = W.partitionBy("_b").orderBy(at)
+    d = d.withColumn("_prev", F.lag("_own").over(inside)).withColumn("_next", F.lead("_own").over(inside)).join(ends, "_b")
+    return d.withColumn("_prev", F.coalesce("_prev", "_before")).withColumn("_next", F.coalesce("_next", "_after")).drop("_b", "_own", "_before", "_after")

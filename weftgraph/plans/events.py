@@ -11,25 +11,43 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.functions.cigar import CIGAR_TYPE
-from weftgraph.operators.sequences import build_sequences
+from weftgraph.operators.rank import numbered
+from weftgraph.operators.sequences import blocks_of_bases, with_text
 from weftgraph.plans.induce import Graph, induce
-from weftgraph.plans.work import table
+from weftgraph.plans.work import drop, table
 
 #: Event type -> base; any other type is N.
 EVENT_BASES = {"click": "A", "purchase": "C", "signup": "G", "view": "T"}
 
 
-def event_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+def event_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(user_id, ts, event_id, base, q): events with their place in the concatenation, by a range sort."""
     base = F.lit("N")
     for kind, b in EVENT_BASES.items():
         base = F.when(F.col("event_type") == kind, b).otherwise(base)
-    own = e.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", base.alias("b")))).alias("x"))
-    return own.select(F.col("user_id").alias("rec_no"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("name"), F.array_join(F.transform("x", lambda v: v["b"]), "").alias("seq"))
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "ts", "event_id", base.alias("base"))
+    return table(numbered(e, "user_id", "ts", "event_id", name="q"), "event_bases")
+
+
+def event_index(placed: DataFrame) -> DataFrame:
+    """(seq_id, name, seq_offset, seq_len): no user's events are gathered."""
+    own = placed.groupBy("user_id").agg(F.min("q").alias("seq_offset"), F.count("*").alias("seq_len"))
+    own = numbered(own, "seq_offset", name="seq_id", start=1)
+    name = F.concat(F.lit("u"), F.col("user_id").cast("string"))
+    return table(own.select(F.col("seq_id").cast("long").alias("seq_id"), name.alias("name"), F.col("seq_offset").cast("long").alias("seq_offset"), "seq_len"), "event_index")
+
+
+def event_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(index, blocks) of the events' sequences."""
+    placed = event_bases(spark, sf_dir)
+    out = event_index(placed), table(blocks_of_bases(placed), "event_blocks")
+    drop(placed)
+    return out
 
 
 def event_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(build_sequences(event_records(spark, sf_dir), check_names=False), "event_sequences")
+    """The index with whole texts in ``seq``, for what writes or shows them."""
+    return with_text(*event_tables(spark, sf_dir))
 
 
 def event_alignments(sequences: DataFrame) -> DataFrame:
@@ -47,5 +65,5 @@ def event_alignments(sequences: DataFrame) -> DataFrame:
 
 
 def event_graph(spark: SparkSession, sf_dir: str, **options) -> Graph:
-    s = event_sequences(spark, sf_dir)
-    return induce(s, event_alignments(s), check=False, **options)
+    index, held = event_tables(spark, sf_dir)
+    return induce(index, event_alignments(index), held, check=False, **options)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from weftgraph.operators import closure, graph
 from weftgraph.operators.matches import both_directions, unpack
-from weftgraph.operators.sequences import bases, build_sequences
+from weftgraph.operators.sequences import bases, blocks, build_sequences
 from weftgraph.plans.work import table
 from weftgraph.sources.alignments import read_paf_list
 from weftgraph.sources.graphs import write_gfa
@@ -60,20 +60,22 @@ class Graph:
 def induce(
     sequences: DataFrame,
     alignments: DataFrame,
+    block_table: DataFrame | None = None,
     min_match_len: int = 0,
     sparse_factor: float = 0.0,
     repeat_max: int = 0,
     min_repeat_dist: int = 0,
     check: bool = True,
 ) -> Graph:
-    """Graph of a sequence table (``build_sequences``) and PAF rows (``read_paf``).
+    """Graph of a sequence table (``build_sequences``; or without ``seq``, but with ``block_table``) and PAF rows (``read_paf``).
 
     The size of closure batches of other tools has no counterpart: components of
     all bases are found at once and positions are ranks, so no batch changes them.
     """
-    seqs = table(sequences, "sequences")
-    runs = table(unpack(alignments, seqs, min_match_len, sparse_factor), "runs")
-    members = closure.base_components(bases(seqs), runs)
+    seqs = table(sequences.drop("seq"), "sequences")
+    held = table(blocks(sequences), "blocks") if block_table is None else block_table
+    runs = table(unpack(alignments, seqs, held, min_match_len, sparse_factor), "runs")
+    members = closure.base_components(bases(seqs, held), runs)
     mapped = table(closure.base_map(members, repeat_max, min_repeat_dist), "base_map")
     chain = table(closure.chained(mapped), "chain")
     node_table = table(graph.nodes(chain, closure.graph_bases(mapped)), "nodes")

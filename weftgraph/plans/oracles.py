@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from weftgraph.plans.files import STOP
+
 _B = """
 ev AS (SELECT user_id, ts, event_id, CASE event_type WHEN 'click' THEN 'A' WHEN 'purchase' THEN 'C' WHEN 'signup' THEN 'G' WHEN 'view' THEN 'T' ELSE 'N' END AS base FROM events),
 b AS (SELECT row_number() OVER (ORDER BY user_id, ts, event_id) - 1 AS q, dense_rank() OVER (ORDER BY user_id) AS seq_id, user_id, base FROM ev),
@@ -65,6 +67,7 @@ r AS (SELECT o_orderkey AS r_id, s AS r_start, s + n AS r_end, s * 2 + 50 AS pos
 _CG = "c AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) || 'M' || l_linenumber || 'I' || l_suppkey || '=' AS text FROM lineitem)"
 _SIGN = "CASE WHEN {0} THEN '-' ELSE '+' END"
 _U = "18446744073709551615::HUGEINT"
+_PAF = f"qn AS query_name, ql AS query_len, CAST(0 AS BIGINT) AS query_start, n AS query_end, {_SIGN.format('rev')} AS strand, tn AS target_name, tl AS target_len, CAST(ts AS BIGINT) AS target_start, ts + n AS target_end"
 _PK = "pk AS (SELECT (q << 1) | CAST(is_rev AS BIGINT) AS qp, t << 1 AS tp, len FROM runs)"
 
 
@@ -125,4 +128,38 @@ UNION ALL SELECT DISTINCT concat('J', chr(9), from_id, chr(9), to_id, chr(9), CA
 UNION ALL SELECT concat('A', chr(9), node_id, chr(9), name, chr(10), 'I', chr(9), 0, chr(9), n, chr(9), CASE WHEN is_rev THEN a + n ELSE a END, chr(9), CASE WHEN is_rev THEN a ELSE a + n END) FROM (
   SELECT st.node_id, name, st.is_rev, s_end - s_start AS n, CAST(coalesce(sum(s_end - s_start) OVER (PARTITION BY seq_id ORDER BY q ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS a FROM st JOIN nd USING (node_id) JOIN s USING (seq_id))""",
     "validate_paths": f"{_R}{_IV} SELECT s.seq_id, s.seq_len, CAST(sum(q_end - q_start) AS BIGINT) AS spelled, CAST(0 AS BIGINT) AS faults FROM s JOIN iv USING (seq_id) GROUP BY s.seq_id, s.seq_len",
+} | {
+    "fasta_scan": f"WITH {_B} SELECT seq_id - 1 AS rec_no, CASE WHEN seq_id % 3 = 0 THEN '>' ELSE '' END || name AS name, seq FROM s",
+    "fastq_scan": f"WITH {_B} SELECT seq_id - 1 AS rec_no, CASE WHEN seq_id % 3 = 0 THEN '>' ELSE '' END || name AS name, seq FROM s",
+    "gzip_scan": f"WITH {_B} SELECT seq_id - 1 AS rec_no, name, seq FROM s",
+    "format_sniff": "SELECT * FROM (VALUES (0, 'fasta'), (1, 'fastq')) t(n, kind)",
+    "paf_list_scan": f"WITH {_AL} SELECT {_PAF}, CAST(CASE WHEN kind = 1 THEN 3 ELSE 0 END AS BIGINT) AS min_match_len FROM al",
+    "paf_stop": f"WITH {_AL} SELECT {_PAF} FROM al ORDER BY qi, kind LIMIT {STOP}",
+    "paf_skip": f"WITH {_AL} SELECT {_PAF} FROM al",
+    "sxs_scan": f"WITH {_AL} SELECT qn AS query_name, tn AS target_name, CAST(0 AS BIGINT) AS query_start, n AS query_end, CAST(ts AS BIGINT) AS target_start, ts + n AS target_end, n AS num_matches, n AS len, 'M' AS op, 60 AS mapq FROM al",
+    "gfa_file": f"""{_R}{_ND}, li AS (SELECT 0 AS kind, 0 AS a, 0 AS b, 0 AS c, 0 AS d, 'H' || chr(9) || 'VN:Z:1.0' AS line
+UNION ALL SELECT 1, node_id, 0, 0, 0, concat('S', chr(9), node_id, chr(9), seq) FROM nd
+UNION ALL SELECT DISTINCT 2, from_id, CAST(from_rev AS INT), to_id, CAST(to_rev AS INT), concat('L', chr(9), from_id, chr(9), {_SIGN.format("from_rev")}, chr(9), to_id, chr(9), {_SIGN.format("to_rev")}, chr(9), '0M') FROM lk WHERE to_id IS NOT NULL
+UNION ALL SELECT 3, seq_id, 0, 0, 0, concat('P', chr(9), name, chr(9), string_agg(node_id || {_SIGN.format("is_rev")}, ',' ORDER BY q), chr(9), '*') FROM st JOIN s USING (seq_id) GROUP BY seq_id, name)
+SELECT row_number() OVER (ORDER BY kind, a, b, c, d) - 1 AS n, line FROM li""",
+    "scaffold_files": f"""{_R}{_ND},
+j AS (SELECT DISTINCT from_id, to_id, concat('J', chr(9), from_id, chr(9), to_id, chr(9), CASE WHEN from_rev THEN 's' ELSE 'e' END, chr(9), CASE WHEN to_rev THEN 'e' ELSE 's' END) AS line, from_rev, to_rev FROM lk WHERE to_id IS NOT NULL),
+x AS (SELECT st.node_id, name, st.is_rev, q, s_end - s_start AS n, CAST(coalesce(sum(s_end - s_start) OVER (PARTITION BY seq_id ORDER BY q ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS a FROM st JOIN nd USING (node_id) JOIN s USING (seq_id)),
+y AS (SELECT 2 * q AS k, concat('A', chr(9), node_id, chr(9), name) AS line FROM x UNION ALL SELECT 2 * q + 1, concat('I', chr(9), 0, chr(9), n, chr(9), CASE WHEN is_rev THEN a + n ELSE a END, chr(9), CASE WHEN is_rev THEN a ELSE a + n END) FROM x)
+SELECT 'seq' AS kind, row_number() OVER (ORDER BY node_id) - 1 AS n, concat('S', chr(9), length(seq), chr(9), seq) AS line FROM nd
+UNION ALL SELECT 'scf', row_number() OVER (ORDER BY from_id, to_id, line) - 1, line FROM j
+UNION ALL SELECT 'sxs', row_number() OVER (ORDER BY k) - 1, line FROM y""",
+    "index_round_trip": f"WITH {_B} SELECT seq_id, name, seq_offset, seq_len FROM s",
+    "duplicate_names": "SELECT 'n' || c_nationkey AS name, count(*) AS n FROM customer GROUP BY c_nationkey HAVING count(*) > 1",
+    "part_sequences": """WITH p AS (SELECT p_partkey, upper(replace(p_name, ' ', '')) AS seq FROM part WHERE p_partkey % 7 <> 0 AND length(replace(p_name, ' ', '')) > 0)
+SELECT row_number() OVER w AS seq_id, 'p' || p_partkey AS name, CAST(coalesce(sum(length(seq)) OVER (ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS seq_offset, length(seq) AS seq_len, seq FROM p WINDOW w AS (ORDER BY p_partkey)""",
+    "header_names": "SELECT p_partkey, split_part(p_name, ' ', 1) AS name FROM part",
+    "integer_hashes": f"""WITH k0 AS (SELECT o_orderkey, CAST(o_orderkey AS HUGEINT) * 1000003 AS x FROM orders),
+k1 AS (SELECT o_orderkey, ({_U} - x + x * 2097152) & {_U} AS x FROM k0), k2 AS (SELECT o_orderkey, xor(x, x // 16777216) AS x FROM k1),
+k3 AS (SELECT o_orderkey, (x * 265) & {_U} AS x FROM k2), k4 AS (SELECT o_orderkey, xor(x, x // 16384) AS x FROM k3),
+k5 AS (SELECT o_orderkey, (x * 21) & {_U} AS x FROM k4), k6 AS (SELECT o_orderkey, xor(x, x // 268435456) AS x FROM k5),
+k7 AS (SELECT o_orderkey, (x + x * 2147483648) & {_U} AS x FROM k6)
+SELECT o_orderkey, CAST(CASE WHEN x > 9223372036854775807 THEN x - 18446744073709551616::HUGEINT ELSE x END AS BIGINT) AS hash FROM k7""",
+    "map_fault_counts": f"WITH {_B} SELECT q, CAST(2 AS BIGINT) AS n FROM b WHERE q % 10 = 0",
+    "pair_one_vs_rest": "SELECT x.n_regionkey, x.n_nationkey AS a, y.n_nationkey AS b FROM nation x JOIN nation y ON x.n_regionkey = y.n_regionkey AND x.n_nationkey <> y.n_nationkey",
 }

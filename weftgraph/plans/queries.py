@@ -14,7 +14,8 @@ from weftgraph.operators import closure, graph, intervals
 from weftgraph.operators.components import connected_components
 from weftgraph.operators.matches import base_edges, both_directions, kept_runs, locate, match_runs, valid_row
 from weftgraph.operators.sequences import bases
-from weftgraph.plans.events import event_alignments, event_graph, event_sequences
+from weftgraph.plans import files
+from weftgraph.plans.events import event_alignments, event_graph, event_sequences, event_tables
 from weftgraph.plans.work import table
 from weftgraph.sources.alignments import paf_lines, parse_paf, sxs_lines
 from weftgraph.sources.graphs import join_lines, node_lines, step_alignment_lines
@@ -25,11 +26,11 @@ L = lambda c: F.col(c).cast("long").alias(c)
 
 
 def sequence_index(spark: SparkSession, d: str) -> DataFrame:
-    return event_sequences(spark, d).select("seq_id", "name", "seq_offset", "seq_len")
+    return event_tables(spark, d)[0]
 
 
 def base_table(spark: SparkSession, d: str) -> DataFrame:
-    return bases(event_sequences(spark, d))
+    return bases(*event_tables(spark, d))
 
 
 def complement(spark: SparkSession, d: str) -> DataFrame:
@@ -94,13 +95,13 @@ def paf_valid_filter(spark: SparkSession, d: str) -> DataFrame:
 
 
 def paf_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    a = event_alignments(event_sequences(spark, d))
+    a = event_alignments(event_tables(spark, d)[0])
     p = parse_paf(paf_lines(a).withColumnRenamed("line", "value"))
     return p.select("query_name", "query_len", "query_start", "query_end", "strand", "target_name", "target_len", "target_start", "target_end", cigar.format_cigar(F.col("cigar")).alias("cigar"))
 
 
 def sxs_records(spark: SparkSession, d: str) -> DataFrame:
-    a = event_alignments(event_sequences(spark, d))
+    a = event_alignments(event_tables(spark, d)[0])
     return sxs_lines(a.withColumn("rec", F.concat_ws(">", "query_name", "target_name"))).select("rec", "line")
 
 
@@ -116,8 +117,8 @@ def pair_enumeration(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _runs(spark: SparkSession, d: str, **options) -> DataFrame:
-    s = event_sequences(spark, d)
-    return kept_runs(match_runs(locate(event_alignments(s), s)), **options)
+    index, held = event_tables(spark, d)
+    return kept_runs(match_runs(locate(event_alignments(index), index), held), **options)
 
 
 def match_runs_all(spark: SparkSession, d: str) -> DataFrame:
@@ -145,7 +146,7 @@ def match_sparse(spark: SparkSession, d: str) -> DataFrame:
 
 
 def seq_asof_lookup(spark: SparkSession, d: str) -> DataFrame:
-    s = event_sequences(spark, d).select(F.col("seq_offset").alias("start"), "seq_id")
+    s = event_tables(spark, d)[0].select(F.col("seq_offset").alias("start"), "seq_id")
     p = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("p"))
     return intervals.asof_join(p, s).select("p", "start", "seq_id")
 
@@ -175,8 +176,8 @@ def component_sizes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _members(spark: SparkSession, d: str) -> DataFrame:
-    s = event_sequences(spark, d)
-    return table(closure.base_components(bases(s), kept_runs(match_runs(locate(event_alignments(s), s)))), "members")
+    index, held = event_tables(spark, d)
+    return table(closure.base_components(bases(index, held), kept_runs(match_runs(locate(event_alignments(index), index), held))), "members")
 
 
 def repeat_groups_r1(spark: SparkSession, d: str) -> DataFrame:
@@ -244,4 +245,4 @@ QUERIES: dict[str, Query] = {
         seq_asof_lookup, interval_overlap_join, point_in_interval, component_sizes, repeat_groups_r1, repeat_groups_l, base_map, base_map_r2, graph_bases,
         path_intervals, node_table, path_steps, links, link_frequency, gfa_lines, scaffold_lines, validate_paths,
     )
-} | {"match_runs": match_runs_all, "match_hash": match_hashes, "connected_components": components}
+} | {"match_runs": match_runs_all, "match_hash": match_hashes, "connected_components": components} | files.QUERIES

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import warnings
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.functions.cigar import format_cigar, parse_cigar
 from weftgraph.functions.text import alignment_list, tokens
 from weftgraph.operators.matches import valid_row
-from weftgraph.operators.rank import running_sum
-from weftgraph.plans.work import table
+from weftgraph.operators.rank import numbered, running_sum
 from weftgraph.sources.lines import read_lines
 
 #: The twelve columns of PAF and their types.
@@ -37,17 +36,17 @@ def parse_paf(lines: DataFrame) -> DataFrame:
 def read_paf(spark: SparkSession, path: str, min_match_len: int = 0, on_bad_row: str = "stop") -> DataFrame:
     """Valid rows of one file.  At a blank or invalid row: ``stop`` ends the file there, ``skip`` goes on, ``raise`` raises."""
     rows = read_lines(spark, path)
-    first = rows.where("value != ''").orderBy("block", "place").limit(1).select("value").collect()
+    first = rows.where("value != ''").orderBy("file", "block", "place").limit(1).select("value").collect()
     if first and "cg:Z:" not in first[0].value:
         warnings.warn(f"{path} has no cg:Z: tag: without base-level alignments no matches are made", stacklevel=2)
     parsed = parse_paf(rows).withColumn("min_match_len", F.lit(min_match_len).cast("long"))
     if on_bad_row != "skip":
-        end = parsed.where(~valid_row()).agg(F.min(F.struct("block", "place")).alias("x")).first().x
+        end = parsed.where(~valid_row()).agg(F.min(F.struct("file", "block", "place")).alias("x")).first().x
         if end is not None:
             if on_bad_row == "raise":
                 raise BadAlignment(f"{path} has a blank or invalid row")
-            parsed = parsed.where((F.col("block") < end.block) | ((F.col("block") == end.block) & (F.col("place") < end.place)))
-    return parsed.where(valid_row()).drop("block", "place")
+            parsed = parsed.where(F.struct("file", "block", "place") < F.struct(F.lit(end.file).alias("file"), F.lit(end.block).cast("long").alias("block"), F.lit(end.place).cast("long").alias("place")))
+    return parsed.where(valid_row()).drop("file", "block", "place")
 
 
 def read_paf_list(spark: SparkSession, spec: str | list[tuple[str, int]], on_bad_row: str = "stop") -> DataFrame:
@@ -62,14 +61,18 @@ def read_paf_list(spark: SparkSession, spec: str | list[tuple[str, int]], on_bad
     return out
 
 
-def paf_lines(paf: DataFrame) -> DataFrame:
+def paf_line() -> Column:
     cols = [F.col(n).cast("string") for n, _ in PAF_FIELDS]
-    return paf.select(F.concat_ws("\t", *cols, F.concat(F.lit("cg:Z:"), format_cigar(F.col("cigar")))).alias("line"))
+    return F.concat_ws("\t", *cols, F.concat(F.lit("cg:Z:"), format_cigar(F.col("cigar"))))
+
+
+def paf_lines(paf: DataFrame) -> DataFrame:
+    return paf.select(paf_line().alias("line"))
 
 
 def read_sxs(spark: SparkSession, path: str) -> DataFrame:
     """One row per record; a record starts at a line tagged A.  Lines before the first one are ignored."""
-    lines = table(read_lines(spark, path).select("value", (F.col("block") * 0 + F.col("place")).alias("at")), "sxs")
+    lines = numbered(read_lines(spark, path), "file", "block", "place", name="at").select("value", "at")
     lines = running_sum(lines.withColumn("new", F.when(F.col("value").startswith("A"), 1).otherwise(0)), "at", "new", "rec").where("rec > 0")
     f = tokens(F.col("value"))
     tagged = lines.select("rec", F.substring("value", 1, 1).alias("tag"), f.alias("f"))

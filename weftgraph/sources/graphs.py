@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -25,11 +24,20 @@ def join_lines(links: DataFrame) -> DataFrame:
 
 
 def step_alignment_lines(steps: DataFrame, nodes: DataFrame, sequences: DataFrame) -> DataFrame:
-    """(seq_id, q, line): A and I lines of every step: the node against its place in the sequence."""
-    n = steps.join(nodes.select("node_id", (F.col("s_end") - F.col("s_start")).alias("n")), "node_id").join(sequences.select("seq_id", "name"), "seq_id")
-    w = W.partitionBy("seq_id").orderBy("q").rowsBetween(W.unboundedPreceding, -1)
-    n = n.withColumn("at", F.coalesce(F.sum("n").over(w), F.lit(0)))
-    a, b = F.col("at"), F.col("at") + F.col("n")
+    """(seq_id, q, line): A and I lines of every step: the node against its place in the sequence.
+
+    A forward step begins where the path enters the node, a reverse step ends there.
+    """
+    n = steps.join(nodes.select("node_id", (F.col("s_end") - F.col("s_start")).alias("n")), "node_id").join(sequences.select("seq_id", "name", "seq_offset"), "seq_id")
+    a = F.col("q") - F.col("seq_offset") - F.when(F.col("is_rev"), F.col("n") - 1).otherwise(0)
+    b = a + F.col("n")
     s, e = F.when(F.col("is_rev"), b).otherwise(a), F.when(F.col("is_rev"), a).otherwise(b)
     line = F.concat_ws("\n", F.concat_ws("\t", F.lit("A"), F.col("node_id").cast("string"), "name"), F.concat_ws("\t", F.lit("I"), F.lit("0"), F.col("n").cast("string"), s.cast("string"), e.cast("string")))
     return n.select("seq_id", "q", line.alias("line"))
+
+
+def write_scaffolds(nodes: DataFrame, links: DataFrame, steps: DataFrame, sequences: DataFrame, path: str) -> None:
+    """Three folders: ``seq`` (nodes by id), ``scf`` (joins by ends) and ``sxs`` (steps by sequence and place)."""
+    node_lines(nodes).orderBy("node_id").select("line").write.text(f"{path}/seq")
+    join_lines(links).orderBy("from_id", "to_id", "line").select("line").write.text(f"{path}/scf")
+    step_alignment_lines(steps, nodes, sequences).orderBy("q").select("line").write.text(f"{path}/sxs")

@@ -8,10 +8,16 @@ from pyspark.sql import functions as F
 
 
 def read_lines(spark: SparkSession, path: str, line_sep: str | None = None) -> DataFrame:
-    """(value, block, place): order by (block, place) is file order.  ``.gz`` is decoded by its extension."""
+    """(value, file, block, place): order by the last three is file order, files of a folder by name.  ``.gz`` is decoded by its extension."""
     reader = spark.read.option("lineSep", line_sep) if line_sep else spark.read
     try:
         df = reader.text(path)
     except AnalysisException as e:
         raise FileNotFoundError(path) from e
-    return df.select("value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"))
+    return df.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"))
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there; nothing of it is read."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p))

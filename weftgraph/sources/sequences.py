@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.operators.rank import numbered
+from weftgraph.plans.work import bounded
 from weftgraph.sources.lines import read_lines
 
 
@@ -19,7 +20,7 @@ def header_name(header: Column) -> Column:
 
 
 def sniff(spark: SparkSession, path: str) -> str:
-    first = read_lines(spark, path).orderBy("block", "place").limit(1).collect()
+    first = read_lines(spark, path).orderBy("file", "block", "place").limit(1).collect()
     kind = {">": "fasta", "@": "fastq"}.get(first[0].value[:1] if first else "")
     if not kind:
         raise UnknownFormat(f"{path} begins with neither '>' nor '@'")
@@ -28,16 +29,18 @@ def sniff(spark: SparkSession, path: str) -> str:
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """(rec_no, name, seq): records are split at line starts with '>', so large plain files are read in parallel."""
-    r = read_lines(spark, path, "\n>")
+    r = numbered(read_lines(spark, path, "\n>"), "file", "block", "place", name="rec_no")
+    # the separator takes the '>' of all records but a file's first
+    heads = r.groupBy("file").agg(F.min("rec_no").alias("rec_no")).select("rec_no", F.lit(True).alias("_head"))
+    r = r.join(bounded(heads, 100_000), "rec_no", "left").withColumn("value", F.when(F.col("_head"), F.substring(F.col("value"), F.lit(2), F.length("value"))).otherwise(F.col("value")))
     body = F.when(F.instr("value", "\n") > 0, F.substring(F.col("value"), F.instr("value", "\n") + 1, F.length("value"))).otherwise(F.lit(""))
-    first = F.regexp_replace(F.substring_index("value", "\n", 1), "[>\r]", "")
-    r = r.select("block", "place", header_name(first).alias("name"), F.regexp_replace(body, "[\r\n]", "").alias("seq"))
-    return numbered(r, "block", "place", name="rec_no").select("rec_no", "name", "seq")
+    first = F.regexp_replace(F.substring_index("value", "\n", 1), "\r", "")
+    return r.select("rec_no", header_name(first).alias("name"), F.regexp_replace(body, "[\r\n]", "").alias("seq"))
 
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     """(rec_no, name, seq) of strict four-line records; delimiter and quality are dropped."""
-    lines = numbered(read_lines(spark, path), "block", "place", name="n").withColumn("rec_no", F.floor(F.col("n") / 4))
+    lines = numbered(read_lines(spark, path), "file", "block", "place", name="n").withColumn("rec_no", F.floor(F.col("n") / 4))
     two = lines.where("n % 4 < 2").groupBy("rec_no").agg(
         F.max(F.when(F.col("n") % 4 == 0, F.col("value"))).alias("h"), F.max(F.when(F.col("n") % 4 == 1, F.col("value"))).alias("seq")
     )
@@ -55,6 +58,11 @@ def fasta_lines(sequences: DataFrame, width: int = 60) -> DataFrame:
     return sequences.select("seq_id", F.concat(F.lit(">"), "name", F.lit("\n"), wrapped).alias("line"))
 
 
+def fastq_lines(sequences: DataFrame) -> DataFrame:
+    """(seq_id, line): a record of four lines per row, all of one quality."""
+    return sequences.select("seq_id", F.concat(F.lit("@"), "name", F.lit("\n"), "seq", F.lit("\n+\n"), F.repeat(F.lit("I"), F.length("seq"))).alias("line"))
+
+
 def write_fasta(sequences: DataFrame, path: str, width: int = 60) -> None:
     fasta_lines(sequences, width).orderBy("seq_id").select("line").write.text(path)
 

@@ -17,6 +17,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from weftgraph.operators.components import connected_components
 from weftgraph.operators.matches import base_edges, unpack, valid_row
+from weftgraph.operators.sequences import blocks
+from weftgraph.plans.work import table
 from weftgraph.sources.alignments import parse_paf
 
 
@@ -46,9 +48,11 @@ class ComponentStore:
 
 def follow(spark: SparkSession, folder: str, sequences: DataFrame, store: ComponentStore, checkpoint: str, min_match_len: int = 0) -> StreamingQuery:
     """Reads the files that are in ``folder`` and not yet done, then ends; rows that are not valid are skipped."""
+    held = table(blocks(sequences), "blocks")
+    index = sequences.drop("seq")
 
     def batch(lines: DataFrame, number: int) -> None:
         paf = parse_paf(lines).withColumn("min_match_len", F.lit(0).cast("long")).where(valid_row())
-        store.merge(base_edges(unpack(paf, sequences, min_match_len)), number)
+        store.merge(base_edges(unpack(paf, index, held, min_match_len)), number)
 
     return spark.readStream.text(folder).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
