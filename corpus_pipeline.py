@@ -3,6 +3,11 @@
 Every stage takes what its predecessor kept.  The first four return rows of
 ``documents`` with its columns; the last writes the token files and returns what
 they say of each document.
+
+Nulls: a null text has no words, so the quality stage rejects it; a null id, source or lang is a
+value of its own.  Empty texts go with the null ones; very long ones are handled whole.  Ties and repeated rows: rows equal in id and
+text are near duplicates, one stays; equal ranks of the mix are settled by id.  Empty tables: no rows.
+Extra columns of ``documents``, whatever their names, pass through the first four stages.
 """
 
 from __future__ import annotations
@@ -57,11 +62,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet and read again by the next."""
-    from weftgraph.plans.work import table
+    from weftgraph.plans.work import drop, table
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        given, docs = docs, stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = table(docs, name)
+        drop(given)
     return docs
