@@ -102,15 +102,76 @@ def test_mix(spark, docs, none):
         assert 0 <= r._copies <= 3
         taken[r._src] += r._copies * r._size
     for s in order:
-        assert abs(taken[s] - target[s]) <= max(len(WORD.findall(r[1] or "")) for r in ROWS if r[3] == s)
+        assert abs(taken[s] - target[s]) <= max(sum(len(WORD.findall(x[1] or "")) for x in ROWS if x[:2] == r[:2] and x[3] == s) for r in ROWS if r[3] == s)
     assert rows_of(mixing.mix(docs)) == Counter(tuple(r) for r in got)
     assert mixing.mix_documents(docs).agg({"*": "count"}).first()[0] == sum(r._copies for r in got)
     assert mixing.mix(none).count() == 0
 
 
+def test_inclusion_frequencies(spark):
+    """Over many sources alike a document is taken as often as its probability says: by words, the longest for certain."""
+    sizes, copies = [5 + 7 * (i % 11) for i in range(40)] + [900], 150
+    rows = [(1000 * k + i, " ".join(["w"] * n), f"s{k:03}") for k in range(copies) for i, n in enumerate(sizes)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(d).collect()
+    total = sum(sizes)
+    for which, weight in enumerate((5, 2, 1)):
+        target = next(r._target for r in got if int(r._src[1:]) % 3 == which)
+        assert target == pytest.approx(total * weight * 3 / 8)
+        whole, need = divmod(target, total)
+        sure, p = set(), []
+        while True:  # documents with p >= 1 are certain, the others are rescaled
+            lam = (need - sum(sizes[i] for i in sure)) / sum(n * n for i, n in enumerate(sizes) if i not in sure)
+            p = [1.0 if i in sure else lam * n for i, n in enumerate(sizes)]
+            if max(p) <= 1:
+                break
+            sure |= {i for i, x in enumerate(p) if x > 1}
+        taken = Counter(r._id % 1000 for r in got if int(r._src[1:]) % 3 == which and r._copies > whole)
+        rounds = copies // 3
+        assert all(taken[i] == rounds for i in sure)
+        for low, high in ((0, 30), (30, 60), (60, 99)):
+            of = [i for i, n in enumerate(sizes) if low <= n < high]
+            want, have = sum(p[i] for i in of) / len(of), sum(taken[i] for i in of) / rounds / len(of)
+            assert abs(have - want) < 0.05 + 4 * math.sqrt(want * (1 - want) / rounds / len(of)), (weight, low, have, want)
+
+
+def test_mix_of_equal_rows(spark):
+    rows = [(None, "a b c d", "s")] * 6 + [(1, "e f", "s"), (None, "g h i", "s"), (2, "x " * 50, "t")]
+    d = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, source string, _row string")
+    got = mixing.mix_documents(d)
+    assert got.columns == d.columns
+    n = Counter((r.doc_id, r.text) for r in got.collect())
+    assert n[(None, "a b c d")] % 6 == 0
+
+
 # --- 2 and 9
 
 
+def thue_morse(n, a, b):
+    x = [a]
+    while len(x) < n:
+        x += [b if y == a else a for y in x]
+    return x[:n]
+
+
+def test_no_family_of_texts_collides(spark):
+    one, two = ("".join(thue_morse(1024, *ab)) for ab in ("ab", "ba"))
+    for joiner in ("", " "):
+        x, y = joiner.join(one), joiner.join(two)
+        buf = np.frombuffer((x + "\n" + y).encode(), np.uint8)
+        s, e = np.array([0, len(x) + 1]), np.array([len(x), len(buf)])
+        h = tx.span_hash(buf, s, e)
+        assert h[0] != h[1]
+        f = quality._features(buf, np.array([0, len(buf)]))
+        assert f[3, 0] == 0
+    r, g = jaccard.run_sets(np.frombuffer((one + two).encode(), np.uint8), np.array([0, 1024, 2048]))
+    assert g[0] != g[1]
+    words = [" ".join(thue_morse(1100, *w)) for w in (("xa", "xb"), ("xb", "xa"))]
+    d = spark.createDataFrame(list(enumerate([one + " " + "k " * 3, two, *words])), "doc_id long, text string")
+    want = Counter((i, n, k, h) for (i, _), (n, k, _, h) in zip(d.collect(), brute_repeats([t.encode().split() for t in (one + " " + "k " * 3, two, *words)], 20, b" ".join), strict=True))
+    assert rows_of(substrings.digest(d, 20, 4)) == want
+
+
 def brute_repeats(seqs, length, join):
     c = Counter(tuple(s[i : i + length]) for s in seqs for i in range(len(s) - length + 1))
     out = []
@@ -124,7 +185,7 @@ def brute_repeats(seqs, length, join):
     return out
 
 
-@pytest.mark.parametrize("hot", [30_000, 2])
+@pytest.mark.parametrize("hot", [2_000, 2])
 def test_repeats(docs, hot):
     raw = [t.encode() for _, t in TEXTS]
     want = Counter((i, n, k, h) for (i, _), (n, k, _, h) in zip(TEXTS, brute_repeats([t.split() for t in raw], 12, b" ".join), strict=True))
@@ -206,9 +267,149 @@ def test_decontamination_of_names_that_open_sentences(spark):
     assert {(1, 1), (2, 2)} <= got
 
 
+def test_decontamination_maps_names_both_ways(spark):
+    bench = spark.createDataFrame([(1, "we ask whether Anna Bell and Otto Kern and Paul Lenz and Rosa Maus ever met before that day")], "item_id long, text string")
+    same = "we ask whether {} and {} and {} and {} ever met before that day"
+    rows = [(1, same.format("Ida Ross", "Tom Hill", "Max Wolf", "Eva Stein")), (2, same.format("Ida Ross", "Ida Ross", "Ida Ross", "Ida Ross"))]
+    got = decontamination.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench)
+    assert [r.id for r in got.collect()] == [1]
+
+
+def test_decontamination_of_periodic_texts(spark):
+    bench = spark.createDataFrame([(1, "la " * 40), (2, "one two three four " * 9)], "item_id long, text string")
+    rows = [(1, "la " * 3000), (2, "one two three four " * 2000), (3, "la la la la la"), (4, "four three two one " * 50)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    for limit in (decontamination.FILTER, 0):
+        got = {(r.id, r.item): r.share for r in decontamination.contaminated(d, bench, filter_rows=limit).collect()}
+        assert got == {(1, 1): 1.0, (2, 2): 1.0}
+
+
+def brute_template(text):
+    """[(word, kind of slot or 0) by reading] and the words, of a text in plain ASCII."""
+    readings, low = [[], []], []
+    lines = text.split("\n")
+    words = [(w, k > 0) for line in lines for k, w in enumerate(WORD.findall(line))]
+    previous = None
+    for w, inside in words:
+        core = w.strip("".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())) or w
+        number, name = core[0].isdigit(), core[0].isupper() and len(core) > 1 and not core[1].isupper()
+        unit = bool(previous and previous[0].isdigit() and not number and core.lower() in decontamination.UNITS)
+        ends = previous_raw[-1] in ".!?:;" if previous else True
+        for i, is_name in enumerate((name, name and inside and not ends)):
+            kind = 1 if number else 3 if unit else 2 if is_name else 0
+            readings[i].append((("#", "number", "name", "unit")[kind] if kind else core.lower(), kind))
+        low.append(core.lower())
+        previous, previous_raw = core, w
+    return readings, low
+
+
+def brute_leaks(docs, items, n=8):
+    """(document, item) by all places against all places."""
+    out = set()
+
+    def windows(text, size):
+        readings, low = brute_template(text)
+        for i in range(len(low) - size + 1):
+            rich = [sum(not k for _, k in r[i : i + size]) >= 3 for r in readings]
+            for which, r in enumerate(readings):
+                if which == 1 and rich[1]:
+                    yield i, rich[1], False, ("t", *[w for w, _ in r[i : i + size]]), [(low[i + j], k) for j, (_, k) in enumerate(r[i : i + size]) if k]
+                if which == 0:
+                    key = ("t", *[w for w, _ in r[i : i + size]]) if rich[0] else ("e", *low[i : i + size])
+                    yield i, rich[1], True, key, [(low[i + j], k) for j, (_, k) in enumerate(r[i : i + size]) if k]
+
+    for item, it in items:
+        size = min(n, len(brute_template(it)[1]))
+        if size < 5:
+            continue
+        of = defaultdict(list)
+        for x in windows(it, size):
+            of[x[3]].append(x)
+        total = len(brute_template(it)[1]) - size + 1
+        rich_total = len({x[0] for xs in of.values() for x in xs if x[1]})
+        for doc, text in docs:
+            diag = defaultdict(list)
+            for x in windows(text, size):
+                for y in of.get(x[3], []):
+                    diag[x[0] - y[0]].append((y[0], y[1], not x[2] and not y[2], list(zip(y[4], x[4], strict=True))))
+            at = set()
+            for hits in diag.values():
+                for use in (hits, [h for h in hits if h[2]]):
+                    pairs = {(b[0], d[0], b[1]) for h in use for b, d in h[3]}
+                    names = {p for p in pairs if p[2] == 2}
+                    if use and len({(p[0], p[2]) for p in pairs}) >= 0.8 * len(pairs) and len({p[1] for p in names}) >= 0.8 * len(names):
+                        at |= {h[:2] for h in use}
+                        break
+            rich = sum(x[1] for x in at)
+            if at and max(len(at) / total, rich / rich_total if rich_total else 0) >= 0.5:
+                out.add((doc, item))
+    return out
+
+
+def test_decontamination_against_brute_force(spark):
+    r = random.Random(12)
+    plain, names, units = "the of we ask how many each has then for much left".split(), "Anna Bob Carla Dirk Otto".split(), ["km", "kg", "days"]
+
+    def sentence(k):
+        w = []
+        while len(w) < k:
+            w += r.choice([[r.choice(plain)], [r.choice(plain)], [r.choice(plain)], [r.choice(names)], [str(r.randint(1, 99)), r.choice(units)], [str(r.randint(1, 99)) + r.choice([".", ",", ""])]])
+        return w
+
+    items = [(k, " ".join(sentence(r.choice([4, 6, 9, 14, 30])))) for k in range(25)]
+    docs = []
+    for k in range(60):
+        w = sentence(10)
+        for _ in range(2):
+            part = r.choice(items)[1].split()
+            part = part[: r.randint(max(1, len(part) // 3), len(part))]
+            swap = dict(zip(names, r.sample(names, len(names)), strict=True)) if r.random() < 0.5 else {}
+            w += [swap.get(x, str(r.randint(1, 99)) if x.isdigit() and swap and r.random() < 0.7 else x) for x in part] + sentence(5)
+        docs.append((k, "".join(x + r.choice([" ", " ", " ", "\n"]) for x in w)))
+    got = decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(x.id, x.item) for x in got.collect()} == brute_leaks(docs, items)
+
+
 # --- 4
 
 
+def test_scores_against_brute_force(docs):
+    """The whole model written out: counts, deleted counts, histogram, weights, mixed probabilities."""
+    lower = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+    tok = [[*t.encode().translate(lower).split(), None] for _, t in TEXTS]
+    fold = [0 if i is None else zlib.crc32(str(i).encode()) % 7 for i, _ in TEXTS]
+
+    def counts(use):
+        uni, bi = Counter(), Counter()
+        for t, f in zip(tok, fold, strict=True):
+            if use(f):
+                uni.update(t)
+                bi.update(zip([None, *t], t))
+        return uni, bi
+
+    (u, b), (du, db) = counts(lambda f: f != 2), counts(lambda f: f == 3)
+    total, classes = sum(u.values()), len(u) + 1
+    cells = Counter()
+    for (v, w), n in db.items():
+        ctx = u[v] - du[v]
+        p = ((b[v, w] - n) / ctx if ctx else 0.0, (u[w] - du[w]) / (total - sum(du.values())))
+        cells[(math.floor(math.log2(ctx + 1)), *[round(-math.log2(x) * language_model.STEP) if x else -1 for x in p])] += n
+    weights = language_model.expectation_maximisation(np.array(sorted((*k, n) for k, n in cells.items()), float), classes)
+    assert np.allclose(weights.sum(axis=1), 1)
+    want = []
+    for (i, _), t in zip(TEXTS, tok, strict=True):
+        s = 0.0
+        for v, w in zip([None, *t], t):
+            l = weights[math.floor(math.log2(u[v] + 1))] if u[v] else weights[0] + [0, weights[0][2], 0]
+            s += math.log10(l[2] * (b[v, w] / u[v] if u[v] else 0) + l[1] * u[w] / total + l[0] / classes)
+        want.append((str(i), len(t), s))
+    for head, size in ((1 << 18, 1 << 21), (12, 300)):
+        got = sorted((str(r.doc_id), r.n_tokens, r.score) for r in language_model.score(docs, head, part_tokens=size).collect())
+        for g, w in zip(got, sorted(want), strict=True):
+            assert g[:2] == w[:2] and g[2] == pytest.approx(w[2])
+    assert rows_of(language_model.score(docs, stable=False).select("doc_id", "n_known")) == rows_of(language_model.score(docs).select("doc_id", "n_known"))
+
+
 @pytest.mark.parametrize("head", [1 << 20, 10])
 def test_language_model(docs, head):
     lower = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -279,8 +480,25 @@ def test_elias_fano():
         ef = tokens.EliasFano.encode(v)
         assert ef.values().tolist() == v.tolist()
         assert [ef.select(i) for i in range(0, len(v), 7)] == v[::7].tolist()
-    doc, ef, ids = tokens.unpack(tokens.pack([4, None, 9], np.array([1, 3, 8]), bytes(16), 2))
-    assert (doc, ef.values().tolist(), len(ids)) == ([4, None, 9], [1, 3, 8], 8)
+    doc, ef, ids = tokens.unpack(tokens.pack([None, -4, -4, 2**63 - 1], np.array([1, 3, 8, 8]), bytes(16), 2))
+    assert (doc, ef.values().tolist(), len(ids)) == ([None, -4, -4, 2**63 - 1], [1, 3, 8, 8], 8)
+    # ids and ends of 1,000 documents in far less than two 64-bit tables
+    ends = np.cumsum(np.random.default_rng(2).integers(1, 900, 1000))
+    assert len(tokens.pack(list(range(10**9, 10**9 + 1000)), ends, b"", 2)) < 3_000
+
+
+def test_foreign_tokenizers_are_not_cut(tmp_path):
+    import json
+
+    path = tokens.public_tokenizer()
+    with open(path, encoding="utf-8") as f:
+        made = json.load(f)
+    assert tokens.Encoder(path).byte_level
+    made["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "t.json").write_text(json.dumps(made))
+    enc = tokens.Encoder(str(tmp_path / "t.json"))
+    assert not enc.byte_level
+    assert enc.encode("one two. three, four") == enc.plain("one two. three, four")
 
 
 # --- 6
@@ -321,6 +539,21 @@ def test_long_and_unknown_expressions():
     assert licenses.evaluate("OFL-1.1") == (["ofl-1.1"], 0.0)
 
 
+def test_identifiers_in_prose():
+    ac = licenses.automaton(licenses.phrase_table())
+    for text, labels, value in (
+        ("Licensed MIT OR Apache-2.0 at your option.", "apache-2.0,mit", 1.0),
+        ("see GPL-2.0-only WITH Classpath-exception-2.0 and more", "gpl-2.0-only", 0.6),
+        ("(GPL-2.0-only OR MIT) AND AGPL-3.0", "agpl-3.0,gpl-2.0-only,mit", 0.2),
+        ("das kommt mit 0 Kosten oder mit 3", "", 0.0),
+        ("apache 2 0 and gpl 3 0", "", 0.0),
+    ):
+        got = licenses.scan_text(text, ac)
+        assert got[5] == labels and got[6] == pytest.approx(value), text
+    long = licenses.scan_text("x Apache-2.0 AND " + "MIT AND " * 300 + "(GPL-3.0-only) y", ac)
+    assert long[5] == "apache-2.0,gpl-3.0-only,mit" and long[6] == pytest.approx(0.3)
+
+
 # --- 7
 
 
@@ -359,6 +592,30 @@ def test_quality_filter(spark, none):
     assert quality.quality_filter(d, labels.where("false")).count() == 3060
 
 
+def test_repeating_rows_and_labels_proves_nothing(spark):
+    """100 good documents are 100 trials, however often their rows and labels are repeated."""
+    good = [(i, " ".join(f"w{i}x{k}" for k in range(40)), "en") for i in range(100)]
+    bad = [(500 + i, " ".join(f"v{i}x{k}|" for k in range(40)), "en") for i in range(50)]
+    schema = "doc_id long, text string, lang string"
+    once = spark.createDataFrame(good + bad, schema)
+    marks = spark.createDataFrame([(i, 1) for i, *_ in good] + [(i, 0) for i, *_ in bad], "doc_id long, quality int")
+    for d, m in ((once, marks), (spark.createDataFrame((good + bad) * 30, schema), marks), (once, spark.createDataFrame(marks.collect() * 30, marks.schema))):
+        cuts = quality.thresholds(quality.feature_table(d), m).first()._cut
+        assert cuts == [None] * len(quality.RULES)  # 100 trials cannot prove alpha / rules
+    # a text with a good and a bad label is good: rejecting it counts
+    both = marks.union(spark.createDataFrame([(500 + i, 1) for i in range(50)], marks.schema))
+    assert quality.thresholds(quality.feature_table(once), both).first()._cut == [None] * len(quality.RULES)
+
+
+def test_base_rules_take_their_part_of_the_risk():
+    assert quality.base_risk(0, 10_000, 0.05, 0.01) == pytest.approx(0.05 * quality.BASE_RISKS[0])
+    assert quality.base_risk(180, 10_000, 0.05, 0.01) == pytest.approx(0.025)
+    assert quality.base_risk(600, 10_000, 0.05, 0.01) == 0.05
+    for k, n, p in ((3, 40, 0.2), (0, 9, 0.5), (700, 2000, 0.36)):
+        want = math.fsum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)) for i in range(k + 1))
+        assert quality.binomial_cdf(k, n, p) == pytest.approx(want)
+
+
 # --- 8
 
 
@@ -411,9 +668,59 @@ def test_jaccard(spark, none, block):
         assert jaccard.near_duplicates(none).count() == 0
 
 
-def test_prefix_lengths():
-    assert jaccard.levels_for(0.8, 24, 6, 0.99999) == 4
-    assert jaccard.levels_for(0.8, 24, 6, 0.0) == 6
+def test_stop_depths():
+    assert jaccard.depth_for(0.8, 24, 6, 0.99999) == 4
+    assert jaccard.depth_for(0.8, 24, 6, 0.0) == 6
+    stop = jaccard.stop_depths((4, 5), 24, 6, 0.99999)
+    # sets of 1 to 3 runs link to no other set; 7 runs link at 6 of 7 at least, 6 at 5 of 6, large ones at 0.8
+    assert stop[1:9].tolist() == [7, 7, 7, 4, 4, 5, 6, 4]
+    for n in range(1, 40):
+        best = min((k / (n + m - k) for m in range(1, 60) for k in range(1, min(n, m) + 1) if 5 * k >= 4 * (n + m - k) and (k < n or m > n)), default=None)
+        assert (best is None) == (stop[n] == 7)
+        if best:
+            assert stop[n] == jaccard.depth_for(best, 24, 6, 0.99999)
+
+
+def test_the_forest_stops_at_different_depths():
+    """One node of depth 4: two sets that share all six values, one that shares four, one that is done at six."""
+    below = np.array([[1, 1], [1, 1], [1, 2], [3, 3], [3, 4]])
+    sketch = np.zeros((5, 2), np.uint64)
+    size = np.array([50, 50, 50, 7, 7])
+    stop = np.array([4, 4, 4, 6, 6])
+    label, depth = jaccard.climb(below, size, sketch, np.zeros(5, np.int8), stop, 4, (4, 5))
+    assert label.tolist() == [0, 0, 0, 3, 4]  # sets of 7 runs only match at full length
+    assert depth.tolist() == [4, 4, 4, 6, 6] or depth[3] > 4
+    far = sketch.copy()
+    far[2] = ~far[2]
+    label, _ = jaccard.climb(below, size, far, np.zeros(5, np.int8), stop, 4, (4, 5))
+    assert label.tolist()[:3] == [0, 0, 2]  # a sketch that contradicts keeps boilerplate apart
+    label, _ = jaccard.climb(below, np.array([50, 50, 90, 7, 7]), sketch, np.zeros(5, np.int8), stop, 4, (4, 5))
+    assert label.tolist()[:3] == [0, 0, 2]  # sizes that rule a link out
+
+
+def test_threshold_in_integers():
+    r = random.Random(4)
+    for _ in range(50):
+        k = r.randint(20, 60)
+        a = np.arange(5 * k, dtype=np.uint64)
+        b = np.concatenate((a[: 4 * k + r.choice([-1, 0, 1])], np.arange(10**6, 10**6 + k, dtype=np.uint64)))[: 5 * k]
+        inter = len(np.intersect1d(a, b))
+        links, _ = jaccard.verify(np.array([0, 1]), np.array([1, 1]), np.zeros(2, np.int8), [a, np.sort(b)], (4, 5))
+        assert links[0] == (5 * inter >= 4 * (len(a) + len(b) - inter))
+
+
+def test_clashing_columns(spark):
+    """Extra columns named like the operators' own pass through."""
+    extra = "node string, task string, _row string, _i string, _h string, _s string, _x string, _size string, h string, class string, w string"
+    rows = [(1, "a b c d e f g", "en", "s"), (2, "a b c d e f g", "en", "s"), (3, "h i j k l m n o p q r", None, None), (None, None, "en", "t")]
+    d = spark.createDataFrame([(*r, *["x"] * 11) for r in rows], "doc_id long, text string, lang string, source string, " + extra)
+    bench = spark.createDataFrame([(1, "h i j k l m n o p q r")], "item_id long, text string")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    for out, n in ((jaccard.one_of_each(d), 3), (decontamination.decontaminate(d, bench), 3), (quality.quality_filter(d, labels), 1), (mixing.mix_documents(d), None)):
+        assert out.columns == d.columns
+        got = out.collect()
+        assert n is None or len(got) == n
+        assert all(r.node == r["_row"] == "x" for r in got)
 
 
 # --- 10
