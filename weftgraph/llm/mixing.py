@@ -66,7 +66,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_cop
     src = src.withColumn("_all", F.sum("_total").over(whole)).withColumn("_wall", F.sum("_w").over(whole))
     src = src.withColumn("_rest", F.col("_all") - F.coalesce(F.sum("_lim").over(before), F.lit(0.0))).withColumn("_wrest", F.col("_wall") - F.coalesce(F.sum("_w").over(before), F.lit(0.0)))
     src = src.withColumn("_share", F.col("_rest") / F.col("_wrest")).withColumn("_full", F.col("_lim") <= F.col("_w") * F.col("_share"))
-    level = F.min(F.when(~F.col("_full"), F.struct((F.col("_lim") / F.col("_w")).alias("_k"), F.col("_share").alias("_v")))).over(whole)
+    src = src.withColumn("_o", F.row_number().over(by))
+    level = F.min(F.when(~F.col("_full"), F.struct(F.col("_o"), F.col("_share").alias("_v")))).over(whole)
     src = src.withColumn("_level", level["_v"])
     return src.select("_src", "_total", "_docs", F.when(F.col("_full"), F.col("_lim")).otherwise(F.col("_w") * F.col("_level")).alias("_target"))
 

@@ -14,8 +14,8 @@ s0 AS (SELECT src, CAST(sum(size) AS BIGINT) AS total, count(*) AS docs FROM d G
 s1 AS (SELECT *, CASE (row_number() OVER (ORDER BY src NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END::DOUBLE AS w, CAST(total * 3 AS DOUBLE) AS lim FROM s0),
 s2 AS (SELECT *, sum(total) OVER () - coalesce(sum(lim) OVER b, 0) AS rest, sum(w) OVER () - coalesce(sum(w) OVER b, 0) AS wrest FROM s1
   WINDOW b AS (ORDER BY lim / w, src NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-s3 AS (SELECT *, rest / wrest AS share, lim <= w * (rest / wrest) AS fill FROM s2),
-lv AS (SELECT arg_min(share, lim / w) AS level FROM s3 WHERE NOT fill),
+s3 AS (SELECT *, rest / wrest AS share, lim <= w * (rest / wrest) AS fill, row_number() OVER (ORDER BY lim / w, src NULLS LAST) AS o FROM s2),
+lv AS (SELECT arg_min(share, o) AS level FROM s3 WHERE NOT fill),
 s4 AS (SELECT src, total, docs, CASE WHEN fill THEN lim ELSE w * level END AS target FROM s3, lv),
 s5 AS (SELECT *, floor(CASE WHEN total > 0 THEN target / total ELSE 0.0::DOUBLE END) AS whole FROM s4),
 s6 AS (SELECT *, target - whole * total AS need FROM s5),
