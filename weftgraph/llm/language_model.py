@@ -49,9 +49,9 @@ from weftgraph.llm import _text as tx
 from weftgraph.llm._work import documents, drop, table
 
 HEAD = 1 << 18
-PART_TOKENS = 1 << 21
+PART_TOKENS = 1 << 20
 FOLDS, HELD, DELETED = 7, 2, 3
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 STEP = 4.0  # histogram cells per factor of two
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -253,6 +253,7 @@ def _blobs(head, parts: int, learn: bool):
                     name = names.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8")
                     out.append((chunk % (1 << 24) + (chunk >> 24), DOC, name.tobytes() + np.concatenate((info, [null, f.astype(np.float64)])).astype("<f8").tobytes()))
                 if out:
+                    tx.release()
                     yield pa.RecordBatch.from_arrays([pa.array([x[0] % parts for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int32()), pa.array([chunk] * len(out), pa.int64()), pa.array([x[2] for x in out], pa.binary())], names=["part", "kind", "chunk", "data"])
                 chunk += 1
 
@@ -424,6 +425,15 @@ def expectation_maximisation(cells: np.ndarray, classes: int, rounds: int = 40)
     return out
 
 
+def _sums(parts: list) -> bytes:
+    """What a part adds to the documents of a chunk: their numbers, then three rows of sums."""
+    names = np.unique(np.concatenate([x[1] for x in parts]))
+    total = np.zeros((3, len(names)))
+    for row, doc, x in parts:
+        total[row, np.searchsorted(names, doc)] += x
+    return zlib.compress(names.astype("<i8").tobytes() + total.tobytes(), 1)
+
+
 def _partial_scores(head, weights: np.ndarray):
     """Rows (chunk, part, kind, data): what the pairs and words of one part add to the chunk's documents; documents pass."""
 
@@ -434,27 +444,23 @@ def _partial_scores(head, weights: np.ndarray):
         for blobs in _by(batches, 0):
             part = blobs[0][0]
             out = [(x[2], DOC, x[3]) for x in blobs if x[1] == DOC]
-            sums: dict[int, np.ndarray] = {}
+            sums: dict[int, list] = {}
 
-            def add(chunk: int, row: int, x: np.ndarray, sums=sums) -> None:
-                old = sums.get(chunk)
-                if old is None or old.shape[1] < len(x):
-                    sums[chunk] = np.zeros((3, len(x)))
-                    if old is not None:
-                        sums[chunk][:, : old.shape[1]] = old
-                sums[chunk][row, : len(x)] += x
+            def add(chunk: int, row: int, doc: np.ndarray, x: np.ndarray, sums=sums) -> None:
+                names, at = np.unique(doc, return_inverse=True)
+                sums.setdefault(chunk, []).append((row, names, np.bincount(at, weights=x)))
 
             for chunks, (c, _), (cv, _), (cw, _) in _pairs(blobs, m):
                 l = np.where(cv[:, None] > 0, weights[bucket(cv)], unseen)  # noqa: E741
                 log_p = np.log10(l[:, 2] * _ratio(c, cv) + l[:, 1] * _ratio(cw, total) + l[:, 0] / m.classes)
                 for chunk, k, doc, cnt in chunks:
-                    add(chunk, 0, np.bincount(doc, weights=cnt * log_p[k]))
+                    add(chunk, 0, doc, cnt * log_p[k])
             chunks, _, _, c, _ = _merged(blobs, WORD, m.slots)
             log_c = np.log10(c + 1.0)
             for chunk, k, doc, cnt in chunks:
-                add(chunk, 1, np.bincount(doc, weights=cnt * (c[k] > 0)))
-                add(chunk, 2, np.bincount(doc, weights=cnt * log_c[k]))
-            out += [(chunk, PAIR, zlib.compress(x.tobytes(), 1)) for chunk, x in sums.items()]
+                add(chunk, 1, doc, cnt * (c[k] > 0))
+                add(chunk, 2, doc, cnt * log_c[k])
+            out += [(chunk, PAIR, _sums(x)) for chunk, x in sums.items()]
             if out:
                 n = len(out)
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([part] * n, pa.int32()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary())], names=["chunk", "part", "kind", "data"])
@@ -477,8 +483,9 @@ def _totals(head):
             sums = np.zeros((3, n))
             for _, _, kind, data in rows:
                 if kind != DOC:
-                    part = np.frombuffer(zlib.decompress(data)).reshape(3, -1)
-                    sums[:, : part.shape[1]] += part
+                    raw = zlib.decompress(data)
+                    k = len(raw) // 32
+                    sums[:, np.frombuffer(raw, "<i8", k)] += np.frombuffer(raw, "<f8", 3 * k, 8 * k).reshape(3, k)
             cols = [pa.array(doc, mask=null > 0), pa.array(fold == HELD), pa.array(tokens.astype(np.int64)), pa.array((known + sums[1]).astype(np.int64)), pa.array(np.full(n, m.total, np.int64)), pa.array(base + sums[2]), pa.array(sums[0])]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
