@@ -52,6 +52,20 @@ k AS (SELECT r, count(*) AS n, CAST(sum(gone) AS BIGINT) AS m, string_agg(wd, '
 SELECT doc_id, coalesce(n, 0) AS n_words, coalesce(m, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN k USING (r)
 """
 
+#: Byte-level dedup: every 200-byte window as hex digits (cut from stretches, so no long text is scanned for each), kept bytes put together again.
+OP9 = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+b AS (SELECT r, k, substr(x, 2 * k + 1, 2 * 1199) AS y FROM (SELECT r, x, unnest(range(0, length(x) // 2 - 199, 1000)) AS k FROM d WHERE length(x) >= 400)),
+w AS (SELECT r, k + j AS i, md5_number(substr(y, 2 * j + 1, 400)) AS g FROM (SELECT r, k, y, unnest(range(0, least(1000, length(y) // 2 - 199))) AS j FROM b)),
+u AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY g) AS n FROM w) WHERE n > 1),
+n AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 200 THEN 0 ELSE 1 END AS fresh FROM u),
+s AS (SELECT r, min(i) AS a, max(i) + 200 AS z FROM (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS g FROM n) GROUP BY r, g),
+e AS (SELECT r, z AS a, lead(a) OVER (PARTITION BY r ORDER BY a) AS z FROM (SELECT r, a, z FROM s UNION ALL SELECT r, -1, 0 FROM d)),
+k AS (SELECT d.r, string_agg(substr(x, 2 * e.a + 1, 2 * (coalesce(e.z, length(x) // 2) - e.a)), '' ORDER BY e.a) AS kept FROM d JOIN e ON e.r = d.r GROUP BY d.r),
+t AS (SELECT r, CAST(sum(z - a) AS BIGINT) AS m, count(*) AS c FROM s GROUP BY r)
+SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, coalesce(m, 0) AS n_removed, coalesce(c, 0) AS n_spans, sha256(unhex(kept)) AS kept_sha256 FROM d JOIN k ON k.r = d.r LEFT JOIN t ON t.r = d.r
+"""
+
 _RULES = list(RULES.values())
 _VALUES = ", ".join(f"CAST({expr} AS DOUBLE)" for expr, _ in _RULES)
 _GRID = ", ".join(f"({i}, {j}, {c}::DOUBLE)" for i, (_, grid) in enumerate(_RULES, 1) for j, c in enumerate(grid))

@@ -22,4 +22,5 @@ ORACLES: dict[str, str] = {
     "op2_substring_dedup": oracles.OP2,
     "op7_quality_rules": oracles.OP7,
     "op8_jaccard_join": oracles.OP8,
+    "op9_suffix_dedup": oracles.OP9,
 }
