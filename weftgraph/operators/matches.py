@@ -2,7 +2,7 @@
 
 CIGAR entries are rows with running offsets; an entry is cut where its query or
 its target crosses a block of the concatenation (``operators.sequences``), each piece meets its
-two blocks by equi-joins and keeps only its own slice of them.  The bases of a piece are compared as two arrays inside the row, so
+two blocks by equi-joins and keeps only its own slice of them.  The slices are compared an Arrow batch at a time, so
 no row per base is made, and no row holds a sequence.  Runs never cross entries: ``M``, ``=`` and ``X`` are all
 compared again, ``I`` and ``D`` move one cursor, others move none.
 """
@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftgraph.functions.cigar import consumed
-from weftgraph.functions.dna import reverse_complement
+from weftgraph.functions.dna import equal_runs, reverse_complement
 from weftgraph.functions.hashing import keep_sparse
 from weftgraph.functions.positions import make_pos
 from weftgraph.operators.sequences import BLOCK
@@ -82,15 +82,12 @@ def match_runs(located: DataFrame, block_table: DataFrame, width: int = BLOCK) -
         s = s.withColumn("_p", place).withColumn("block", F.floor(F.col("_p") / width))
         slice_ = F.substring(F.col("text"), (F.col("_p") % width + 1).cast("int"), F.col("n").cast("int"))
         s = s.join(block_table, "block").withColumn(name, slice_).drop("text", "_p", "block")
-    query = F.split(F.when(F.col("is_rev"), reverse_complement(F.col("_qs"))).otherwise(F.col("_qs")), "")
-    s = s.withColumn("_ts", F.split("_ts", ""))
-    qa, ta = F.col("q0") + step * F.col("at"), F.col("t0") + F.col("at")
-    same = lambda c, i: F.when((c == F.get("_ts", i)) & (c != "N") & (qa + step * i != ta + i), "1").otherwise("0")
-    s = s.withColumn("_x", F.regexp_extract_all(F.array_join(F.transform(F.slice(query, 1, F.col("n").cast("int")), same), ""), F.lit("0*1+"), F.lit(0)))
-    # places of the runs: one fold over them that carries the length so far
-    none = F.array().cast("array<struct<s:bigint,e:bigint>>")
-    fold = lambda acc, x: F.struct((acc["at"] + F.length(x)).alias("at"), F.concat(acc["r"], F.array(F.struct((acc["at"] + F.instr(x, "1") - 1).alias("s"), (acc["at"] + F.length(x)).alias("e")))).alias("r"))
-    got = F.aggregate("_x", F.struct(F.lit(0).cast("long").alias("at"), none.alias("r")), fold, lambda acc: acc["r"])
+    query = F.when(F.col("is_rev"), reverse_complement(F.col("_qs"))).otherwise(F.col("_qs"))
+    # a base is no match of itself: a forward piece lies on itself wholly or not at all, a reverse one at one base
+    apart = (F.col("q0") + step * F.col("at")) - (F.col("t0") + F.col("at"))
+    own = F.when(F.col("is_rev") & (apart % 2 == 0) & (apart >= 0) & (apart < 2 * F.col("n")), F.floor(apart / 2))
+    got = equal_runs(query, F.col("_ts"), own)
+    s = s.where(F.col("is_rev") | (F.col("q0") != F.col("t0")))
     s = s.select("aln", "op_no", "min_match_len", "is_rev", "q0", "t0", "at", "n", F.col("len").alias("_all"), F.explode(got).alias("_r"))
     cut = (F.col("_r.s") == 0) & (F.col("at") > 0) | (F.col("_r.e") == F.col("n")) & (F.col("at") + F.col("n") < F.col("_all"))
     s = s.select("aln", "op_no", "min_match_len", "is_rev", "q0", "t0", (F.col("at") + F.col("_r.s")).alias("i"), (F.col("_r.e") - F.col("_r.s")).alias("len"), cut.alias("_cut"))
