@@ -51,7 +51,7 @@ def plain_runs(seqs, alns):
     return sorted(out)
 
 
-@pytest.mark.parametrize("width", [1, 3, 7, 64])
+@pytest.mark.parametrize("width", [1, 7, 64])
 def test_runs_across_blocks(spark, width):
     r = random.Random(width)
     seqs = [(f"s{i}", "".join(r.choice("ACGTN" if i else "AC") for _ in range(r.randint(12, 60)))) for i in range(5)]
@@ -84,7 +84,7 @@ def test_no_plan_carries_a_sequence(spark):
     held = spark.createDataFrame([(0, "ACGT" * 18)], "block long, text string")
     runs = matches.match_runs(matches.locate(paf(spark, seqs, [("a", 0, 36, "+", "b", 0, 36, "36M")]), index), held)
     for df in (runs, sequences.bases(index, held)):
-        assert not re.search(r"\bseq#", df._jdf.queryExecution().optimizedPlan().toString())
+        assert not re.search(r"ReadSchema: struct<[^>]*\bseq:", df._jdf.queryExecution().executedPlan().toString())
 
 
 def test_long_alignment(spark):
