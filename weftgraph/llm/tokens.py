@@ -57,7 +57,7 @@ from weftgraph.llm._work import bounded, documents, work_dir
 
 END_ID = 0
 SEGMENT_IDS = 1 << 20
-CACHE_PIECES = 400_000
+CACHE_PIECES = 800_000
 _SEGMENT_TYPE = "part int, seg int, n_docs bigint, n_ids bigint, data binary"
 _RUNS = re.compile(r"\s\s")
 
