@@ -71,13 +71,13 @@ def parts(column: pa.Array, limit: int = 1 << 19):
     release()
 
 
-def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end (bytes) and row of every word."""
+def words(buf: np.ndarray, offs: np.ndarray, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end (bytes) and row of every word: maximal runs of bytes that are not in ``gap``."""
     n = len(buf)
     if not n:
         z = np.zeros(0, np.int64)
         return z, z, z
-    inside = ~SPACE[buf]
+    inside = ~gap[buf]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     heads = offs[:-1][offs[:-1] < n]
@@ -90,6 +90,19 @@ def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return s, np.flatnonzero(last) + 1, np.searchsorted(offs, s, side="right") - 1
 
 
+def numbers(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """A number for each word (equal for equal words only) and the words by number; some numbers belong to gaps.
+
+    Arrow's dictionary compares the bytes themselves, so no two words share a number.
+    """
+    if not len(s):
+        return np.zeros(0, np.int32), pa.array([], pa.binary())
+    ends = np.stack((s, e), axis=1).ravel().astype(np.int32)  # words and the gaps between them, in turn
+    both = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(buf))])
+    coded = both.dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False)[::2], coded.dictionary
+
+
 def digest64(data: bytes | memoryview) -> int:
     """Eight bytes of blake2b as a number."""
     return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little")

@@ -118,3 +118,57 @@ m AS (SELECT cc.r, min(w.doc_id) OVER (PARTITION BY cc.c) AS class_id FROM cc JO
 l AS (SELECT u AS r, count(*) AS n_links FROM e GROUP BY u)
 SELECT w.doc_id, m.class_id, coalesce(l.n_links, 0) AS n_links FROM w JOIN m USING (r) LEFT JOIN l USING (r)
 """
+
+#: CRC-32 of strings in a table ``names(g)``: a bit matrix is linear, so each byte adds a term that depends on it and on the bytes behind it.
+_CRC = """
+RECURSIVE one AS (SELECT i AS b, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS z FROM (SELECT CAST(range AS BIGINT) AS i FROM range(256))),
+hx AS (SELECT g, hex(encode(g)) AS x FROM names),
+most AS (SELECT max(length(x)) // 2 AS n FROM hx),
+term(k, b, z) AS (SELECT 0, b, z FROM one UNION ALL SELECT k + 1, t.b, xor(t.z >> 8, o.z) FROM term t JOIN one o ON o.b = t.z & 255 WHERE k + 1 < (SELECT n FROM most)),
+init(k, z) AS (SELECT CAST(0 AS BIGINT), CAST(4294967295 AS BIGINT) UNION ALL SELECT k + 1, xor(i.z >> 8, o.z) FROM init i JOIN one o ON o.b = i.z & 255 WHERE k < (SELECT n FROM most)),
+byte AS (SELECT g, len(x) // 2 - 1 - k AS k, len(x) // 2 AS n, CAST(('0x' || substr(x, 2 * k + 1, 2)) AS BIGINT) AS b FROM (SELECT g, x, unnest(range(0, len(x) // 2)) AS k FROM hx)),
+crc AS (SELECT g, xor(xor(bit_xor(term.z), any_value(init.z)), 4294967295) AS crc FROM byte JOIN term ON term.k = byte.k AND term.b = byte.b JOIN init ON init.k = byte.n GROUP BY g)
+"""
+
+#: Importance resampling: every feature written out, its CRC taken byte by byte.
+OP11 = rf"""
+WITH src AS (SELECT 0 AS kind, row_number() OVER () AS r, doc_id, text FROM documents UNION ALL SELECT 1, row_number() OVER (), NULL, text FROM benchmark),
+w AS (SELECT kind, r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM src),
+f AS (SELECT kind, r, array_to_string(ws[i : i + k - 1], ' ') AS g FROM (SELECT kind, r, ws, k, unnest(generate_series(1, len(ws) - k + 1)) AS i FROM w, (SELECT unnest([1, 2, 3]) AS k) WHERE len(ws) >= k)),
+names AS MATERIALIZED (SELECT DISTINCT g FROM f),
+made AS MATERIALIZED (WITH {_CRC} SELECT g, crc % 10000 AS b FROM crc),
+c AS MATERIALIZED (SELECT kind, r, b, count(*) AS n FROM f JOIN made USING (g) GROUP BY kind, r, b),
+k AS (SELECT b, coalesce(sum(n) FILTER (WHERE kind = 0), 0) AS s, coalesce(sum(n) FILTER (WHERE kind = 1), 0) AS t FROM c GROUP BY b),
+a AS (SELECT sum(s) AS sa, sum(t) AS ta FROM k),
+gain AS (SELECT b, CAST(floor(1000 * ln(CAST(t + 1 AS DOUBLE) * CAST(sa + 10000 AS DOUBLE) / (CAST(s + 1 AS DOUBLE) * CAST(ta + 10000 AS DOUBLE)))) AS BIGINT) AS v FROM k, a),
+x AS (SELECT r, sum(n) AS n, sum(n * v) AS weight FROM c JOIN gain USING (b) WHERE kind = 0 GROUP BY r),
+d AS (SELECT w.doc_id, len(ws) AS words, CAST(coalesce(n, 0) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+  CAST(('0x' || substr(sha256('42:' || coalesce(CAST(w.doc_id AS VARCHAR), 'null')), 1, 8)) AS BIGINT) AS h FROM w LEFT JOIN x USING (r) WHERE kind = 0),
+s AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM d),
+o AS (SELECT *, row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features, weight, words) AS p, count(*) OVER (PARTITION BY words >= 20) AS able FROM s)
+SELECT doc_id, n_features, weight, score, CASE WHEN words >= 20 AND p <= 5 * able // 100 THEN p END AS rank FROM o
+"""
+
+#: Periodic runs: pairs of equal words on the grid of every period, three in a row, then islands of equal words for the periods left.
+OP13 = rf"""
+WITH src AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS ws FROM documents),
+names AS MATERIALIZED (SELECT DISTINCT CAST(doc_id AS VARCHAR) AS g FROM src WHERE doc_id IS NOT NULL),
+made AS MATERIALIZED (WITH {_CRC} SELECT g, crc AS h FROM crc),
+b AS (SELECT r, doc_id, ws, len(ws) AS n, h // 10 AS g, h % 10 = 0 AND len(ws) > 0 AS hit FROM src LEFT JOIN made ON made.g = CAST(doc_id AS VARCHAR)),
+p AS (SELECT *, CASE WHEN hit THEN g % n END AS a FROM b),
+v AS MATERIALIZED (SELECT r, doc_id, n, CASE WHEN hit THEN list_concat(ws[1 : a], list_transform(range(a, n), lambda i: ws[1 + a + (i - a) % (1 + (n - a) // (3 + g % 8))])) ELSE ws END AS ws FROM p),
+u AS MATERIALIZED (SELECT r, unnest(ws) AS wd, generate_subscripts(ws, 1) - 1 AS i FROM v),
+pr AS (SELECT r, n, unnest(range(1, n // 4 + 1)) AS q FROM v WHERE n >= 6),
+gp AS (SELECT r, q, unnest(range(0, (n - 1) // q)) AS j FROM pr),
+eq AS (SELECT gp.r, q, j FROM gp JOIN u x ON x.r = gp.r AND x.i = j * q JOIN u y ON y.r = gp.r AND y.i = (j + 1) * q WHERE x.wd = y.wd),
+cand AS (SELECT DISTINCT r, q FROM (SELECT r, q, j, lead(j, 2) OVER (PARTITION BY r, q ORDER BY j) AS k FROM eq) WHERE k = j + 2),
+e2 AS (SELECT c.r, q, x.i, x.i - row_number() OVER (PARTITION BY c.r, q ORDER BY x.i) AS isl FROM cand c JOIN u x ON x.r = c.r JOIN u y ON y.r = c.r AND y.i = x.i + q WHERE x.wd = y.wd),
+st AS (SELECT r, q, min(i) AS s, count(*) + q AS len FROM e2 GROUP BY r, q, isl HAVING count(*) + q >= greatest(6, 4 * q)),
+run AS MATERIALIZED (SELECT r, s, len, min(q) AS q FROM st GROUP BY r, s, len),
+drp AS (SELECT DISTINCT r, unnest(range(s + q, s + len)) AS i FROM run),
+kept AS (SELECT u.r, string_agg(wd, ' ' ORDER BY u.i) AS t FROM u LEFT JOIN drp ON drp.r = u.r AND drp.i = u.i WHERE drp.i IS NULL GROUP BY u.r),
+ls AS (SELECT r, count(*) AS c, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS t FROM run GROUP BY r),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY CAST(len AS DOUBLE) / q DESC, s, q) AS o FROM run) WHERE o = 1)
+SELECT v.doc_id, coalesce(c, 0) AS n_runs, s AS start, len AS length, q AS period, 1000 * len // q AS exponent_milli, sha256(coalesce(ls.t, '')) AS runs_sha256, sha256(coalesce(kept.t, '')) AS collapsed_sha256
+FROM v LEFT JOIN ls USING (r) LEFT JOIN best USING (r) LEFT JOIN kept USING (r)
+"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftgraph.llm import decontamination, jaccard, language_model, licenses, mixing, oracles, pii, quality, substrings, suffixes, tokens
+from weftgraph.llm import decontamination, importance, jaccard, language_model, licenses, mixing, oracles, packing, periodic, pii, quality, substrings, suffixes, tokens
 
 QUERIES = {
     "op1_pareto_mix": mixing.op1,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_jaccard_join": jaccard.op8,
     "op9_suffix_dedup": suffixes.op9,
     "op10_personal_data": pii.op10,
+    "op11_importance_resampling": importance.op11,
+    "op12_packing": packing.op12,
+    "op13_periodic_runs": periodic.op13,
 }
 #: The others have no SQL (tokenisers, automata, learned weights, binomial bounds): tests hold them against brute force.
 ORACLES: dict[str, str] = {
@@ -23,4 +26,6 @@ ORACLES: dict[str, str] = {
     "op7_quality_rules": oracles.OP7,
     "op8_jaccard_join": oracles.OP8,
     "op9_suffix_dedup": oracles.OP9,
+    "op11_importance_resampling": oracles.OP11,
+    "op13_periodic_runs": oracles.OP13,
 }
