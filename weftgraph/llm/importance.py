@@ -204,7 +204,7 @@ def resample(docs: DataFrame, target: DataFrame, share: int = SHARE, min_words:
     """The drawn rows of ``docs`` with all their columns; rows equal to the last one drawn in all its numbers come with it."""
     gain = gains(docs, target, buckets)
     keys = ["score", "doc_id", "n_features", "weight", "n_words"]
-    d = packed(docs, doc_id=F.col("doc_id").cast("long"), _w=weights(F.col("text"), gain))
+    d = packed(docs, doc_id=F.col("_row.doc_id").cast("long"), _w=weights(F.col("_row.text"), gain))
     d = d.select("_row", "doc_id", "_w.*").withColumn("score", F.col("weight") + noise(F.col("doc_id"), seed)).where(F.col("n_words") >= min_words)
     slim = table(d.select(*keys), "weights")
     draws = slim.count() * share // 100
@@ -213,8 +213,10 @@ def resample(docs: DataFrame, target: DataFrame, share: int = SHARE, min_words:
     if last is None:
         return docs.limit(0)
     # (score down, others up) up to the last row drawn, as one comparison of structs
-    flat = F.struct(-F.col("score"), F.coalesce("doc_id", F.lit((1 << 63) - 1)), *keys[2:])
-    end = F.struct(F.lit(-last.score), F.lit((1 << 63) - 1 if last.doc_id is None else last.doc_id), *[F.lit(last[k]) for k in keys[2:]])
+    far = (1 << 63) - 1
+    flat = [-F.col("score"), F.coalesce("doc_id", F.lit(far)), *[F.col(k) for k in keys[2:]]]
+    end = [F.lit(x).cast("long") for x in (-last.score, far if last.doc_id is None else last.doc_id, *[last[k] for k in keys[2:]])]
+    flat, end = (F.struct(*[c.alias(k) for c, k in zip(x, keys, strict=True)]) for x in (flat, end))
     return d.where(flat <= end).select("_row.*")
 
 
