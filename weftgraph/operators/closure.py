@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftgraph.operators.components import connected_components
 from weftgraph.operators.matches import base_edges
-from weftgraph.operators.rank import neighbours, numbered
+from weftgraph.operators.rank import neighbours, numbered, running_last
 from weftgraph.plans.work import table
 
 
@@ -20,7 +19,7 @@ def base_components(bases: DataFrame, runs: DataFrame) -> DataFrame:
     return b.join(heads, "c").select("q", "seq_id", "base", "c", "c_base")
 
 
-def repeat_groups(members: DataFrame, repeat_max: int = 0, min_repeat_dist: int = 0) -> DataFrame:
+def repeat_groups(members: DataFrame, repeat_max: int = 0, min_repeat_dist: int = 0, **levels: int) -> DataFrame:
     """Adds ``g``: 0, or the running number of a base within its component and sequence if it is split off.
 
     A base is split if it is closer than ``min_repeat_dist`` to the one before it, or
@@ -29,14 +28,19 @@ def repeat_groups(members: DataFrame, repeat_max: int = 0, min_repeat_dist: int
     """
     if not repeat_max and not min_repeat_dist:
         return members.withColumn("g", F.lit(0).cast("long"))
-    w = W.partitionBy("c", "seq_id").orderBy("q")
-    n = F.row_number().over(w).cast("long")
+    # places in one order of all, and in each row that of its group's first: no group is a window's partition
+    m = table(numbered(members, "c", "seq_id", "q", name="_n"), "ordered")
+    m = neighbours(m, "_n", "c", "seq_id", "q", **levels)
+    same = F.coalesce((F.col("_prev.c") == F.col("c")) & (F.col("_prev.seq_id") == F.col("seq_id")), F.lit(False))
+    m = m.withColumn("_first", F.when(~same, F.col("_n"))).withColumn("_gap", F.when(same, F.col("q") - F.col("_prev.q"))).drop("_prev", "_next")
+    m = running_last(m, "_n", "_first", "_from", **levels)
+    n = (F.col("_n") - F.col("_from") + 1).cast("long")
     split = F.lit(False)
     if min_repeat_dist:
-        split = split | F.coalesce(F.col("q") - F.lag("q").over(w) < min_repeat_dist, F.lit(False))
+        split = split | F.coalesce(F.col("_gap") < min_repeat_dist, F.lit(False))
     if repeat_max:
         split = split | (n > repeat_max)
-    return members.withColumn("g", F.when(split, n).otherwise(F.lit(0).cast("long")))
+    return m.select(*members.columns, F.when(split, n).otherwise(F.lit(0).cast("long")).alias("g"))
 
 
 def base_map(members: DataFrame, repeat_max: int = 0, min_repeat_dist: int = 0) -> DataFrame:

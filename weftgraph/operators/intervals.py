@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weftgraph.operators.rank import carried
+
 
 def overlap_join(left: DataFrame, right: DataFrame, bin_width: int = 1 << 14) -> DataFrame:
     """Pairs of half-open ranges ``[l_start, l_end)`` and ``[r_start, r_end)`` that share a place, once each.
@@ -35,19 +37,18 @@ def point_join(points: DataFrame, ranges: DataFrame, bin_width: int = 1 << 14) -
     return a.join(b, "_bin").where("r_start <= p AND p < r_end").drop("_bin")
 
 
-def asof_join(points: DataFrame, starts: DataFrame, block: int = 1 << 16) -> DataFrame:
+def asof_join(points: DataFrame, starts: DataFrame, block: int = 1 << 16, **levels: int) -> DataFrame:
     """Each point (``p``) with the row of ``starts`` (``start`` and others) of the largest start <= p.
 
     Inside a block of positions the last start is a window over both; a block that begins
-    inside a range takes the last start of earlier blocks, of which there is one row each.
+    inside a range takes the last start of earlier blocks, of which there is one row each (``rank.carried``).
     """
     extra = [c for c in starts.columns if c != "start"]
     s = starts.select(F.struct("start", *extra).alias("_s"), F.col("start").alias("_at"), F.lit(0).alias("_k"))
     p = points.select(F.struct(*points.columns).alias("_p"), F.col("p").alias("_at"), F.lit(1).alias("_k"))
     both = s.unionByName(p, allowMissingColumns=True).withColumn("_b", F.floor(F.col("_at") / block))
     own = both.withColumn("_f", F.last("_s", ignorenulls=True).over(W.partitionBy("_b").orderBy("_at", "_k").rowsBetween(W.unboundedPreceding, 0)))
-    ends = s.groupBy(F.floor(F.col("_at") / block).alias("_b")).agg(F.max("_s").alias("_e"))
-    blocks = both.select("_b").distinct().join(ends, "_b", "left")
-    before = blocks.withColumn("_c", F.last("_e", ignorenulls=True).over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1))).select("_b", "_c")
+    ends = both.groupBy("_b").agg(F.max("_s").alias("_c"))
+    before = carried(ends, lasts=("_c",), **levels)
     out = own.where("_p IS NOT NULL").join(before, "_b").select("_p.*", F.coalesce("_f", "_c").alias("_s"))
     return out.select(*points.columns, F.col("_s.start").alias("start"), *[F.col(f"_s.{c}").alias(c) for c in extra])
