@@ -66,15 +66,15 @@ def bounded(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def split_join(rows: DataFrame, lookup: DataFrame, on: list[str], count: str = "c", parts: int = 10_000) -> DataFrame:
-    """``rows`` inner-joined to ``lookup`` without a hot task; both are written tables.
+def split_join(rows: DataFrame, lookup: DataFrame, on: list[str], count: str = "c", parts: int = 10_000, total: int | None = None) -> DataFrame:
+    """``rows`` inner-joined to ``lookup`` without a hot task; both are written tables (or cheap reads of one, with their ``total``).
 
     ``lookup`` has one row per key ``on`` and a column ``count``: how many of ``rows`` (or a
     superset as large as the read table) have the key.  Keys above 1 / ``parts`` of all rows
     are at most ``parts``, whatever the size: they are broadcast and their rows stay where
     they are.  All other keys meet by shuffle.  Null keys never match.
     """
-    most = rows.count() // parts
+    most = (rows.count() if total is None else total) // parts
     hot = F.broadcast(lookup.where(F.col(count) > most).drop(count))
     cold = rows.join(F.broadcast(hot.select(*on)), on, "left_anti")
     return rows.join(hot, on).unionByName(cold.join(lookup.where(F.col(count) <= most).drop(count), on))
