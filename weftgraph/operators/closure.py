@@ -5,15 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.operators.components import connected_components
-from weftgraph.operators.matches import base_edges
 from weftgraph.operators.rank import neighbours, numbered, running_last
+from weftgraph.operators.segments import close_runs, expanded, segments
 from weftgraph.plans.work import table
 
 
 def base_components(bases: DataFrame, runs: DataFrame) -> DataFrame:
     """(q, seq_id, base, c, c_base): c is the smallest base of q's component."""
-    comp = connected_components(base_edges(runs)).select(F.col("node").alias("q"), F.col("component").alias("c0"))
+    comp = expanded(close_runs(runs), "u", "v").select(F.col("u").alias("q"), F.col("v").alias("c0"))
     b = bases.join(comp, "q", "left").select("q", "seq_id", "base", F.coalesce("c0", "q").alias("c"))
     heads = bases.select(F.col("q").alias("c"), F.col("base").alias("c_base"))
     return b.join(heads, "c").select("q", "seq_id", "base", "c", "c_base")
@@ -51,6 +50,14 @@ def base_map(members: DataFrame, repeat_max: int = 0, min_repeat_dist: int = 0)
     return out.select("q", "seq_id", "base", F.col("s").cast("long").alias("s"), F.col("c_base").alias("s_base"), (F.col("base") != F.col("c_base")).alias("is_rev"))
 
 
+def map_by_segments(bases: DataFrame, index: DataFrame, runs: DataFrame) -> DataFrame:
+    """``base_map`` without repeat groups: components, numbers and places are worked out on segments, and bases made of them last."""
+    s = table(segments(close_runs(runs), index), "segments")
+    at = expanded(s.select("q", "c", "s", "len", "d"), "q", "c", "s")
+    heads = bases.select(F.col("q").alias("c"), F.col("base").alias("s_base"))
+    return bases.join(at, "q").join(heads, "c").select("q", "seq_id", "base", "s", "s_base", (F.col("base") != F.col("s_base")).alias("is_rev"))
+
+
 def graph_bases(mapped: DataFrame) -> DataFrame:
     """(s, base): the graph sequence."""
     return mapped.groupBy("s").agg(F.min("s_base").alias("base"))

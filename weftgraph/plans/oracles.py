@@ -112,6 +112,7 @@ ORACLES: dict[str, str] = {
     "repeat_groups_r1": f"{_R}{_groups('CASE WHEN rn > 1 THEN rn ELSE 0 END')} SELECT q, c, g FROM grp",
     "repeat_groups_l": f"{_R}{_groups('CASE WHEN gap < 4 THEN rn ELSE 0 END')} SELECT q, c, g FROM grp",
     "base_map": f"{_R}{_MAP} SELECT q, seq_id, s, is_rev FROM bm",
+    "closure_segments": f"{_R}{_MAP} SELECT q, seq_id, s, is_rev FROM bm",
     "base_map_r2": f"{_R}{_groups('CASE WHEN rn > 2 THEN rn ELSE 0 END')} SELECT q, seq_id, s, is_rev FROM bm",
     "graph_bases": f"{_R}{_MAP} SELECT s, min(c_base) AS base FROM bm GROUP BY s",
     "path_intervals": f"{_R}{_IV} SELECT seq_id, q_start, q_end, s_start, s_end, is_rev FROM iv",

@@ -116,11 +116,14 @@ def pair_enumeration(spark: SparkSession, d: str) -> DataFrame:
     return n.join(m, "n_regionkey").where("a < b").select("n_regionkey", "a", "b")
 
 
-def _runs(spark: SparkSession, d: str, **options) -> DataFrame:
-    index, held = event_tables(spark, d)
+def _aligned(index: DataFrame, held: DataFrame, **options) -> DataFrame:
     return kept_runs(match_runs(locate(event_alignments(index), index), held), **options)
 
 
+def _runs(spark: SparkSession, d: str, **options) -> DataFrame:
+    return _aligned(*event_tables(spark, d), **options)
+
+
 def match_runs_all(spark: SparkSession, d: str) -> DataFrame:
     return _runs(spark, d).select("is_rev", "q", "t", "len")
 
@@ -177,7 +180,7 @@ def component_sizes(spark: SparkSession, d: str) -> DataFrame:
 
 def _members(spark: SparkSession, d: str) -> DataFrame:
     index, held = event_tables(spark, d)
-    return table(closure.base_components(bases(index, held), kept_runs(match_runs(locate(event_alignments(index), index), held))), "members")
+    return table(closure.base_components(bases(index, held), _aligned(index, held)), "members")
 
 
 def repeat_groups_r1(spark: SparkSession, d: str) -> DataFrame:
@@ -192,6 +195,12 @@ def base_map(spark: SparkSession, d: str) -> DataFrame:
     return closure.base_map(_members(spark, d)).select("q", "seq_id", "s", "is_rev")
 
 
+def closure_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Every base of the segments that the runs close to."""
+    index, held = event_tables(spark, d)
+    return closure.map_by_segments(bases(index, held), index, _aligned(index, held)).select("q", "seq_id", "s", "is_rev")
+
+
 def base_map_r2(spark: SparkSession, d: str) -> DataFrame:
     return closure.base_map(_members(spark, d), repeat_max=2).select("q", "seq_id", "s", "is_rev")
 
@@ -242,7 +251,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         sequence_index, base_table, complement, revcomp, pos_pack_roundtrip, pos_step, pos_in_sequences, cigar_parse, cigar_format, handy_numbers, tokenize,
         paf_valid_filter, paf_round_trip, sxs_records, fasta_records, pair_enumeration, match_runs_min_len, match_both_directions, match_sparse,
-        seq_asof_lookup, interval_overlap_join, point_in_interval, component_sizes, repeat_groups_r1, repeat_groups_l, base_map, base_map_r2, graph_bases,
+        seq_asof_lookup, interval_overlap_join, point_in_interval, component_sizes, repeat_groups_r1, repeat_groups_l, base_map, closure_segments, base_map_r2, graph_bases,
         path_intervals, node_table, path_steps, links, link_frequency, gfa_lines, scaffold_lines, validate_paths,
     )
 } | {"match_runs": match_runs_all, "match_hash": match_hashes, "connected_components": components} | files.QUERIES
