@@ -539,6 +539,56 @@ def test_long_and_unknown_expressions():
     assert licenses.evaluate("OFL-1.1") == (["ofl-1.1"], 0.0)
 
 
+@pytest.mark.parametrize(
+    ("text", "labels", "value"),
+    [
+        ('"SPDX-License-Identifier: MIT"', "mit", 1.0), ("<!-- SPDX-License-Identifier: MIT-->", "mit", 1.0), ("SPDX-License-Identifier: MIT,GPL-2.0", "gpl-2.0,mit", 0.3),
+        ("SPDX-License-Identifier: MIT/Apache-2.0", "apache-2.0,mit", 1.0), ("SPDX-License-Identifier: MIT, see the notice", "mit", 1.0), ("License: MIT", "mit", 1.0),
+        ("under GPLv2 or later", "gpl-2.0", 0.3), ('{"license": "MIT"}', "mit", 1.0), ("License: see below", "", 0.0), ("license:mit;apache-2.0", "apache-2.0,mit", 0.95),
+    ],
+)
+def test_punctuation_around_identifiers(text, labels, value):
+    got = licenses.scan_text(text, licenses.automaton(licenses.phrase_table()))
+    assert got[5] == labels and got[6] == pytest.approx(value)
+
+
+def test_random_expressions():
+    """Expressions built from trees, dressed up: labels are the leaves, the value is that of the tree."""
+    r = random.Random(6)
+    ac = licenses.automaton(licenses.phrase_table())
+    names = ["MIT", "Apache-2.0", "GPL-3.0-only", "LGPL-2.1+", "AGPL-3.0", "MPL-2.0", "ISC"]
+
+    def tree(depth):
+        if not depth or r.random() < 0.3:
+            x = r.choice(names)
+            return x, {x.lower()}, licenses.value_of(x.lower()), 3
+        op = r.choice(["AND", "OR"])
+        (a, la, va, pa), (b, lb, vb, pb) = tree(depth - 1), tree(depth - 1)
+        own = 2 if op == "AND" else 1
+        a, b = (x if p >= own and r.random() < 0.7 else f"({x})" for x, p in ((a, pa), (b, pb)))
+        return f"{a} {op} {b}", la | lb, min(va, vb) if op == "AND" else max(va, vb), own
+
+    for _ in range(300):
+        x, labels, value, _ = tree(4)
+        for left, right in (("SPDX-License-Identifier: ", "\n"), ('"SPDX-License-Identifier: ', '"'), ("/* spdx-license-identifier: ", " */"), ('"license": "', '",')):
+            got = licenses.scan_text(left + x + right, ac)
+            assert set(got[5].split(",")) == labels and got[6] == pytest.approx(value), left + x + right
+            assert not re.search(r"[^a-z0-9.+,-]", got[5])
+
+
+def test_brackets_take_linear_time():
+    import time
+
+    ac = licenses.automaton(licenses.phrase_table())
+    for part in ("(", "x(", "license=", "(mit or "):
+        took = []
+        for n in (1 << 17, 1 << 19):
+            began = time.process_time()
+            licenses.scan_text("GPL-2.0 " + part * (n // len(part)), ac)
+            took.append(time.process_time() - began)
+        assert took[1] < 8 * took[0] + 0.2, part
+
+
 def test_identifiers_in_prose():
     ac = licenses.automaton(licenses.phrase_table())
     for text, labels, value in (
@@ -616,6 +666,20 @@ def test_base_rules_take_their_part_of_the_risk():
         assert quality.binomial_cdf(k, n, p) == pytest.approx(want)
 
 
+def test_words_of_one_hash_are_two_words(spark):
+    """Two words that a mix without a key takes for one: windows with them do not repeat."""
+    a, b = "5FNGKXm1aa00a0aa", "2z8hA5Xrh'E[!XT}"
+    text = f"one two {a} three four five six seven one two {b} three four"
+    got = spark.createDataFrame([(text,)], "t string").select(quality.features("t").alias("f")).first().f
+    assert got.n_words == 13 and got.n_repeat_words == 0
+    r = np.random.default_rng(4)
+    for n, top in ((0, 3), (3, 3), (400, 3), (400, 2**31 - 2)):
+        w = r.integers(0, top, n) if top < 9 else np.where(r.random(n) < 0.5, 7, r.integers(0, top, n))
+        g = tx.gram_numbers(w, 5)
+        runs = [tuple(w[i : i + 5].tolist()) for i in range(n - 4)]
+        assert len(g) == len(runs) and len(set(g.tolist())) == len(set(runs)) == len(set(zip(g.tolist(), runs, strict=True)))
+
+
 # --- 8
 
 

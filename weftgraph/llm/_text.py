@@ -165,6 +165,19 @@ def gram_hash(h: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
+def gram_numbers(number: np.ndarray, n: int) -> np.ndarray:
+    """A number for each run of ``n`` neighbours (len(number) - n + 1 values), equal for equal runs only."""
+    if len(number) < n:
+        return np.zeros(0, np.int64)
+    number = number.astype(np.int64)
+    out, width = number, int(number.max()) + 1
+    for i in range(1, n):
+        if (int(out.max()) + 1) * width >= 1 << 62:
+            out = np.unique(out, return_inverse=True)[1]
+        out = out[:-1] * width + number[i:]
+    return np.unique(out, return_inverse=True)[1]
+
+
 def per_row(mask: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """How many true values each row has."""
     out = np.zeros(len(offs) - 1, np.int64)

@@ -10,7 +10,9 @@ tighter than AND, AND tighter than OR, parentheses group.  An expression's
 value is the permissiveness of its best permitted reading: OR takes the larger,
 AND the smaller operand, WITH adds an allowance.  Every identifier
 is a label; one of no known family is taken as ``UNKNOWN``, the most restrictive
-value.  A malformed expression yields its identifiers as labels and the smallest of
+value.  Quotes, arrows and full stops around identifiers are not theirs; ``/`` and ``|`` are OR, ``,``, ``;`` and ``&`` AND, so no
+label holds a comma.  Fields such as ``license: MIT`` or ``"license": "MIT"`` count if every name in them is of a known
+family; ``GPLv2`` is ``gpl-2.0``.  A malformed expression yields its identifiers as labels and the smallest of
 their values.  A lone word of no known family is an identifier only with a ``-``
 or a digit in it; else it is prose and the tag is passed over.
 
@@ -25,6 +27,7 @@ ties and repeated rows give equal results, other columns pass by, whatever their
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
@@ -73,16 +76,21 @@ UNKNOWN = 0.0
 TAG = "spdx license identifier"
 TYPE = "struct<n_words:bigint,n_base:bigint,first_word:bigint,last_word:bigint,base_labels:string,labels:string,score:double>"
 _TAG = re.compile(r"spdx-license-identifier:[ \t]*([^\n\r*]+)")
-_TOKEN = re.compile(r"[()]|[^\s()]+")
-#: An operand in prose: a word with a digit or a short family name; and a run of operands joined by operators, or a lone one.
-_NAME = r"\(*[a-z0-9][a-z0-9.+-]*\)*"
-_PROSE = re.compile(rf"(?<![^\s(\"'`]){_NAME}(?:\s+(?:and|or|with)\s+{_NAME})*")
+#: A licence field of a manifest or header; its value has to be of a known family.
+_FIELD = re.compile(r"\blicen[sc]e[\"']?[ \t]*[:=][ \t]*([^\n\r*]+)")
+_TOKEN = re.compile(r"[(),;/|&]|[a-z0-9][a-z0-9.+-]*")
+_OPERAND = re.compile(r"[a-z0-9][a-z0-9.+-]*")
+#: What may stand between the operands and operators of an expression in prose.
+_BETWEEN = " \t\n\r\x0b\x0c\"'`()"
+#: Short spellings of versions: family, then what the identifier ends in.
+_SHORT = re.compile(r"(a?gpl|lgpl)v([123])(\.[0-9])?(\+?)")
 #: A-Z lower-cased; every other ASCII byte outside 0-9 and a-z ends a word.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 
 
+@lru_cache(maxsize=1 << 16)
 def value_of(identifier: str) -> float | None:
     """Permissiveness of one identifier, None if no family is known."""
     x = identifier.rstrip("+")
@@ -125,20 +133,59 @@ def to_postfix(tokens: list[str]) -> list[str] | None:
     return out + stack[::-1]
 
 
-def evaluate(expression: str) -> tuple[list[str], float] | None:
-    """Labels and value of an expression; None if it names no licence."""
-    tokens = _TOKEN.findall(expression.lower())
-    # prose may follow an expression: it ends where two operands meet
-    end, was = len(tokens), False
-    for i, t in enumerate(tokens):
-        is_operand = t not in _PRECEDENCE and t not in "()"
-        if was and (is_operand or t == "("):
-            end = i
+@lru_cache(maxsize=1 << 16)
+def clean(token: str) -> str:
+    """An operand without the punctuation behind it, short spellings written out (``gplv2`` is ``gpl-2.0``)."""
+    t = token.rstrip(".-")
+    m = _SHORT.fullmatch(t)
+    return f"{m[1]}-{m[2]}{m[3] or '.0'}{m[4]}" if m else t
+
+
+def lex(expression: str) -> list[str]:
+    """Operands, operators and brackets of a lower-cased expression, up to where prose begins: where two operands meet.
+
+    Quotes, arrows and the like are passed over.  ``/`` and ``|`` between operands are OR, ``,``, ``;`` and ``&`` AND, if
+    a known family follows or, without a space, what looks like an identifier; else they end the expression.
+    """
+    out: list[str] = []
+    was, joint, end = False, "", 0
+    for m in _TOKEN.finditer(expression):
+        t = m[0]
+        if t in ",;/|&":
+            if not was:
+                break
+            joint, end = t, m.end()
+            continue
+        if t in "()":
+            if was and (t == "(" or joint):
+                if t == ")":
+                    joint = ""
+                else:
+                    break
+            out.append(t)
+            was = t == ")"
+            continue
+        t = clean(t)
+        operator = t in _PRECEDENCE
+        if joint and not operator:
+            near = m.start() == end and (joint in "/|&" or re.search(r"[-0-9]", t))
+            if value_of(t) is None and not near:
+                break
+            out.append("or" if joint in "/|" else "and")
+        elif was and not operator:
             break
-        was = is_operand or t == ")"
-    tokens = [t.rstrip(".,;") if t not in "()" else t for t in tokens[:end]]
+        out.append(t)
+        was, joint = not operator, ""
+    return out
+
+
+def evaluate(expression: str, known_only: bool = False) -> tuple[list[str], float] | None:
+    """Labels and value of an expression; None if it names no licence (``known_only``: or one of no known family)."""
+    tokens = lex(expression.lower())
     exceptions = {i + 1 for i, t in enumerate(tokens) if t == "with"}
-    labels = [t for i, t in enumerate(tokens) if i not in exceptions and t not in _PRECEDENCE and t not in "()" and any(map(str.isalnum, t))]
+    labels = [t for i, t in enumerate(tokens) if i not in exceptions and t not in _PRECEDENCE and t not in "()"]
+    if known_only and any(value_of(x) is None for x in labels):
+        return None
     if not any(value_of(x) is not None for x in labels) and (not labels or len(tokens) == 1 and not re.search(r"[-0-9]", labels[0])):
         return None
 
@@ -166,7 +213,11 @@ def automaton(phrases: dict[str, list[tuple[str, bool]]]) -> ahocorasick.Automat
     a = ahocorasick.Automaton()
     for phrase, labels in phrases.items():
         a.add_word(f" {phrase} ", (len(phrase) + 2, labels))
-    a.add_word(f"{TAG} ", (len(TAG) + 1, None))
+    for word in (TAG, " license", " licence"):  # tags, and names of fields
+        a.add_word(f"{word} ", (len(word) + 1, None))
+    for family in ("gpl", "lgpl", "agpl"):
+        for version in ("v1", "v2", "v3"):
+            a.add_word(f" {family}{version}", (0, ()))
     for name in identifiers():
         words = " ".join(re.findall(r"[a-z0-9]+", name))
         key = f" {words} "
@@ -185,26 +236,48 @@ _KNOWN = identifiers()
 
 def named(token: str) -> bool:
     """Whether a token of prose is one of ``IDENTIFIERS``, with or without a suffix."""
-    x = token.strip("()").rstrip(".,;").rstrip("+")
+    x = clean(token).rstrip("+")
     return x in _KNOWN or x.removesuffix("-only").removesuffix("-or-later") in _KNOWN
 
 
 def in_prose(lower: str) -> list[str]:
-    """Expressions of a lower-cased text that hold an identifier outside tags."""
-    out = []
-    for m in _PROSE.finditer(lower):
-        tokens = re.split(r"(\s+(?:and|or|with)\s+)", m[0])  # operand, operator, operand, ...
-        where = [i for i in range(0, len(tokens), 2) if named(tokens[i])]
-        if not where:
+    """Expressions of a lower-cased text that hold an identifier outside tags, in one pass over its words."""
+    out: list[str] = []
+    chain: list[tuple[str, int, int]] = []  # operand, operator, operand, ...
+
+    def close() -> None:
+        if len(chain) % 2 == 0 and chain:
+            chain.pop()
+        where = [i for i in range(0, len(chain), 2) if named(chain[i][0])]
+        if where:
+            # operands beside an identifier belong to it as long as they are of a known family or follow WITH
+            lo, hi = where[0], where[-1]
+            belongs = lambda i: value_of(chain[i][0]) is not None or i > 0 and chain[i - 1][0] == "with"
+            while lo > 1 and belongs(lo - 2):
+                lo -= 2
+            while hi + 2 < len(chain) and belongs(hi + 2):
+                hi += 2
+            inner = lower[chain[lo][1] : chain[hi][2]]
+            depth = least = 0
+            for c in inner:
+                depth += (c == "(") - (c == ")")
+                least = min(least, depth)
+            out.append("(" * -least + inner + ")" * (depth - least))  # brackets around several expressions are not theirs
+        chain.clear()
+
+    for m in _OPERAND.finditer(lower):
+        raw = m[0]
+        word = clean(raw)
+        stop = m.start() + len(raw.rstrip(".-"))
+        if not word:
             continue
-        # operands beside an identifier belong to it as long as they are of a known family or follow WITH
-        lo, hi = where[0], where[-1]
-        belongs = lambda i: value_of(tokens[i].strip("()").rstrip(".,;")) is not None or i > 0 and "with" in tokens[i - 1]
-        while lo > 1 and belongs(lo - 2):
-            lo -= 2
-        while hi + 2 < len(tokens) and belongs(hi + 2):
-            hi += 2
-        out.append("".join(tokens[lo : hi + 1]))
+        joins = bool(chain) and not lower[chain[-1][2] : m.start()].strip(_BETWEEN)
+        operator = word in _PRECEDENCE
+        if not joins or operator != (len(chain) % 2 == 1):
+            close()
+        if chain or not operator:
+            chain.append((word, m.start(), stop))
+    close()
     return out
 
 
@@ -242,8 +315,11 @@ def scan_text(text: str | None, ac: ahocorasick.Automaton) -> tuple:
     values = [v for v in map(value_of, found) if v is not None]
     if tagged or prose:
         lower = raw.translate(_LOWER).decode("utf-8", "surrogatepass")
-        for expression in [m[1] for m in _TAG.finditer(lower)] + (in_prose(_TAG.sub("\n", lower)) if prose else []):
-            if got := evaluate(expression):
+        texts = [(m[1], False) for m in _TAG.finditer(lower)]
+        rest = _TAG.sub("\n", lower)
+        texts += [(m[1], True) for m in _FIELD.finditer(rest)] + ([(x, False) for x in in_prose(rest)] if prose else [])
+        for expression, known_only in texts:
+            if got := evaluate(expression, known_only):
                 found.update(got[0])
                 values.append(got[1])
     return len(ws), n_base, first, last, ",".join(sorted(base)), ",".join(sorted(found)), min(values, default=0.0)

@@ -76,11 +76,10 @@ def _features(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
         lines = [x for x in buf[lo:hi].tobytes().split(b"\n") if x and not x.isspace()]
         out[7, i], out[3, i] = len(lines), len(lines) - len(set(lines))
     # words inside 5-word windows that occur twice or more in their row
-    h = tx.gram_hash(tx.span_hash(buf, s, e), 5)
-    if len(h):
-        salt = tx.mix(np.arange(n, dtype=np.uint64) + np.uint64(77))
+    runs = tx.gram_numbers(tx.numbers(buf, s, e)[0], 5)  # words are numbered, so no two windows are mixed up
+    if len(runs):
         at = np.flatnonzero(row[4:] == row[: len(row) - 4])
-        dup = at[tx.duplicated(h[at] ^ salt[row[at]])]
+        dup = at[tx.duplicated(runs[at] * n + row[at])]
         out[4] = np.bincount(row[tx.covered(dup, 5, len(s))], minlength=n)
     return out
 
