@@ -18,6 +18,18 @@ def repeated_names(records: DataFrame) -> DataFrame:
     return records.groupBy("name").agg(F.count("*").alias("n")).where("n > 1")
 
 
+def build_index(records: DataFrame, check_names: bool = True) -> DataFrame:
+    """``records`` (rec_no, name, seq_len, any others; all lengths over 0) with seq_id from 1 and seq_offset; a repeated name raises."""
+    r = table(records, "lengths")
+    if check_names:
+        twice = [x.name for x in repeated_names(r).limit(5).collect()]
+        if twice:
+            raise DuplicateNames(f"repeated sequence names, such as {', '.join(map(str, twice))}")
+    slim = numbered(r, "rec_no", name="seq_id", start=1)
+    slim = running_sum(slim, "seq_id", "seq_len", "_to").withColumn("seq_offset", (F.col("_to") - F.col("seq_len")).cast("long"))
+    return slim.withColumn("seq_id", F.col("seq_id").cast("long")).drop("_to")
+
+
 def build_sequences(records: DataFrame, check_names: bool = True) -> DataFrame:
     """(seq_id from 1, name, seq_offset, seq_len, seq) of records (rec_no, name, seq).
 
@@ -26,12 +38,7 @@ def build_sequences(records: DataFrame, check_names: bool = True) -> DataFrame:
     them afterwards.
     """
     r = table(records.select("rec_no", "name", F.upper("seq").alias("seq")).where(F.length("seq") > 0), "records")
-    if check_names:
-        twice = [x.name for x in repeated_names(r).limit(5).collect()]
-        if twice:
-            raise DuplicateNames(f"repeated sequence names, such as {', '.join(map(str, twice))}")
-    slim = numbered(r.select("rec_no", F.length("seq").cast("long").alias("seq_len")), "rec_no", name="seq_id", start=1)
-    slim = running_sum(slim, "seq_id", "seq_len", "_to").withColumn("seq_offset", F.col("_to") - F.col("seq_len"))
+    slim = build_index(r.select("rec_no", "name", F.length("seq").cast("long").alias("seq_len")), check_names).drop("name")
     return r.join(slim, "rec_no").select(F.col("seq_id").cast("long").alias("seq_id"), "name", F.col("seq_offset").cast("long").alias("seq_offset"), "seq_len", "seq")
 
 

@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from weftgraph.operators import closure, graph
 from weftgraph.operators.matches import both_directions, unpack
-from weftgraph.operators.sequences import bases, blocks, build_sequences
+from weftgraph.operators.sequences import bases, blocks
 from weftgraph.plans.work import table
 from weftgraph.sources.alignments import read_paf_list
 from weftgraph.sources.graphs import write_gfa
-from weftgraph.sources.sequences import read_sequences
+from weftgraph.sources.sequences import read_blocks
 
 
 @dataclass
@@ -87,4 +87,5 @@ def induce(
 
 def induce_files(spark: SparkSession, sequences: str, alignments: str | list[tuple[str, int]], on_bad_row: str = "stop", **options) -> Graph:
     """``induce`` on FASTA or FASTQ and PAF files."""
-    return induce(build_sequences(read_sequences(spark, sequences)), read_paf_list(spark, alignments, on_bad_row), **options)
+    index, held = read_blocks(spark, sequences)
+    return induce(index, read_paf_list(spark, alignments, on_bad_row), table(held, "blocks"), **options)

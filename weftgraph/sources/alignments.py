@@ -11,7 +11,7 @@ from weftgraph.functions.cigar import format_cigar, parse_cigar
 from weftgraph.functions.text import alignment_list, tokens
 from weftgraph.operators.matches import valid_row
 from weftgraph.operators.rank import numbered, running_sum
-from weftgraph.sources.lines import read_lines
+from weftgraph.sources.lines import first_bytes, read_lines
 
 #: The twelve columns of PAF and their types.
 PAF_FIELDS = (
@@ -36,8 +36,9 @@ def parse_paf(lines: DataFrame) -> DataFrame:
 def read_paf(spark: SparkSession, path: str, min_match_len: int = 0, on_bad_row: str = "stop") -> DataFrame:
     """Valid rows of one file.  At a blank or invalid row: ``stop`` ends the file there, ``skip`` goes on, ``raise`` raises."""
     rows = read_lines(spark, path)
-    first = rows.where("value != ''").orderBy("file", "block", "place").limit(1).select("value").collect()
-    if first and "cg:Z:" not in first[0].value:
+    # the first line that isn't empty, as far as the first bytes hold it
+    first = next((x for x in first_bytes(spark, path, 1 << 20).splitlines() if x), b"")
+    if first and b"cg:Z:" not in first:
         warnings.warn(f"{path} has no cg:Z: tag: without base-level alignments no matches are made", stacklevel=2)
     parsed = parse_paf(rows).withColumn("min_match_len", F.lit(min_match_len).cast("long"))
     if on_bad_row != "skip":

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,3 +23,34 @@ def exists(spark: SparkSession, path: str) -> bool:
     """Whether a file or folder is there; nothing of it is read."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p))
+
+
+def first_bytes(spark: SparkSession, path: str, n: int = 1 << 16) -> bytes:
+    """The first ``n`` bytes of a file, or of the first file of a folder or pattern by name, that holds any; nothing more is read.
+
+    Packed files are known by their content, not by their name.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(conf)
+    todo = sorted((str(x.getPath()), x) for x in (fs.globStatus(root) or []))
+    if not todo:
+        raise FileNotFoundError(path)
+    while todo:
+        _, status = todo.pop(0)
+        p = status.getPath()
+        if p.getName()[:1] in ("_", ".") and p != root:
+            continue
+        if status.isDirectory():
+            todo = sorted((str(x.getPath()), x) for x in fs.listStatus(p)) + todo
+        elif status.getLen():
+            stream = fs.open(p)
+            try:
+                head = bytes(stream.readNBytes(max(n, 1 << 16)))
+            finally:
+                stream.close()
+            if head[:2] == b"\x1f\x8b":  # what a cut gzip stream gives before its end
+                head = zlib.decompressobj(16 + zlib.MAX_WBITS).decompress(head, n)
+            if head:
+                return head[:n]
+    return b""

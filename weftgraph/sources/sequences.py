@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.operators.rank import numbered
-from weftgraph.plans.work import bounded
-from weftgraph.sources.lines import read_lines
+from weftgraph.operators.rank import numbered, running_last, running_sum
+from weftgraph.operators.sequences import blocks, build_index
+from weftgraph.plans.work import split_join, table
+from weftgraph.sources.lines import first_bytes, read_lines
 
 
 class UnknownFormat(ValueError):
@@ -20,36 +21,55 @@ def header_name(header: Column) -> Column:
 
 
 def sniff(spark: SparkSession, path: str) -> str:
-    first = read_lines(spark, path).orderBy("file", "block", "place").limit(1).collect()
-    kind = {">": "fasta", "@": "fastq"}.get(first[0].value[:1] if first else "")
+    """``fasta`` or ``fastq``, by the first byte."""
+    kind = {b">": "fasta", b"@": "fastq"}.get(first_bytes(spark, path)[:1])
     if not kind:
         raise UnknownFormat(f"{path} begins with neither '>' nor '@'")
     return kind
 
 
-def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(rec_no, name, seq): records are split at line starts with '>', so large plain files are read in parallel."""
-    r = numbered(read_lines(spark, path, "\n>"), "file", "block", "place", name="rec_no")
-    # the separator takes the '>' of all records but a file's first
-    heads = r.groupBy("file").agg(F.min("rec_no").alias("rec_no")).select("rec_no", F.lit(True).alias("_head"))
-    r = r.join(bounded(heads, 100_000), "rec_no", "left").withColumn("value", F.when(F.col("_head"), F.substring(F.col("value"), F.lit(2), F.length("value"))).otherwise(F.col("value")))
-    body = F.when(F.instr("value", "\n") > 0, F.substring(F.col("value"), F.instr("value", "\n") + 1, F.length("value"))).otherwise(F.lit(""))
-    first = F.regexp_replace(F.substring_index("value", "\n", 1), "\r", "")
-    return r.select("rec_no", header_name(first).alias("name"), F.regexp_replace(body, "[\r\n]", "").alias("seq"))
-
-
-def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """(rec_no, name, seq) of strict four-line records; delimiter and quality are dropped."""
-    lines = numbered(read_lines(spark, path), "file", "block", "place", name="n").withColumn("rec_no", F.floor(F.col("n") / 4))
-    two = lines.where("n % 4 < 2").groupBy("rec_no").agg(
-        F.max(F.when(F.col("n") % 4 == 0, F.col("value"))).alias("h"), F.max(F.when(F.col("n") % 4 == 1, F.col("value"))).alias("seq")
-    )
-    name = header_name(F.regexp_replace(F.substring(F.col("h"), F.lit(2), F.length("h")), "\r", ""))
-    return two.select("rec_no", name.alias("name"), F.regexp_replace(F.coalesce("seq", F.lit("")), "\r", "").alias("seq"))
+def record_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(rec_no, at, text, name): a file's sequence lines with their places in the record; a header is an empty text with a name.
+
+    The lines of plain files come from all splits, so a record is spread over as many tasks as it has splits and is
+    no row of its own.  Records and places are running sums over (line number, length) only.
+    """
+    fastq = sniff(spark, path) == "fastq"
+    lines = table(numbered(read_lines(spark, path), "file", "block", "place", name="n"), "lines")
+    value = F.regexp_replace("value", "\r", "")
+    head = F.col("n") % 4 == 0 if fastq else F.col("value").startswith(">")
+    if fastq:  # strict records of four lines: delimiter and quality are dropped
+        lines = lines.where("n % 4 < 2")
+    lines = lines.select("n", head.alias("_head"), F.when(head, F.substring(value, F.lit(2), F.length("value"))).otherwise(value).alias("text"))
+    if fastq:
+        placed = lines.select("n", "_head", "text", F.floor(F.col("n") / 4).alias("rec_no"), F.lit(0).cast("long").alias("at"))
+    else:
+        own = F.when(F.col("_head"), 0).otherwise(F.length("text")).cast("long")
+        slim = running_sum(lines.select("n", "_head", F.col("_head").cast("long").alias("_new"), own.alias("_len")), "n", "_new", "_rec")
+        slim = table(running_sum(slim, "n", "_len", "_to"), "places")
+        slim = running_last(slim.withColumn("_start", F.when(F.col("_head"), F.col("_to"))), "n", "_start", "_from").where("_rec > 0")
+        slim = slim.select("n", (F.col("_rec") - 1).alias("rec_no"), (F.col("_to") - F.col("_len") - F.col("_from")).alias("at"))
+        placed = lines.join(slim, "n")
+    name = F.when(F.col("_head"), header_name(F.col("text"))).alias("name")
+    return placed.select("rec_no", "at", F.when(F.col("_head"), F.lit("")).otherwise(F.col("text")).alias("text"), name)
 
 
 def read_sequences(spark: SparkSession, path: str) -> DataFrame:
-    return (read_fasta if sniff(spark, path) == "fasta" else read_fastq)(spark, path)
+    """(rec_no, name, seq): one row a record, for what needs it so; large records are better read by ``read_blocks``."""
+    one = F.array_sort(F.collect_list(F.when(F.col("text") != "", F.struct("at", "text"))))
+    text = F.array_join(F.transform(one, lambda x: x["text"]), "")
+    return record_lines(spark, path).groupBy("rec_no").agg(F.max("name").alias("name"), text.alias("seq"))
+
+
+def read_blocks(spark: SparkSession, path: str, check_names: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(index, blocks) as ``build_sequences`` and ``blocks`` give them, without a row that holds a record."""
+    lines = table(record_lines(spark, path), "record_lines")
+    records = lines.groupBy("rec_no").agg(F.max("name").alias("name"), F.sum(F.length("text")).cast("long").alias("seq_len"), F.count("*").alias("c")).where("seq_len > 0")
+    index = table(build_index(records, check_names), "index")
+    # a chromosome has a good part of all lines: its row goes to them, not they to its task
+    placed = split_join(lines.where("text != ''").select("rec_no", "at", "text"), table(index.select("rec_no", "seq_offset", "c"), "offsets"), ["rec_no"], total=lines.count())
+    held = placed.select((F.col("seq_offset") + F.col("at")).alias("seq_offset"), F.length("text").cast("long").alias("seq_len"), F.upper("text").alias("seq"))
+    return index.select("seq_id", "name", "seq_offset", "seq_len"), blocks(held)
 
 
 def fasta_lines(sequences: DataFrame, width: int = 60) -> DataFrame:
