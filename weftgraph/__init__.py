@@ -1,3 +1,3 @@
 """weftgraph: sequences and pairwise alignments to a variation graph, as Spark jobs."""
 
-__version__ = "0.1.0"
+__version__ = "0.3.0"

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import argparse
 import sys
+import time
 
-from weftgraph import __version__
+from weftgraph import version
 from weftgraph.functions.text import alignment_list, handy_number
 from weftgraph.operators.graph import BrokenGraph
 from weftgraph.operators.sequences import DuplicateNames
 from weftgraph.plans.induce import induce_files
+from weftgraph.plans.work import telling
 from weftgraph.session import session
 from weftgraph.sources.lines import exists
 
@@ -31,7 +33,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("-V", "--verbose-debug", action="store_true", help="with the sizes of the tables, and some rows of each")
     p.add_argument("-t", "--threads", type=int, default=0, help="local threads; 0: as the session is set")
     p.add_argument("--on-bad-row", choices=("stop", "skip", "raise"), default="stop")
-    p.add_argument("-v", "--version", action="version", version=__version__)
+    p.add_argument("-v", "--version", action="version", version=version.short())
     try:
         a = p.parse_args(argv)
     except (argparse.ArgumentError, SystemExit) as e:
@@ -46,13 +48,15 @@ def main(argv: list[str] | None = None) -> int:
     if not all(exists(spark, path) for path, _ in alignment_list(a.paf_alns)):
         return 4
     say("inducing the graph")
+    began = time.monotonic()
     try:
-        g = induce_files(spark, a.seqs, a.paf_alns, a.on_bad_row, min_match_len=a.min_match_len, sparse_factor=a.sparse_factor, repeat_max=a.repeat_max, min_repeat_dist=a.min_repeat_distance)
+        with telling(lambda text: say(f"[{time.monotonic() - began:.1f} s] {text}")):
+            g = induce_files(spark, a.seqs, a.paf_alns, a.on_bad_row, min_match_len=a.min_match_len, sparse_factor=a.sparse_factor, repeat_max=a.repeat_max, min_repeat_dist=a.min_repeat_distance)
     except (DuplicateNames, BrokenGraph) as e:
         print(e, file=sys.stderr)
         return 1
     if a.show_progress or a.verbose_debug:
-        say(f"{g.graph_bases.count()} graph bases of {g.base_map.count()}, {g.nodes.count()} nodes, {g.links.count()} links")
+        say(f"{g.seen['graph_bases']} graph bases of {g.seen['bases_seen']}, {g.seen['nodes']} nodes, {g.links.count()} links")
     if a.verbose_debug:
         for name in ("matches", "intervals", "nodes", "links"):
             say(f"{name}: {[tuple(r) for r in getattr(g, name).limit(5).collect()]}")

@@ -16,10 +16,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.plans.work import drop, split_join, table
+from weftgraph.plans.work import drop, observed, split_join, table
 
 #: Most edges that one task may finish, and that a partition joins at a time.
 LOCAL_EDGES, LOT = 1 << 21, 1 << 20
@@ -73,9 +73,8 @@ def forests(edges: DataFrame, lot: int = LOT) -> DataFrame:
 
 def _written(edges: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
     """The edges as a table, with their number and an order-free fingerprint, both seen while writing."""
-    seen = Observation()
-    t = table(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("mark")), "round")
-    return t, (seen.get["n"], seen.get["mark"] or 0)
+    t, seen = observed(edges, "components", links=F.count(F.lit(1)), fingerprint=F.bit_xor(F.xxhash64("u", "v")))
+    return t, (seen["links"], seen["fingerprint"])
 
 
 def _met(edges: DataFrame, low: DataFrame, n: int) -> DataFrame:

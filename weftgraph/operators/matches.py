@@ -17,6 +17,7 @@ from weftgraph.functions.cigar import consumed
 from weftgraph.functions.dna import equal_runs, reverse_complement
 from weftgraph.functions.hashing import keep_sparse
 from weftgraph.functions.positions import make_pos
+from weftgraph.operators.rank import numbered
 from weftgraph.operators.sequences import BLOCK
 from weftgraph.plans.work import table
 
@@ -118,6 +119,11 @@ def both_directions(runs: DataFrame) -> DataFrame:
     return one.unionAll(two)
 
 
+def match_index(runs: DataFrame) -> DataFrame:
+    """``both_directions`` with the number ``n`` of each match in the order of its fields, so that the nth one is a filter."""
+    return numbered(both_directions(runs), "start", "end", "pos", "is_rev", name="n")
+
+
 def unpack(paf: DataFrame, index: DataFrame, block_table: DataFrame, min_match_len: int = 0, sparse_factor: float = 0.0) -> DataFrame:
     return kept_runs(match_runs(locate(paf, index), block_table), min_match_len, sparse_factor)
 

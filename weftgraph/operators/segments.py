@@ -20,14 +20,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.operators.components import smallest_of_part
 from weftgraph.operators.intervals import asof_join
 from weftgraph.operators.rank import neighbours, running_sum
 from weftgraph.operators.sequences import BLOCK
-from weftgraph.plans.work import drop, split_join, table
+from weftgraph.plans.work import drop, observed, split_join, table
 
 WIDTH = BLOCK
 #: Bases that one task may close, or that a partition joins at a time; links and bases of one row.
@@ -214,9 +214,8 @@ def _star(links: DataFrame, parents: DataFrame, side: str, width: int) -> tuple[
 
 def _written(links: DataFrame, name: str) -> tuple[DataFrame, int, int]:
     """The links as a table, with the bases they link and those that moved, both seen while writing."""
-    seen = Observation()
-    t = table(links.observe(seen, F.sum("len").alias("n"), F.sum("moved").alias("moved")), name)
-    return t, seen.get["n"] or 0, seen.get["moved"] or 0
+    t, seen = observed(links, name, runs=F.count(F.lit(1)), bases_linked=F.sum("len"), bases_moved=F.sum("moved"))
+    return t, seen["bases_linked"], seen["bases_moved"]
 
 
 def grown(links: DataFrame) -> DataFrame:

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from weftgraph.operators import closure, graph
 from weftgraph.operators.matches import both_directions, unpack
 from weftgraph.operators.sequences import bases, blocks
-from weftgraph.plans.work import table
+from weftgraph.plans.work import observed, table
 from weftgraph.sources.alignments import read_paf_list
 from weftgraph.sources.graphs import write_gfa
 from weftgraph.sources.sequences import read_blocks
@@ -25,6 +26,8 @@ class Graph:
     chain: DataFrame
     nodes: DataFrame
     steps: DataFrame
+    #: Counts that the tables' writes have seen.
+    seen: dict[str, int] = field(default_factory=dict)
 
     @property
     def matches(self) -> DataFrame:
@@ -74,12 +77,14 @@ def induce(
     """
     seqs = table(sequences.drop("seq"), "sequences")
     held = table(blocks(sequences), "blocks") if block_table is None else block_table
-    runs = table(unpack(alignments, seqs, held, min_match_len, sparse_factor), "runs")
+    runs, seen = observed(unpack(alignments, seqs, held, min_match_len, sparse_factor), "matches", runs=F.count(F.lit(1)), bases_matched=F.sum("len"))
     members = closure.base_components(bases(seqs, held), runs)
-    mapped = table(closure.base_map(members, repeat_max, min_repeat_dist), "base_map")
+    mapped, more = observed(closure.base_map(members, repeat_max, min_repeat_dist), "graph", bases_seen=F.count(F.lit(1)), graph_bases=F.max("s") + 1)
+    seen |= more
     chain = table(closure.chained(mapped), "chain")
-    node_table = table(graph.nodes(chain, closure.graph_bases(mapped)), "nodes")
-    g = Graph(seqs, runs, mapped, chain, node_table, table(graph.steps(mapped, node_table), "steps"))
+    node_table, more = observed(graph.nodes(chain, closure.graph_bases(mapped)), "nodes", nodes=F.count(F.lit(1)))
+    step_table, last = observed(graph.steps(mapped, node_table), "paths", steps=F.count(F.lit(1)))
+    g = Graph(seqs, runs, mapped, chain, node_table, step_table, seen | more | last)
     if check:
         g.check()
     return g

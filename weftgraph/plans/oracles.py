@@ -102,6 +102,7 @@ ORACLES: dict[str, str] = {
     "match_runs": f"{_R}{_RUNS} SELECT is_rev, q, t, len FROM runs",
     "match_runs_min_len": f"{_R}{_RUNS} SELECT is_rev, q, t, len FROM runs WHERE len >= 2",
     "match_both_directions": f'{_R}{_RUNS} SELECT CASE WHEN is_rev THEN q - len + 1 ELSE q END AS start, CASE WHEN is_rev THEN q + 1 ELSE q + len END AS "end", CASE WHEN is_rev THEN t + len - 1 ELSE t END AS pos, is_rev FROM runs UNION ALL SELECT t, t + len, q, is_rev FROM runs',
+    "nth_match": f'{_R}{_RUNS}, bd AS (SELECT CASE WHEN is_rev THEN q - len + 1 ELSE q END AS start, CASE WHEN is_rev THEN q + 1 ELSE q + len END AS "end", CASE WHEN is_rev THEN t + len - 1 ELSE t END AS pos, is_rev FROM runs UNION ALL SELECT t, t + len, q, is_rev FROM runs) SELECT row_number() OVER (ORDER BY start, "end", pos, is_rev) - 1 AS n, start, "end", pos, is_rev FROM bd',
     "match_hash": f"{_HASH} SELECT qp, tp, len, CAST(CASE WHEN h > 9223372036854775807 THEN h - 18446744073709551616::HUGEINT ELSE h END AS BIGINT) AS hash FROM h3",
     "match_sparse": f"{_HASH} SELECT qp, tp, len FROM h3 WHERE CAST(h AS FLOAT) < CAST(9223372036854775808 AS FLOAT)",
     "seq_asof_lookup": f"WITH {_B} SELECT e.event_id AS p, s.seq_offset AS start, s.seq_id FROM events e ASOF JOIN s ON e.event_id >= s.seq_offset",

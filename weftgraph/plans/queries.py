@@ -12,7 +12,7 @@ from weftgraph.functions.hashing import keep_sparse, match_hash
 from weftgraph.functions.text import handy_number_column, tokens
 from weftgraph.operators import closure, graph, intervals
 from weftgraph.operators.components import connected_components
-from weftgraph.operators.matches import base_edges, both_directions, kept_runs, locate, match_runs, valid_row
+from weftgraph.operators.matches import base_edges, both_directions, kept_runs, locate, match_index, match_runs, valid_row
 from weftgraph.operators.sequences import bases
 from weftgraph.plans import files
 from weftgraph.plans.events import event_alignments, event_graph, event_sequences, event_tables
@@ -136,6 +136,11 @@ def match_both_directions(spark: SparkSession, d: str) -> DataFrame:
     return both_directions(_runs(spark, d)).select("start", L("end"), "pos", "is_rev")
 
 
+def nth_match(spark: SparkSession, d: str) -> DataFrame:
+    """Every match under its number."""
+    return match_index(_runs(spark, d)).select(L("n"), "start", L("end"), "pos", "is_rev")
+
+
 def _packed(r: DataFrame) -> DataFrame:
     return r.select(positions.make_pos(F.col("q"), F.col("is_rev")).alias("qp"), positions.make_pos(F.col("t"), F.lit(False)).alias("tp"), "len")
 
@@ -250,7 +255,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         sequence_index, base_table, complement, revcomp, pos_pack_roundtrip, pos_step, pos_in_sequences, cigar_parse, cigar_format, handy_numbers, tokenize,
-        paf_valid_filter, paf_round_trip, sxs_records, fasta_records, pair_enumeration, match_runs_min_len, match_both_directions, match_sparse,
+        paf_valid_filter, paf_round_trip, sxs_records, fasta_records, pair_enumeration, match_runs_min_len, match_both_directions, nth_match, match_sparse,
         seq_asof_lookup, interval_overlap_join, point_in_interval, component_sizes, repeat_groups_r1, repeat_groups_l, base_map, closure_segments, base_map_r2, graph_bases,
         path_intervals, node_table, path_steps, links, link_frequency, gfa_lines, scaffold_lines, validate_paths,
     )

@@ -7,9 +7,11 @@ import gc
 import tempfile
 import time
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -33,6 +35,33 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+_listeners: list[Callable[[str], None]] = []
+
+
+@contextmanager
+def telling(say: Callable[[str], None]) -> Iterator[None]:
+    """``say`` hears of rounds and tables as they are done."""
+    _listeners.append(say)
+    try:
+        yield
+    finally:
+        _listeners.remove(say)
+
+
+def tell(text: str) -> None:
+    for say in _listeners:
+        say(text)
+
+
+def observed(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, dict[str, int]]:
+    """``table`` with aggregates of its rows, seen while they are written: no second scan."""
+    seen = Observation()
+    t = table(df.observe(seen, *[m.alias(k) for k, m in metrics.items()]), name)
+    got = {k: seen.get[k] or 0 for k in metrics}
+    tell(f"{name}: " + ", ".join(f"{v} {k.replace('_', ' ')}" for k, v in got.items()))
+    return t, got
+
+
 def table(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here and lost executors can reread it."""
     spark = df.sparkSession
