@@ -762,6 +762,22 @@ def test_the_forest_stops_at_different_depths():
     assert label.tolist()[:3] == [0, 0, 2]  # sizes that rule a link out
 
 
+def test_the_forest_compares_less_than_its_shortest_prefix():
+    """Random nodes: the same classes as one flat comparison at the shortest prefix, from fewer comparisons, as longer ones have settled the rest."""
+    r = np.random.default_rng(6)
+    forest, flat = [], []
+    for _ in range(200):
+        m = int(r.integers(2, 40))
+        group = r.integers(0, max(1, m // 6), m)
+        sketch = r.integers(0, 2**63, (m, 2)).astype(np.uint64)[group] ^ (np.uint64(1) << r.integers(0, 63, (m, 2)).astype(np.uint64))
+        below = np.where(r.random((m, 2)) < 0.7, group[:, None], r.integers(100, 140, (m, 2)))
+        size, stop, side = r.integers(30, 36, m), np.full(m, 4), np.zeros(m, np.int8)
+        a, _ = jaccard.climb(below, size, sketch, side, stop, 4, (4, 5), forest)
+        b, _ = jaccard.climb(below[:, :0], size, sketch, side, stop, 4, (4, 5), flat)
+        assert a.tolist() == b.tolist()
+    assert sum(forest) < sum(flat)
+
+
 def test_threshold_in_integers():
     r = random.Random(4)
     for _ in range(50):

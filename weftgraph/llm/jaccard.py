@@ -157,11 +157,12 @@ def _spread(label: np.ndarray, link: np.ndarray) -> np.ndarray:
         label = new
 
 
-def climb(below: np.ndarray, size: np.ndarray, sketch: np.ndarray, side: np.ndarray, stop: np.ndarray, low: int, threshold: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+def climb(below: np.ndarray, size: np.ndarray, sketch: np.ndarray, side: np.ndarray, stop: np.ndarray, low: int, threshold: tuple[int, int], compared: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(label, depth of last comparison) of the sets of one node of depth ``low``, matched at full length first.
 
     ``below``: the values under the node, columns by depth; ``stop``: depth at which each set stops;
     ``side``: as in ``verify``.  Equal labels are candidates of each other, directly or by others.
+    ``compared`` takes the number of comparisons of each node and depth.
     """
     m, extra = below.shape
     p, q = threshold
@@ -183,12 +184,22 @@ def climb(below: np.ndarray, size: np.ndarray, sketch: np.ndarray, side: np.ndar
             if len(g) < 2 or (kids >= 0).all() and (kids == kids[0]).all() and d < low + extra:
                 continue  # nothing new under this prefix
             i = at[g]
+            # sets that a longer prefix has brought together are not compared again: all but the largest class of the node meet the node
+            classes_, members = np.unique(label[i], return_inverse=True)
+            if len(classes_) == 1:
+                continue
             depth[i] = d
-            x = sum(np.bitwise_count(w[:, None] ^ w[None, :]) for w in sketch[i].T)
-            a, b = size[i][:, None].astype(np.int64), size[i][None, :].astype(np.int64)
-            near = (x <= most) & (q * np.minimum(a, b) >= p * np.maximum(a, b))
+            rest = np.flatnonzero(members != np.bincount(members).argmax())
+            if compared is not None:
+                compared.append(len(rest) * len(i))
+            x = sum(np.bitwise_count(w[rest, None] ^ w[None, :]) for w in sketch[i].T)
+            a, b = size[i][rest, None].astype(np.int64), size[i][None, :].astype(np.int64)
+            half = (x <= most) & (q * np.minimum(a, b) >= p * np.maximum(a, b))
             if side.any():
-                near &= side[i][:, None] != side[i][None, :]
+                half &= side[i][rest, None] != side[i][None, :]
+            near = np.zeros((len(i), len(i)), bool)
+            near[rest] = half
+            near[:, rest] |= half.T
             names, own = np.unique(label[i], return_inverse=True)  # labels of the node, smallest first
             got = _spread(np.arange(len(names)), _merged(near, own, len(names)))
             moved = names[got]
