@@ -464,6 +464,18 @@ def test_token_output(docs, none):
     assert tokens.token_output(none).count() == 0
 
 
+def test_one_document_by_its_number(spark, docs, tmp_path):
+    path = f"file://{tmp_path}/ids"
+    tokens.write_ids(docs, path, tokens.public_tokenizer(), segment_ids=700)
+    enc = tokens.Encoder(tokens.public_tokenizer())
+    rows = tokens.read_ids(spark, path).orderBy("start").collect()
+    for number in (0, 1, len(rows) // 2, len(rows) - 1):
+        one = tokens.read_document(spark, path, number).collect()
+        assert [(r.doc_id, r.start, len(r.ids)) for r in one] == [tuple(rows[number])[:3]]
+        assert any([*enc.tok.encode(t, add_special_tokens=False).ids, 0] == one[0].ids for i, t in TEXTS if i == one[0].doc_id)
+    assert tokens.read_document(spark, path, len(rows)).count() == 0
+
+
 def test_encoder_pieces_equal_whole_texts():
     enc = tokens.Encoder(tokens.public_tokenizer(), cache=40)
     r = random.Random(3)

@@ -14,7 +14,8 @@ forward-backward) of seeded template sentences; ``train`` is deterministic.
 
 Nulls and empty texts: no spans, zero counts.  Model spans that overlap a base
 span are dropped: base spans stay as they are.  Texts of any length are handled
-whole, in linear time.  Repeated rows give equal results; other columns pass by.
+whole, in linear time.  Ties: of equal scores the Viterbi pass keeps the segment it met first.  Repeated rows give equal results; other columns pass by,
+whatever their names.  Empty table: no rows.
 """
 
 from __future__ import annotations

@@ -10,7 +10,7 @@ the maximal repeats of at least ``WINDOW`` words.
 
 Nulls and empty texts: no words, kept text empty.  Repeated rows remove each
 other's words if long enough.  Texts of any length are handled whole.  Order and
-ties play no part; other columns are not used.
+ties play no part; other columns are not used, whatever their names.  Empty table: no rows.
 """
 
 from __future__ import annotations

@@ -13,8 +13,9 @@ prefix covers it.  Order, prefixes and symbols of a round are sequential arrays;
 groups stream through a task from sorted shuffle files.
 
 Nulls and empty texts: no bytes, nothing removed.  Repeated rows remove each
-other's bytes if long enough.  Texts of any length are handled whole.  Other
-columns are not used.
+other's bytes if long enough.  Equal suffixes keep the order they came in, which
+changes no common prefix, so ties play no part.  Texts of any length are handled whole.  Empty table: no rows.  Other
+columns are not used, whatever their names.
 """
 
 from __future__ import annotations

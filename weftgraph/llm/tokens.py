@@ -287,6 +287,34 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     return seg.join(offsets, ["part", "seg"]).select("at", "data").mapInArrow(decode, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
+def read_document(spark: SparkSession, path: str, number: int) -> DataFrame:
+    """(doc_id, start, ids) of document ``number`` of a written folder, from 0 in the order of writing; no row if there are not so many.
+
+    Counts of documents lead to its segment, ``select`` to its two ends there: nothing but that one segment's blob is read, no other end decoded.
+    """
+    seg = spark.read.schema(_SEGMENT_TYPE).parquet(f"{path}/segments")
+    ends = bounded(spark.read.schema("part int, start bigint").parquet(f"{path}/parts"), 1_000_000)
+    parts = seg.groupBy("part").agg(F.sum("n_docs").alias("n"))  # one row per partition of the write
+    parts = parts.select("part", "n", F.sum("n").over(W.orderBy("part")).alias("to"))
+    where = parts.where(F.col("to") > number).orderBy("part").first()
+    left = number - (where.to - where.n) if where else 0
+    own = W.partitionBy("part").orderBy("seg")
+    found = seg.where(F.col("part") == (where.part if where else -1)).select("part", "seg", "n_docs", "n_ids")
+    found = found.select("*", F.sum("n_docs").over(own).alias("to"), (F.sum("n_ids").over(own) - F.col("n_ids")).alias("_b"))
+    found = found.where((F.col("to") > left) & (F.col("to") - F.col("n_docs") <= left)).join(ends, "part")
+    found = F.broadcast(found.select("part", "seg", (F.lit(left) - F.col("to") + F.col("n_docs")).alias("i"), (F.col("start") + F.col("_b")).alias("at")))  # one row
+
+    def pick(batches):
+        for b in batches:
+            for i, at, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                doc, ef, ids = unpack(data.as_py())
+                lo = ef.select(i - 1) if i else 0
+                row = [[doc[i]], [at + lo], [ids[lo : ef.select(i)].astype(np.int64)]]
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, (pa.int64(), pa.int64(), pa.list_(pa.int64())), strict=True)], names=["doc_id", "start", "ids"])
+
+    return seg.join(found, ["part", "seg"]).select("i", "at", "data").mapInArrow(pick, "doc_id bigint, start bigint, ids array<bigint>")
+
+
 def public_tokenizer(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
