@@ -85,9 +85,14 @@ def drop(*tables: DataFrame) -> None:
 def _tidy(spark: SparkSession) -> None:
     # plans that only fed this table are garbage now: let the driver's cleaner drop their shuffle files
     if time.monotonic() - _freed[0] > 5:
-        gc.collect()
-        spark._jvm.System.gc()
-        _freed[0] = time.monotonic()
+        settle(spark)
+
+
+def settle(spark: SparkSession) -> None:
+    """Lets the driver's cleaner drop the shuffle files of plans that are done, before a stage that shuffles much."""
+    gc.collect()
+    spark._jvm.System.gc()
+    _freed[0] = time.monotonic()
 
 
 def bounded(df: DataFrame, rows: int) -> DataFrame:
