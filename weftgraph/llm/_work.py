@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.operators.rank import numbered
-from weftgraph.plans.work import bounded, documents, drop, split_join, table, work_dir
+from weftgraph.plans.work import bounded, documents, drop, settle, split_join, table, work_dir
 
-__all__ = ["bounded", "documents", "drop", "numbered", "packed", "split_join", "table", "work_dir"]
+__all__ = ["bounded", "documents", "drop", "numbered", "packed", "settle", "split_join", "table", "work_dir"]
 
 
 def packed(docs: DataFrame, **keys: Column) -> DataFrame:

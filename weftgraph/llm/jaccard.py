@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.llm import _text as tx
-from weftgraph.llm._work import bounded, documents, drop, packed, split_join, table
+from weftgraph.llm._work import documents, drop, packed, settle, split_join, table
 from weftgraph.operators.components import connected_components
 
 N = 5
@@ -361,6 +361,7 @@ def classes(docs: DataFrame, n: int = N, threshold: tuple[int, int] = THRESHOLD,
     nodes = table(sig.where("size > 0").groupBy("k1", "k2").agg(F.count("*").alias("m"), *one).withColumn("node", F.monotonically_increasing_id()), "nodes")
     pairs = candidates(nodes, trees, levels, threshold, recall, block).distinct()
     groups = table(connected_components(pairs), "groups")
+    settle(docs.sparkSession)  # the tries' shuffles go before the sets' come
     sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("b"))
     tasks = _block_pairs(F.col("component").cast("string"), F.col("node"), F.col("b"))
     want = groups.join(sizes, "component").select("node", tasks.alias("tasks")).join(nodes.select("node", "id", "h", "m"), "node")
