@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +10,7 @@ from weftgraph.operators.graph import map_faults
 from weftgraph.operators.rank import numbered
 from weftgraph.operators.sequences import build_sequences, repeated_names
 from weftgraph.plans.events import event_alignments, event_graph, event_sequences, event_tables
-from weftgraph.plans.work import work_dir
+from weftgraph.plans.work import scratch
 from weftgraph.sources.alignments import paf_line, read_paf, read_paf_list, read_sxs, sxs_lines
 from weftgraph.sources.graphs import write_gfa, write_scaffolds
 from weftgraph.sources.lines import read_lines
@@ -23,7 +21,7 @@ STOP = 100
 
 
 def _path(spark: SparkSession) -> str:
-    return f"{work_dir(spark)}/weft-files-{uuid.uuid4().hex}"
+    return scratch(spark, "files")
 
 
 def _odd_names(sequences: DataFrame) -> DataFrame:

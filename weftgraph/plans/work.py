@@ -65,16 +65,22 @@ def observed(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, di
 def table(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here and lost executors can reread it."""
     spark = df.sparkSession
-    path = f"{work_dir(spark)}/weft-{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     schema = df.schema
     df.write.parquet(path)
-    atexit.register(partial(_delete, spark, path))
     _tidy(spark)
     out = spark.read.schema(schema).parquet(path)
     out._weft_path = path
     return out
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there goes when the driver ends."""
+    path = f"{work_dir(spark)}/weft-{name}-{uuid.uuid4().hex}"
+    atexit.register(partial(_delete, spark, path))
+    return path
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete written tables that no later plan reads: call it only once their successors are written."""
     for t in tables:
