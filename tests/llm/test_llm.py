@@ -10,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from weftgraph.llm import decontamination, jaccard, language_model, licenses, mixing, pii, quality, substrings, suffixes, tokens
@@ -434,6 +435,57 @@ def test_the_head_changes_no_score(docs):
         assert got[1][k] == pytest.approx(v) and got[2][k] == pytest.approx(v)
 
 
+def test_gathered_ranges_of_parts_change_no_score(docs):
+    want, got = ({(r.doc_id, r.n_tokens, round(r.base_score, 6)): r for r in language_model.score(docs, 40, **kw).collect()} for kw in ({}, {"part_tokens": 60, "fan": 3}))
+    assert want.keys() == got.keys()
+    for k, w in want.items():
+        assert got[k][:5] == w[:5]
+        assert got[k].score == pytest.approx(w.score)
+
+
+def test_blobs_of_many_chunks_are_gathered_by_part(monkeypatch):
+    lm, r = language_model, np.random.default_rng(5)
+    slots, parts, width, want, rows = 50, 12, 4, Counter(), []
+    for chunk in range(9):
+        base = chunk << 40
+        doc = np.repeat(np.arange(20), 30)
+        pair = r.integers(0, 40, len(doc)) * slots + r.integers(0, 40, len(doc))
+        want.update(zip((pair // slots).tolist(), (pair % slots).tolist(), (doc + base).tolist(), strict=True))
+        got = lm._grouped(pair, doc, np.zeros(20, np.int64))
+        part = lm._part_of(lm.PAIR, [got[0] // slots, got[0] % slots], slots, parts) // width
+        rows += [(p, lm.PAIR, base, lm._store(lm.PAIR, [key // slots, key % slots], *rest, 0)) for p, key, *rest in lm._split(part, *got)]
+        rows.append((0, lm.DOC, base, b"d"))
+    rows.sort(key=lambda x: x[:3])
+    monkeypatch.setattr(lm, "GATHER", 3000)
+
+    class Head:
+        value = type("", (), {"slots": slots})
+
+    out = [tuple(x) for b in lm._gather(Head, parts)([lm._rows(rows)]) for x in zip(*[c.to_pylist() for c in b.columns], strict=True)]
+    assert len({x[0] for x in out if x[1] == lm.PAIR}) == parts and sum(x[1] == lm.DOC for x in out) == 9
+    have = Counter()
+    for part, kind, base, data in out:
+        if kind == lm.PAIR:
+            names, train, _, docs, doc, cnt = lm._open(kind, data, base)
+            assert (lm._part_of(kind, names, slots, parts) == part).all()
+            assert len({*zip(names[0].tolist(), names[1].tolist(), strict=True)}) == len(train) and train.sum() == cnt.sum()
+            for v, w, d, n in zip(np.repeat(names[0], docs).tolist(), np.repeat(names[1], docs).tolist(), doc.tolist(), cnt.tolist(), strict=True):
+                have[v, w, d] += n
+    assert have == want
+
+
+def test_texts_that_change_between_readings_raise(docs):
+    def other(batches):
+        for b in batches:
+            rows = [f"{t or ''} {random.SystemRandom().random()}" for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows)], names=["doc_id", "text"])
+
+    changing = docs.select("doc_id", "text").mapInArrow(other, "doc_id long, text string")
+    with pytest.raises(Exception, match="another order"):
+        language_model.score(changing).collect()
+    assert language_model.score(changing, stable=False).count() == len(TEXTS)
+
+
 def test_expectation_maximisation_prefers_the_good_ratio():
     cells = np.array([[3, 4, 40, 100.0], [5, -1, 8, 100.0]])
     w = language_model.expectation_maximisation(cells, 1000)

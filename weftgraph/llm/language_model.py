@@ -18,8 +18,11 @@ Scale: a chunk of texts turns into sorted count blobs, one for each hash part of
 distinct word pairs, with the documents each occurs in; one shuffle by part brings
 all counts of a pair together, and the task that knows its count adds its
 log-probability to the documents of every chunk.  A pair in a third of all
-documents costs two bytes a document.  The number of parts follows from the number of tokens
-(``PART_TOKENS`` a task).  The ``HEAD`` most frequent words at most (all
+documents costs two bytes a document.  A part holds ``PART_TOKENS`` / 2 tokens, so parts grow in number with the
+corpus, but neither tasks nor small blobs do: a chunk writes at most ``FAN`` parts of each kind.  Beyond
+that these are ranges of parts, and a second shuffle gathers the blobs of many chunks (``GATHER`` bytes at a time),
+merges equal pairs and writes them by part.  ``TASKS`` bounds the reduce tasks; each goes
+through its parts in Spark's sorted, spilling order.  The sums that parts send back go by groups of documents.  The ``HEAD`` most frequent words at most (all
 words down to one count) are a broadcast table that spares space and changes no score:
 their pairs carry short numbers.  Every other word goes by its 64-bit hash: a pair
 with one such word meets the word's counts in its part, a pair of two is joined with
@@ -28,7 +31,8 @@ Only the head, the counts of counts and the histogram reach the driver.
 
 The texts are read three times (words, counts for the weights, scores) instead of keeping the
 blobs; so ``docs`` must give the same rows in the same order each time, as a scan of files does.
-``stable=False`` writes them first.  Nothing is cached: a lost executor's share is read again.
+``stable=False`` writes them first.  The second and third reading each send a digest of every chunk to its documents'
+group, and a difference raises an error.  Nothing is cached: a lost executor's share is read again.
 
 Nulls and empty texts: one token, the end.  Empty table: no rows.  Repeated rows
 count and are scored each.  Ties: equal counts share a bucket, sums are taken in a fixed order.  Texts of any
@@ -37,8 +41,10 @@ length are scored whole.  Other columns pass by, whatever their names.
 
 from __future__ import annotations
 
+import hashlib
 import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +56,11 @@ from weftgraph.llm._work import documents, drop, table
 
 HEAD = 1 << 18
 PART_TOKENS = 1 << 20
+FAN = 4096
+GATHER = 4 << 20  # packed bytes, some four times as many unpacked
+TASKS = 8192
+BLOCK = 12  # documents of a partition share a group by blocks of 4,096 rows
+GROUP_DOCS = 17  # about 131,072 documents a group
 FOLDS, HELD, DELETED = 7, 2, 3
 CHUNK = 4 << 20
 STEP = 4.0  # histogram cells per factor of two
@@ -179,19 +190,103 @@ def _split(part: np.ndarray, key, train, deleted, docs, doc, cnt):
         yield p, key[x], train[x], deleted[x], docs[x], doc[y], cnt[y]
 
 
-#: Kinds of blobs: pairs of head words, words outside the head, documents, pairs with such a word second, first and twice, counts for the last.
-PAIR, WORD, DOC, SECOND, FIRST, BOTH, COUNTS = range(7)
+#: Kinds of blobs: pairs of head words, words outside the head, documents, pairs with such a word second, first and twice, counts for the last, digests of chunks.
+PAIR, WORD, DOC, SECOND, FIRST, BOTH, COUNTS, DIGEST = range(8)
 
 
-def _blobs(head, parts: int, learn: bool):
-    """Rows (part, kind, chunk, data): pairs and words outside the head by part, and the documents.
+def _store(kind: int, names: list, train, deleted, docs, doc, cnt, base: int) -> bytes:
+    """A blob: one word or two of each key, its counts, and how often it is in which documents (numbers from ``base`` on)."""
+    v, *rest = names
+    return _pack(np.diff(v, prepend=0) if kind == PAIR else v, *rest, train, deleted, docs if len(doc) else doc, doc - base, cnt)
+
+
+def _open(kind: int, data: bytes, base: int) -> tuple:
+    """What ``_store`` was given."""
+    a = _unpack(data)
+    if kind == PAIR:
+        a[0] = np.cumsum(a[0])
+    n = 1 if kind == WORD else 2
+    train, deleted, docs, doc, cnt = (x.astype(np.int64) for x in a[n:])
+    return a[:n], train, deleted, docs if len(docs) else np.zeros(len(train), np.int64), doc + base, cnt
+
+
+def _opened(blobs: list, kind: int) -> tuple | None:
+    """All blobs of a kind behind each other."""
+    got = [_open(kind, x[3], x[2]) for x in blobs if x[1] == kind]
+    if not got:
+        return None
+    names, *rest = zip(*got, strict=True)
+    return [np.concatenate(x) for x in zip(*names, strict=True)], *[np.concatenate(x) for x in rest]
+
+
+def _part_of(kind: int, names: list, slots: int, parts: int) -> np.ndarray:
+    """The part of each key: by its hashed word, the first of two, or by the pair of numbers."""
+    x = names[0].astype(np.uint64) * np.uint64(slots) + names[1].astype(np.uint64) if kind == PAIR else names[1 if kind == SECOND else 0]
+    return (tx.mix(x.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+
+
+def _group_of(doc: np.ndarray, groups: int) -> np.ndarray:
+    return (tx.mix((doc >> BLOCK).astype(np.uint64)) % np.uint64(groups)).astype(np.int64)
+
+
+def _rows(out: list) -> pa.RecordBatch:
+    part, kind, chunk, data = zip(*out, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(kind, pa.int32()), pa.array(chunk, pa.int64()), pa.array(data, pa.binary())], names=["part", "kind", "chunk", "data"])
+
+
+def _gathered(rows: list, kind: int, slots: int, parts: int):
+    """The blobs of many chunks as one blob a part, equal keys merged."""
+    names, train, deleted, docs, doc, cnt = _opened(rows, kind)
+    fine = _part_of(kind, names, slots, parts)
+    o = np.lexsort((*names[::-1], fine))
+    rank = np.empty(len(o), np.int64)
+    rank[o] = np.arange(len(o))
+    q = np.argsort(rank[np.repeat(np.arange(len(o)), docs)], kind="stable")
+    doc, cnt, fine, names = doc[q], cnt[q], fine[o], [x[o] for x in names]
+    new = np.ones(len(o), bool)
+    new[1:] = np.any([x[1:] != x[:-1] for x in names], axis=0)
+    first = np.flatnonzero(new)
+    train, deleted, docs = (np.add.reduceat(x[o], first) for x in (train, deleted, docs))
+    for p, at, *counts, d, n in _split(fine[first], first, train, deleted, docs, doc, cnt):
+        base = int(d.min(initial=1 << 62)) if len(d) else 0
+        yield p, kind, base, _store(kind, [x[at] for x in names], *counts, d, n, base)
+
+
+def _gather(head, parts: int):
+    """Blobs by ranges of parts, sorted, become blobs by part; a bounded number of bytes is held."""
+
+    def flush(held: list, slots: int):
+        out = [x for x in held if x[1] in (DOC, DIGEST)]
+        for kind in sorted({x[1] for x in held} - {DOC, DIGEST}):
+            out += _gathered(held, kind, slots, parts)
+        return _rows(out)
+
+    def run(batches):
+        slots, held, size = head.value.slots, [], 0
+        for b in batches:
+            for row in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if held and (held[0][0] != row[0] or size >= GATHER):
+                    yield flush(held, slots)
+                    held, size = [], 0
+                held.append(row)
+                size += len(row[3])
+        if held:
+            yield flush(held, slots)
+        tx.release()
+
+    return run
+
+
+def _blobs(head, parts: int, learn: bool, width: int = 1):
+    """Rows (part, kind, chunk, data): pairs and words outside the head by range of ``width`` parts, the documents, and digests of what was read.
+    ``chunk`` is the number of the first document.
 
     To ``learn`` only counts in training documents go out, but for pairs of two words outside
     the head, which carry all; to score all other kinds carry all.
     """
 
     def of(x: np.ndarray) -> np.ndarray:
-        return (tx.mix(x) % np.uint64(parts)).astype(np.int64)
+        return (tx.mix(x) % np.uint64(parts)).astype(np.int64) // width
 
     def thin(kind: int, arrays: list) -> list:
         """Without documents, and without pairs and words that don't train."""
@@ -205,7 +300,7 @@ def _blobs(head, parts: int, learn: bool):
     def run(batches):
         from pyspark import TaskContext
 
-        chunk = TaskContext.get().partitionId() << 24
+        at_doc = TaskContext.get().partitionId() << 40
         m = head.value
         log_c = np.log10(m.c + 1.0)
         for b in batches:
@@ -235,27 +330,35 @@ def _blobs(head, parts: int, learn: bool):
                         continue
                     v, w = key // size, key % size
                     v, w = u[v] if k in (FIRST, BOTH) else short[v], u[w] if k in (SECOND, BOTH) else short[w]
-                    v, *rest = thin(k, [v, w, *rest])
+                    v, w, *rest = thin(k, [v, w, *rest])
                     if len(v):
-                        out.append((p, k, _pack(np.diff(v, prepend=0) if k == PAIR else v, *rest)))
+                        out.append((p, k, at_doc, _store(k, [v, w], *rest, 0)))
                 out_words = tail[local]
                 got = _grouped(h[out_words], row[out_words], f)
                 for p, key, *rest in _split(of(got[0]), *got):
                     key, *rest = thin(WORD, [key, *rest])
                     if len(key):
-                        out.append((p, WORD, _pack(key, *rest)))
+                        out.append((p, WORD, at_doc, _store(WORD, [key], *rest, 0)))
+                names = ids.slice(lo, rows)
+                null = np.asarray(names.is_null().to_numpy(zero_copy_only=False), np.float64)
+                name = names.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8")
+                seen = hashlib.blake2b(struct.pack("<q", at_doc), digest_size=16)
+                for x in (name, null, offs, buf):
+                    seen.update(np.ascontiguousarray(x))
+                out.append((at_doc % parts // width, DIGEST, at_doc, seen.digest()))
                 if not learn:
                     known = m.c[short[token]] > 0
                     base = np.where(tail[token], 0.0, log_c[short[token]]) - np.log10(m.total + m.distinct + 1.0)
                     info = np.stack((words + 1.0, np.bincount(doc, weights=known, minlength=rows), np.bincount(doc, weights=base, minlength=rows)))
-                    names = ids.slice(lo, rows)
-                    null = np.asarray(names.is_null().to_numpy(zero_copy_only=False), np.float64)
-                    name = names.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8")
-                    out.append((chunk % (1 << 24) + (chunk >> 24), DOC, name.tobytes() + np.concatenate((info, [null, f.astype(np.float64)])).astype("<f8").tobytes()))
-                if out:
-                    tx.release()
-                    yield pa.RecordBatch.from_arrays([pa.array([x[0] % parts for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int32()), pa.array([chunk] * len(out), pa.int64()), pa.array([x[2] for x in out], pa.binary())], names=["part", "kind", "chunk", "data"])
-                chunk += 1
+                    info = np.concatenate((info, [null, f.astype(np.float64)]))
+                    number = np.arange(at_doc, at_doc + rows)
+                    for i in range(at_doc >> BLOCK, (at_doc + rows - 1 >> BLOCK) + 1):
+                        x, y = np.searchsorted(number, (i << BLOCK, i + 1 << BLOCK))
+                        data = number[x:y].astype("<i8").tobytes() + name[x:y].tobytes() + info[:, x:y].astype("<f8").tobytes()
+                        out.append((int(number[x]) % parts // width, DOC, int(number[x]), data))
+                tx.release()
+                yield _rows(out)
+                at_doc += rows
 
     return run
 
@@ -274,41 +377,27 @@ def _by(batches, key: int):
 
 
 def _merged(blobs: list, kind: int, slots: int):
-    """Per chunk (chunk, places of keys, documents, counts), and all keys (first word, second word, training and deleted counts)."""
-    firsts, seconds, train, deleted, parts = [], [], [], [], []
-    for _, k, chunk, data in blobs:
-        if k != kind:
-            continue
-        a = _unpack(data)
-        firsts.append(np.cumsum(a[0]) if kind == PAIR else a[0])
-        if kind != WORD:
-            a = a[1:]
-            seconds.append(a[0])
-        train.append(a[1])
-        deleted.append(a[2])
-        parts.append((chunk, len(a[1]), a[3].astype(np.int64), a[4].astype(np.int64), a[5].astype(np.float64)))
-    if not firsts:
+    """(places of keys, documents, counts), and all keys (first word, second word, training and deleted counts)."""
+    got = _opened(blobs, kind)
+    if got is None:
         z, h = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        return [], h, h, z, z
-    key, bound = np.concatenate(firsts), np.uint64(slots)
+        return (z, z, z), h, h, z, z
+    names, train, deleted, docs, doc, cnt = got
+    key, bound = names[0], np.uint64(slots)
     if kind == PAIR:
-        key = key * bound + np.concatenate(seconds)
+        key = key * bound + names[1]
     elif kind != WORD:  # two words of which one or both are hashes: number them first
         of_v, v = np.unique(key, return_inverse=True)
-        of_w, w = np.unique(np.concatenate(seconds), return_inverse=True)
+        of_w, w = np.unique(names[1], return_inverse=True)
         key, bound = v.astype(np.uint64) * np.uint64(len(of_w)) + w.astype(np.uint64), np.uint64(len(of_w))
     u, at = np.unique(key, return_inverse=True)
-    c = np.bincount(at, weights=np.concatenate(train), minlength=len(u)).astype(np.int64)
-    d = np.bincount(at, weights=np.concatenate(deleted), minlength=len(u)).astype(np.int64)
-    chunks, lo = [], 0
-    for chunk, keys, docs, doc, cnt in parts:
-        if len(docs):
-            chunks.append((chunk, np.repeat(at[lo : lo + keys], docs), doc, cnt))
-        lo += keys
+    c = np.bincount(at, weights=train, minlength=len(u)).astype(np.int64)
+    d = np.bincount(at, weights=deleted, minlength=len(u)).astype(np.int64)
+    where = np.repeat(at, docs), doc, cnt
     if kind == WORD:
-        return chunks, u, u, c, d
+        return where, u, u, c, d
     v, w = u // bound, u % bound
-    return (chunks, v, w, c, d) if kind == PAIR else (chunks, of_v[v.astype(np.int64)], of_w[w.astype(np.int64)], c, d)
+    return (where, v, w, c, d) if kind == PAIR else (where, of_v[v.astype(np.int64)], of_w[w.astype(np.int64)], c, d)
 
 
 def _counts(words: np.ndarray, c: np.ndarray, d: np.ndarray):
@@ -324,7 +413,7 @@ def _counts(words: np.ndarray, c: np.ndarray, d: np.ndarray):
 
 
 def _pairs(blobs: list, m: Head):
-    """Of each kind of pairs: chunks, pair counts, counts of the first and of the second word (training and deleted)."""
+    """Of each kind of pairs: where they are, pair counts, counts of the first and of the second word (training and deleted)."""
 
     def short(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return m.c[x.astype(np.int64)], m.d[x.astype(np.int64)]
@@ -341,8 +430,8 @@ def _pairs(blobs: list, m: Head):
         hashed = _counts(words[o], c[o].astype(np.int64), d[o].astype(np.int64))
     for kind, first, second in ((PAIR, short, short), (SECOND, short, hashed), (FIRST, hashed, short), (BOTH, hashed, hashed)):
         if kind in kinds:
-            chunks, v, w, c, d = _merged(blobs, kind, m.slots)
-            yield chunks, (c, d), first(v), second(w)
+            where, v, w, c, d = _merged(blobs, kind, m.slots)
+            yield where, (c, d), first(v), second(w)
 
 
 def _words_of(batches):
@@ -373,7 +462,7 @@ def bucket(count: np.ndarray) -> np.ndarray:
 def _histogram(head, pairs_of_both: bool):
     """Deleted tokens by context bucket and the two maximum-likelihood ratios of the other counts.
 
-    Pairs of two words outside the head are passed on, or (``pairs_of_both``) are all there is, with their counts.
+    Pairs of two words outside the head and digests are passed on, or (``pairs_of_both``) are all there is, with their counts.
     """
 
     def run(batches):
@@ -382,8 +471,8 @@ def _histogram(head, pairs_of_both: bool):
         nothing = [pa.nulls(0, k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.float64())]
         for blobs in _by(batches, 0):
             if not pairs_of_both:
-                both = [x for x in blobs if x[1] == BOTH]
-                blobs = [x for x in blobs if x[1] != BOTH]
+                both = [x for x in blobs if x[1] in (BOTH, DIGEST)]
+                blobs = [x for x in blobs if x[1] not in (BOTH, DIGEST)]
                 if both:
                     kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary())
                     rows = [pa.array([x[i] for x in both], k) for i, k in enumerate(kinds)]
@@ -425,17 +514,8 @@ def expectation_maximisation(cells: np.ndarray, classes: int, rounds: int = 40)
     return out
 
 
-def _sums(parts: list) -> bytes:
-    """What a part adds to the documents of a chunk: their numbers, then three rows of sums."""
-    names = np.unique(np.concatenate([x[1] for x in parts]))
-    total = np.zeros((3, len(names)))
-    for row, doc, x in parts:
-        total[row, np.searchsorted(names, doc)] += x
-    return zlib.compress(names.astype("<i8").tobytes() + total.tobytes(), 1)
-
-
-def _partial_scores(head, weights: np.ndarray):
-    """Rows (chunk, part, kind, data): what the pairs and words of one part add to the chunk's documents; documents pass."""
+def _partial_scores(head, weights: np.ndarray, groups: int, kind: int):
+    """Rows (grp, part, kind, data): what the pairs and words of one part add to a group's documents; documents and digests pass."""
 
     def run(batches):
         m = head.value
@@ -443,50 +523,53 @@ def _partial_scores(head, weights: np.ndarray):
         unseen = weights[0] + np.array([0, weights[0, 2], 0])  # a context never seen: its bigram weight goes to the unigrams
         for blobs in _by(batches, 0):
             part = blobs[0][0]
-            out = [(x[2], DOC, x[3]) for x in blobs if x[1] == DOC]
-            sums: dict[int, list] = {}
-
-            def add(chunk: int, row: int, doc: np.ndarray, x: np.ndarray, sums=sums) -> None:
-                names, at = np.unique(doc, return_inverse=True)
-                sums.setdefault(chunk, []).append((row, names, np.bincount(at, weights=x)))
-
-            for chunks, (c, _), (cv, _), (cw, _) in _pairs(blobs, m):
+            passing = [x for x in blobs if x[1] in (DOC, DIGEST)]
+            out = list(zip(_group_of(np.array([x[2] for x in passing], np.int64), groups).tolist(), [x[1] for x in passing], [x[3] for x in passing], strict=True))
+            adds = []
+            for (at, doc, cnt), (c, _), (cv, _), (cw, _) in _pairs(blobs, m):
                 l = np.where(cv[:, None] > 0, weights[bucket(cv)], unseen)  # noqa: E741
                 log_p = np.log10(l[:, 2] * _ratio(c, cv) + l[:, 1] * _ratio(cw, total) + l[:, 0] / m.classes)
-                for chunk, k, doc, cnt in chunks:
-                    add(chunk, 0, doc, cnt * log_p[k])
-            chunks, _, _, c, _ = _merged(blobs, WORD, m.slots)
-            log_c = np.log10(c + 1.0)
-            for chunk, k, doc, cnt in chunks:
-                add(chunk, 1, doc, cnt * (c[k] > 0))
-                add(chunk, 2, doc, cnt * log_c[k])
-            out += [(chunk, PAIR, _sums(x)) for chunk, x in sums.items()]
+                adds.append((0, doc, cnt * log_p[at]))
+            (at, doc, cnt), _, _, c, _ = _merged(blobs, WORD, m.slots)
+            adds += [(1, doc, cnt * (c[at] > 0)), (2, doc, cnt * np.log10(c + 1.0)[at])]
+            number = np.unique(np.concatenate([x[1] for x in adds]))
+            sums = np.zeros((3, len(number)))
+            for row, doc, x in adds:
+                sums[row] += np.bincount(np.searchsorted(number, doc), weights=x, minlength=len(number))
+            group = _group_of(number, groups)
+            o = np.argsort(group, kind="stable")
+            names, first = np.unique(group[o], return_index=True)
+            for g, x in zip(names.tolist(), np.split(o, first[1:]), strict=False):  # a part of nothing still splits into one
+                out.append((g, kind, zlib.compress(number[x].astype("<i8").tobytes() + sums[:, x].tobytes(), 1)))
             if out:
                 n = len(out)
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([part] * n, pa.int32()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary())], names=["chunk", "part", "kind", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([part] * n, pa.int32()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary())], names=["grp", "part", "kind", "data"])
         tx.release()
 
     return run
 
 
 def _totals(head):
-    """Documents with their sums, of rows (chunk, part, kind, data) sorted by the first three."""
+    """Documents with their sums, of rows (grp, part, kind, data) sorted by the first three."""
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def run(batches):
         m = head.value
         for rows in _by(batches, 0):
-            info = next(x[3] for x in rows if x[2] == DOC)
-            n = len(info) // 48
-            doc = np.frombuffer(info, "<i8", n)
-            tokens, known, base, null, fold = np.frombuffer(info, "<f8", 5 * n, 8 * n).reshape(5, n)
-            sums = np.zeros((3, n))
+            seen = Counter(x[3] for x in rows if x[2] == DIGEST)
+            if any(n != 2 for n in seen.values()):
+                raise RuntimeError("the texts came in another order when they were read again: score them with stable=False")
+            infos = [(x[3], len(x[3]) // 56) for x in rows if x[2] == DOC]
+            number, doc = (np.concatenate([np.frombuffer(x, "<i8", n, i * 8 * n) for x, n in infos] or [np.zeros(0, np.int64)]) for i in range(2))
+            tokens, known, base, null, fold = np.concatenate([np.frombuffer(x, "<f8", 5 * n, 16 * n).reshape(5, n) for x, n in infos] or [np.zeros((5, 0))], axis=1)
+            order = np.argsort(number)
+            sums = np.zeros((3, len(number)))
             for _, _, kind, data in rows:
-                if kind != DOC:
+                if kind not in (DOC, DIGEST):
                     raw = zlib.decompress(data)
                     k = len(raw) // 32
-                    sums[:, np.frombuffer(raw, "<i8", k)] += np.frombuffer(raw, "<f8", 3 * k, 8 * k).reshape(3, k)
-            cols = [pa.array(doc, mask=null > 0), pa.array(fold == HELD), pa.array(tokens.astype(np.int64)), pa.array((known + sums[1]).astype(np.int64)), pa.array(np.full(n, m.total, np.int64)), pa.array(base + sums[2]), pa.array(sums[0])]
+                    sums[:, order[np.searchsorted(number, np.frombuffer(raw, "<i8", k), sorter=order)]] += np.frombuffer(raw, "<f8", 3 * k, 8 * k).reshape(3, k)
+            cols = [pa.array(doc, mask=null > 0), pa.array(fold == HELD), pa.array(tokens.astype(np.int64)), pa.array((known + sums[1]).astype(np.int64)), pa.array(np.full(len(doc), m.total, np.int64)), pa.array(base + sums[2]), pa.array(sums[0])]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return run
@@ -495,11 +578,11 @@ def _totals(head):
 _BLOB = "part int, kind int, chunk bigint, data binary"
 _LEARN = f"b bigint, q2 bigint, q1 bigint, n double, {_BLOB}"
 _LEARN_NAMES = ["b", "q2", "q1", "n", "part", "kind", "chunk", "data"]
-_PARTIAL = "chunk bigint, part int, kind int, data binary"
+_PARTIAL = "grp bigint, part int, kind int, data binary"
 _SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
-def score(docs: DataFrame, head_words: int = HEAD, stable: bool = True, part_tokens: int = PART_TOKENS) -> DataFrame:
+def score(docs: DataFrame, head_words: int = HEAD, stable: bool = True, part_tokens: int = PART_TOKENS, fan: int = FAN) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each document."""
     spark = docs.sparkSession
     if not stable:
@@ -507,24 +590,34 @@ def score(docs: DataFrame, head_words: int = HEAD, stable: bool = True, part_tok
     keyed = folds(docs)
     model, others = learn_head(keyed, head_words)
     head = spark.sparkContext.broadcast(model)
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-model.total // part_tokens))
+    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = max(shuffle, -(-model.total // part_tokens))
+    parts, tasks, groups = 2 * n, min(n, TASKS), max(shuffle, int(model.c[model.end]) >> GROUP_DOCS)
+    width = -(-parts // fan)
 
     def by_part(df: DataFrame) -> DataFrame:
-        return df.repartition(n, "part").sortWithinPartitions("part", "chunk", "kind")
+        return df.repartition(tasks, "part").sortWithinPartitions("part", "chunk", "kind")
+
+    def blobs(learn: bool) -> DataFrame:
+        out = keyed.mapInArrow(_blobs(head, parts, learn, width), _BLOB)
+        if width > 1:
+            slices = -(-tasks // fan)  # a range of parts may go to several tasks
+            out = out.repartition(tasks, "part", F.pmod(F.xxhash64("chunk"), F.lit(slices))).sortWithinPartitions("part", "chunk", "kind").mapInArrow(_gather(head, parts), _BLOB)
+        return by_part(out)
 
-    counts = by_part(keyed.mapInArrow(_blobs(head, 2 * n, True), _BLOB))
+    counts = blobs(True)
     learned = table(counts.mapInArrow(_histogram(head, False), _LEARN), "learned")
     both = learned.where("data IS NOT NULL").select("part", "kind", "chunk", "data")
-    need = both.select("part", "data").mapInArrow(_words_of, "part int, w bigint").distinct()
+    need = both.where(F.col("kind") == BOTH).select("part", "data").mapInArrow(_words_of, "part int, w bigint").distinct()
     both = table(both.unionByName(need.join(others, "w").select("part", "w", "c", "d").mapInArrow(_count_blobs, _BLOB)), "rare_pairs")
     cells = learned.where("data IS NULL").unionByName(by_part(both).mapInArrow(_histogram(head, True), _LEARN))
     cells = cells.groupBy("b", "q2", "q1").agg(F.sum("n").alias("n")).orderBy("b", "q2", "q1").toArrow()
     rows = np.stack([cells.column(x).to_numpy().astype(np.float64) for x in ("b", "q2", "q1", "n")], axis=1) if cells.num_rows else np.zeros((0, 4))
     drop(learned)
     weights = expectation_maximisation(rows, model.classes)
-    add = _partial_scores(head, weights)
-    every = by_part(keyed.mapInArrow(_blobs(head, 2 * n, False), _BLOB)).mapInArrow(add, _PARTIAL).unionByName(by_part(both).mapInArrow(add, _PARTIAL))
-    return table(every.repartition("chunk").sortWithinPartitions("chunk", "part", "kind").mapInArrow(_totals(head), _SCORES), "scores")
+    every = blobs(False).mapInArrow(_partial_scores(head, weights, groups, PAIR), _PARTIAL)
+    every = every.unionByName(by_part(both).mapInArrow(_partial_scores(head, weights, groups, BOTH), _PARTIAL))
+    return table(every.repartition(min(groups, TASKS), "grp").sortWithinPartitions("grp", "part", "kind").mapInArrow(_totals(head), _SCORES), "scores")
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
