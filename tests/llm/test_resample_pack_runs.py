@@ -298,3 +298,34 @@ def test_periodic_query(spark, docs, none, tmp_path, monkeypatch):
 def test_pairs_in_small_lots(monkeypatch):
     monkeypatch.setattr(periodic, "PAIRS", 50)
     test_find_runs()
+
+
+class Counted:
+    """A tokenizer that counts the characters its whole chain is given."""
+
+    def __init__(self, tok):
+        self.tok, self.chars = tok, 0
+
+    def __getattr__(self, name):
+        return getattr(self.tok, name)
+
+    def encode(self, text, **options):
+        self.chars += len(text)
+        return self.tok.encode(text, **options)
+
+    def encode_batch_fast(self, given, **options):
+        self.chars += sum(map(len, given))
+        return self.tok.encode_batch_fast(given, **options)
+
+
+def test_latin_words_go_straight_to_the_pairs():
+    enc = tokens.Encoder(tokens.public_tokenizer(), cache=300)
+    letters = [c for c in map(chr, range(0x250)) if c.isalpha()]
+    r = random.Random(8)
+    texts = ["".join(r.choices(letters, k=r.randint(1, 9))) for _ in range(1500)] + letters
+    texts = [r.choice([" ", "\n"]).join(texts[i : i + 7]) for i in range(0, len(texts), 7)]
+    whole = [enc.plain(t) for t in texts]
+    enc.tok = Counted(enc.tok)
+    assert [enc.encode(t) for t in texts] == whole
+    assert enc.tok.chars == 0
+    assert enc.encode("straße 12, x") == enc.plain("straße 12, x") and enc.tok.chars > 0

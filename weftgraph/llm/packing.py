@@ -29,6 +29,7 @@ Other columns are not used, whatever their names.
 from __future__ import annotations
 
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -65,6 +66,12 @@ class Sentences:
         return np.flatnonzero(out) + 1
 
 
+@lru_cache(maxsize=2)
+def sentence_rule(path: str, cache: int) -> Sentences:
+    """One for each Python worker, as its encoder."""
+    return Sentences(encoder(path, cache))
+
+
 def candidates(doc_ends: np.ndarray, sentence_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places where a window may end, with their penalties; the first is 0, the last the end of all."""
     total = int(doc_ends[-1])
@@ -129,7 +136,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, wi
         from pyspark import TaskContext
 
         enc = encoder(path, cache)
-        sentences = Sentences(enc)
+        sentences = sentence_rule(path, cache)
         end = np.array([end_id], enc.kind).tobytes()
         open_: list[tuple] = []  # (doc_id, its tokens, tokens before these, ids)
         size, number = 0, TaskContext.get().partitionId() << 33

@@ -29,7 +29,7 @@ Only one number per part is summed across the output.
 Encoding: each whole text by the ``tokenizers`` library.  A byte-level
 pre-tokenizer never joins characters across a lone space or line end, so texts
 are cut there, and a bounded cache holds the ids of pieces; pieces not in it are
-encoded together.  Texts with runs of white space or special-token strings, and all texts under a
+encoded together, words of Latin letters by the pairs alone, as the pre-tokenizer would not cut them.  Texts with runs of white space or special-token strings, and all texts under a
 tokenizer of another make (``Encoder.byte_level``), are encoded as they are.
 
 Nulls: null text is empty (only the end id); a null id is kept as null.  Repeated
@@ -60,6 +60,13 @@ SEGMENT_IDS = 1 << 20
 CACHE_PIECES = 800_000
 _SEGMENT_TYPE = "part int, seg int, n_docs bigint, n_ids bigint, data binary"
 _RUNS = re.compile(r"\s\s")
+#: How the byte-level form writes the bytes of letters beyond ASCII that are no printable Latin-1.
+_BYTES = {i: chr(162 + i) for i in range(128, 161)} | {173: chr(323)}
+
+
+def _letters(text: str) -> bool:
+    """Letters of the Latin blocks only, which are letters in every version of Unicode."""
+    return text.isalpha() and (text.isascii() or max(text) < "\u0250")
 
 
 class EliasFano:
@@ -159,6 +166,8 @@ class Encoder:
         self.kind = f"<u{self.width}"
         self.starts = np.zeros(size, bool)  # ids whose token begins with a space or a line end
         self.starts[[i for t, i in vocab.items() if t[0] in "ĠĊ"]] = True
+        self.model, self.codes = self.tok.model, [i.to_bytes(self.width, "little") for i in range(size)]
+        self.line = self.plain("\n")
         self.ends = {c: self.plain(c) for c in ".,"}
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.limit = cache
@@ -176,7 +185,17 @@ class Encoder:
         return plain and not made.get("normalizer") and model.get("type") == "BPE" and not model.get("dropout")
 
     def plain(self, text: str) -> bytes:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.kind).tobytes() if text else b""
+        return self._ids(text).tobytes()
+
+    def _ids(self, text: str) -> np.ndarray:
+        # the batch form, as it keeps no offsets
+        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids if text else [], self.kind)
+
+    def _word(self, word: str, space: str = "") -> bytes:
+        """Ids of Latin letters, after a space or nothing: one word to the plain rule, so it goes straight to the pairs."""
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(_BYTES)
+        return b"".join([self.codes[t.id] for t in self.model.tokenize(space + word)])
 
     def _learn(self, missing: list[str]) -> None:
         """Ids of new pieces: taken from the older half of the cache, put together from a known stem, or encoded, all in one text."""
@@ -194,8 +213,14 @@ class Encoder:
             else:
                 need.add(p)
         if need:
-            rest = list(need)
-            ids = np.array(self.tok.encode("".join([p if p[0] == "\n" else " " + p for p in rest]), add_special_tokens=False).ids, self.kind)
+            rest = []
+            for p in need:
+                word = p[1:] if p[0] == "\n" else p
+                if not _letters(word):
+                    rest.append(p)
+                else:
+                    new[p] = self._word(p, "Ġ") if word is p else self.line + self._word(word)
+            ids = self._ids("".join([p if p[0] == "\n" else " " + p for p in rest]))
             cut = np.flatnonzero(self.starts[ids])
             if len(cut) != len(rest):
                 raise ValueError("pieces and ids do not agree")
@@ -210,13 +235,16 @@ class Encoder:
         first, *tail = text.replace("\n", " \n").split(" ")
         if not tail:
             return self.plain(first)
-        missing = list(set(tail).difference(self.new))
-        if missing:
+        found = list(map(self.new.get, tail))  # one look a piece: the cache is far larger than a processor's
+        at = [i for i, ids in enumerate(found) if ids is None]
+        if at:
+            missing = list({tail[i] for i in at})
             if len(self.new) + len(missing) > self.limit:
                 self.old, self.new = self.new, {}
-                missing = list(set(tail))
             self._learn(missing)
-        return self.plain(first) + b"".join(map(self.new.__getitem__, tail))
+            for i in at:
+                found[i] = self.new[tail[i]]
+        return (self._word(first) if _letters(first) else self.plain(first)) + b"".join(found)
 
 
 @lru_cache(maxsize=2)
