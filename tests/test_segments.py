@@ -7,7 +7,9 @@ import numpy as np
 import pytest
 
 from test_components import plain
+from weftgraph.operators import closure, graph
 from weftgraph.operators import segments as sg
+from weftgraph.operators.sequences import bases
 
 
 def runs_of(r, total, n, longest):
@@ -81,3 +83,31 @@ def test_segments_number_graph_positions(spark):
         # no segment leaves its sequence
         ends = defaultdict(int) | {i + 1: offsets[i + 1] for i in range(len(sizes))}
         assert all(x.q + x.len <= ends[x.seq_id] for x in rows.collect())
+
+
+@pytest.mark.parametrize("width,seed", [(7, 1), (16, 2)])
+def test_positions_and_nodes_by_blocks(spark, width, seed):
+    """``placed`` and ``nodes`` against ``base_map``, ``chained`` and plain slices, with borders everywhere and a base beyond ASCII."""
+    r = random.Random(seed)
+    lengths = [r.randint(1, 25) for _ in range(12)]
+    total = sum(lengths)
+    runs = runs_of(r, total, 14, 9)
+    group = plain(pairs(runs))
+    text = [None] * total
+    for q in range(total):  # members of a component have one of two bases, as strands give
+        c = group.get(q, q)
+        text[q] = r.choice("AĂCG") if c == q else r.choice([text[c], "T"])
+    index = spark.createDataFrame([(k + 1, f"n{k}", sum(lengths[:k]), n) for k, n in enumerate(lengths)], "seq_id long, name string, seq_offset long, seq_len long")
+    held = spark.createDataFrame([(i // width, "".join(text[i : i + width])) for i in range(0, total, width)], "block long, text string")
+    rows = frame(spark, runs)
+    members = closure.base_components(bases(index, held, width), rows)
+    want = closure.chained(closure.base_map(members))
+    cols = ["q", "seq_id", "base", "s", "s_base", "is_rev", "first", "last"]
+    got = sg.placed(sg.close_runs(rows), index, held, width)
+    assert sorted(map(tuple, got.select(*cols).collect())) == sorted(map(tuple, want.select(*cols).collect()))
+    spelled = dict(map(tuple, closure.graph_bases(want).collect()))
+    assert dict(map(tuple, got.where("head").select("s", "s_base").collect())) == spelled
+    cuts = sorted({x.s for x in graph.node_cuts(want).collect()})
+    nodes = [(k, a, b, "".join(spelled[s] for s in range(a, b))) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False), 1)]
+    for w in (1, width):
+        assert sorted(map(tuple, graph.nodes(got, got.where("head").selectExpr("s", "s_base AS base"), w).collect())) == nodes

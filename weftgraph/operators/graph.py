@@ -2,34 +2,90 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.functions.dna import complement
 from weftgraph.functions.positions import strand
-from weftgraph.operators.rank import neighbours, numbered, running_sum
+from weftgraph.operators.rank import carried, neighbours
+from weftgraph.operators.segments import groups, strings
+from weftgraph.operators.sequences import BLOCK
 from weftgraph.plans.work import table
 
+_NEVER = np.iinfo(np.int64).max
+
 
 class BrokenGraph(RuntimeError):
     """The graph does not spell its input."""
 
 
 def node_cuts(chain: DataFrame) -> DataFrame:
-    """(s): graph positions where a node begins or the graph ends: both ends of every interval."""
+    """(s): graph positions where a node begins or the graph ends, as often as intervals do: both ends of every interval."""
     low = F.when((F.col("first") & ~F.col("is_rev")) | (F.col("last") & F.col("is_rev")), F.col("s"))
     high = F.when((F.col("last") & ~F.col("is_rev")) | (F.col("first") & F.col("is_rev")), F.col("s") + 1)
-    return chain.select(F.explode(F.array_compact(F.array(low, high))).alias("s")).distinct()
-
-
-def nodes(chain: DataFrame, graph: DataFrame) -> DataFrame:
-    """(node_id from 1, s_start, s_end, seq)."""
-    cuts = table(numbered(node_cuts(chain), "s", name="node_id", start=1), "cuts")
-    after = cuts.select((F.col("node_id") - 1).alias("node_id"), F.col("s").alias("s_end"))
-    spans = cuts.join(after, "node_id").select("node_id", F.col("s").alias("s_start"), "s_end")
-    marked = graph.join(cuts.select("s", F.lit(1).alias("cut")), "s", "left").withColumn("cut", F.coalesce("cut", F.lit(0)))
-    text = running_sum(marked, "s", "cut", "node_id").groupBy("node_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s", "base"))), lambda x: x["base"]), "").alias("seq"))
-    return spans.join(text, "node_id").select(F.col("node_id").cast("long").alias("node_id"), "s_start", "s_end", "seq")
+    return chain.select(F.explode(F.array_compact(F.array(low, high))).alias("s"))
+
+
+def nodes(chain: DataFrame, graph: DataFrame, width: int = BLOCK) -> DataFrame:
+    """(node_id from 1, s_start, s_end, seq).
+
+    The cuts and bases of a block of graph positions are arrays of ``width`` at most; a block's numbers and the end of its last node
+    come from a scan of one row a block, and only nodes that cross a border are put together from parts.
+    """
+    none = F.lit(-1).cast("int")
+    rows = node_cuts(chain).select("s", none.alias("code")).unionByName(graph.select("s", F.ascii("base").alias("code")))
+    rows = rows.withColumn("block", F.floor(F.col("s") / width)).repartition("block").sortWithinPartitions("block")
+
+    def gather(batches):
+        own, cut, codes = None, None, None
+
+        def out():
+            at = np.flatnonzero(cut)
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x)) for x in (at + own * width, codes[codes >= 0])]
+            row = [pa.array([own]), pa.array([len(at)]), pa.array([int(at[0]) + own * width if len(at) else None], pa.int64()), *lists]
+            return pa.RecordBatch.from_arrays(row, names=["block", "n", "low", "cuts", "codes"])
+
+        for b in batches:
+            s, code, block = (b.column(c).to_numpy() for c in ("s", "code", "block"))
+            for lo, hi in groups(block) if len(block) else ():
+                if own != int(block[lo]):
+                    if own is not None:
+                        yield out()
+                    own, cut, codes = int(block[lo]), np.zeros(width, bool), np.full(width, -1, np.int32)
+                at, x = s[lo:hi] - own * width, code[lo:hi]
+                cut[at[x < 0]] = True
+                codes[at[x >= 0]] = x[x >= 0]
+        if own is not None:
+            yield out()
+
+    blocks = table(rows.mapInArrow(gather, "block bigint, n bigint, low bigint, cuts array<bigint>, codes array<int>"), "cuts")
+    around = carried(blocks.select(F.col("block").alias("_b"), F.col("n").alias("_n"), F.col("low").alias("_low")), sums=("_n",), firsts=("_low",))
+    around = around.select(F.col("_b").alias("block"), F.col("_n").cast("long").alias("before"), F.col("_low").alias("after"))
+
+    def cut_out(batches):
+        for b in batches:
+            for k in range(b.num_rows):
+                at, before, after = (b.column(c)[k].as_py() for c in ("block", "before", "after"))
+                cuts, codes = (b.column(c)[k].values.to_numpy() for c in ("cuts", "codes"))
+                # what comes before the first cut goes on with an earlier node
+                start = np.append(at * width, cuts)
+                end = np.append(cuts, _NEVER if after is None else after)
+                head = np.minimum(start - at * width, len(codes)).astype(np.int32)
+                text = strings(codes, np.append(head, len(codes)).astype(np.int32))
+                node = before + np.arange(len(start))
+                whole = np.append(False, end[1:] <= (at + 1) * width)
+                keep = (node > 0) & (end > start) & (np.append(head[1:], len(codes)) > head)
+                keep &= ~((end == _NEVER) & (np.arange(len(start)) > 0)) & (after is not None or len(cuts) > 0)
+                cols = [pa.array(node), pa.array(start), pa.array(end), text, pa.array(whole)]
+                yield pa.RecordBatch.from_arrays(cols, names=["node_id", "s_start", "s_end", "seq", "whole"]).filter(pa.array(keep))
+
+    parts = table(blocks.join(around, "block").mapInArrow(cut_out, "node_id bigint, s_start bigint, s_end bigint, seq string, whole boolean"), "parts")
+    # an earlier node's part begins at a border; all parts of a node end at the same place
+    one = F.transform(F.array_sort(F.collect_list(F.struct("s_start", "seq"))), lambda x: x["seq"])
+    joined = parts.where("NOT whole").groupBy("node_id").agg(F.min("s_start").alias("s_start"), F.max("s_end").alias("s_end"), F.array_join(one, "").alias("seq"))
+    return parts.where("whole").drop("whole").unionByName(joined)
 
 
 def steps(mapped: DataFrame, node_table: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.operators.components import smallest_of_part
 from weftgraph.operators.intervals import asof_join
-from weftgraph.operators.rank import neighbours, running_sum
+from weftgraph.operators.rank import carried, neighbours, running_sum
 from weftgraph.operators.sequences import BLOCK
 from weftgraph.plans.work import drop, observed, split_join, table
 
@@ -119,7 +119,7 @@ def _clipped(links: DataFrame, side: str, width: int) -> DataFrame:
     return x.select("block", (F.col("u") + F.col("_i")).alias("u"), (F.col("v") + F.col("d") * F.col("_i")).alias("v"), (F.col("_z") - F.col("_a") + 1).alias("len"), "d")
 
 
-def _groups(block: np.ndarray):
+def groups(block: np.ndarray):
     at = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
     return zip(at.tolist(), [*at[1:].tolist(), len(block)], strict=True)
 
@@ -142,7 +142,7 @@ def _parents(links: DataFrame, width: int) -> DataFrame:
 
             for b in batches:
                 cols, block = _arrays(b), b.column("block").to_numpy()
-                for lo, hi in _groups(block) if len(block) else ():
+                for lo, hi in groups(block) if len(block) else ():
                     if own != int(block[lo]):
                         if own is not None:
                             yield out()
@@ -168,7 +168,7 @@ def _rows(links: DataFrame, side: str, width: int) -> DataFrame:
         for b in batches:
             cols, block = _arrays(b), b.column("block").to_numpy()
             keys, ends = [], [0]
-            for lo, hi in _groups(block) if len(block) else ():
+            for lo, hi in groups(block) if len(block) else ():
                 for i, j in _slices(cols[2][lo:hi], ROW_BASES):
                     for k in range(lo + i, lo + j, ROW_LINKS):
                         keys.append(int(block[lo]))
@@ -295,3 +295,108 @@ def expanded(rows: DataFrame, at: str, *along: str) -> DataFrame:
     x = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("len") - 1)).alias("_i"))
     moved = {c: F.col(c) + F.col("d") * F.col("_i") for c in along} | {at: F.col(at) + F.col("_i")}
     return x.withColumns(moved).drop("_i", "len", "d")
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), "<u4")
+
+
+def strings(codes: np.ndarray, ends: np.ndarray | None = None) -> pa.Array:
+    """Strings of code points, from each of ``ends`` to the next; without them one of one character for each."""
+    ends = np.arange(len(codes) + 1, dtype=np.int32) if ends is None else ends
+    if len(codes) and codes.max() > 127:
+        text = "".join(map(chr, codes.tolist()))
+        return pa.array([text[i:j] for i, j in zip(ends.tolist(), ends[1:].tolist(), strict=False)], pa.string())
+    return pa.StringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends), pa.py_buffer(codes.astype(np.uint8)))
+
+
+def _flat(lists: pa.Scalar, *names: str) -> list[np.ndarray]:
+    """The fields of a list of structs; none if it is null."""
+    if not lists.is_valid:
+        return [np.zeros(0, np.int64) for _ in names]
+    return [lists.values.field(c).to_numpy() for c in names]
+
+
+def placed(closed: DataFrame, index: DataFrame, block_table: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(q, seq_id, base, s, s_base, is_rev, head, first, last): the graph position of every base, worked out a block at a time.
+
+    A smallest base's position is its place less the bases before it that have a smaller one; the others ask
+    the block of their smallest base for it.  ``head`` marks the smallest bases, ``first`` and ``last`` the ends of
+    intervals: a block learns the bases beside it from one row a block.  No block holds more than ``width`` bases, links of
+    disjoint ``u`` or sequences, and questions to one block go some thousands a row.
+    """
+    own = _clipped(closed, "u", width).groupBy("block").agg(F.collect_list(F.struct("u", "len")).alias("gone"), F.sum("len").alias("n"))
+    own = table(block_table.join(own, "block", "left"), "gone")
+    before = carried(own.select(F.col("block").alias("_b"), F.coalesce("n", F.lit(0)).alias("_o")), sums=("_o",))
+    own = table(own.join(before.select(F.col("_b").alias("block"), F.col("_o").cast("long").alias("before")), "block").drop("n"), "gone")
+    rows = _rows(closed, "v", width)
+    lookup = table(rows.groupBy("block").agg(F.count("*").alias("c")).join(own, "block"), "asked")
+
+    def numbers(block: int, gone: pa.Scalar, before: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(whether a base has a smaller one, the position of each that has none)."""
+        u, k = _flat(gone, "u", "len")
+        has = np.zeros(n, np.int64)
+        has[spread(u, u, k, np.ones(len(u), np.int64))[0] - block * width] = 1
+        return has, block * width + np.arange(n) - before - (np.cumsum(has) - has)
+
+    def answer(batches):
+        for b in batches:
+            for k in range(b.num_rows):
+                at = b.column("block")[k].as_py()
+                codes = _codes(b.column("text")[k].as_py())
+                s = numbers(at, b.column("gone")[k], b.column("before")[k].as_py(), len(codes))[1]
+                child, parent = spread(*[c.to_numpy() for c in b.column("links")[k].values.flatten()])
+                o = np.argsort(child // width, kind="stable")
+                child, parent = child[o], parent[o] - at * width
+                cut = np.flatnonzero(np.append(True, np.diff(child // width) != 0))
+                row = pa.StructArray.from_arrays([pa.array(child), pa.array(s[parent]), pa.array(codes[parent].astype(np.int32))], names=["q", "s", "b"])
+                lists = pa.ListArray.from_arrays(pa.array(np.append(cut, len(child)), pa.int32()), row)
+                yield pa.RecordBatch.from_arrays([pa.array(child[cut] // width), lists], names=["block", "told"])
+
+    told = split_join(rows, lookup, ["block"], parts=200).select("block", "links", "text", "gone", "before")
+    told = told.mapInArrow(answer, "block bigint, told array<struct<q:bigint,s:bigint,b:int>>")
+    told = told.groupBy("block").agg(F.flatten(F.collect_list("told")).alias("told"))
+    ends = F.sequence(F.floor(F.col("seq_offset") / width), F.floor((F.col("seq_offset") + F.col("seq_len") - 1) / width))
+    seqs = index.where("seq_len > 0").select(F.explode(ends).alias("block"), F.struct("seq_offset", "seq_id").alias("_s"))
+    seqs = seqs.groupBy("block").agg(F.array_sort(F.collect_list("_s")).alias("seqs"))
+
+    def fill(batches):
+        for b in batches:
+            for k in range(b.num_rows):
+                at = b.column("block")[k].as_py()
+                codes = _codes(b.column("text")[k].as_py())
+                has, s = numbers(at, b.column("gone")[k], b.column("before")[k].as_py(), len(codes))
+                spelled = codes.astype(np.int32)
+                q, x, base = _flat(b.column("told")[k], "q", "s", "b")
+                s[q - at * width], spelled[q - at * width] = x, base
+                start, name = _flat(b.column("seqs")[k], "seq_offset", "seq_id")
+                seq = name[np.searchsorted(start, at * width + np.arange(len(codes)), side="right") - 1]
+                cols = {"seq_id": seq, "s": s, "base": codes.astype(np.int32), "s_base": spelled, "gone": has.astype(np.int8)}
+                ends = {f"{c}_{i}": cols[c][[j]] for i, j in ((0, 0), (1, -1)) for c in ("seq_id", "s")} | {f"rev_{i}": (codes != spelled)[[j]] for i, j in ((0, 0), (1, -1))}
+                lists = [pa.ListArray.from_arrays(pa.array([0, len(codes)], pa.int32()), pa.array(c)) for c in cols.values()]
+                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), *lists, *[pa.array(c) for c in ends.values()]], names=["block", *cols, *ends])
+
+    arrays = "block bigint, seq_id array<bigint>, s array<bigint>, base array<int>, s_base array<int>, gone array<tinyint>"
+    filled = own.join(told, "block", "left").join(seqs, "block").select("block", "text", "gone", "before", "told", "seqs").mapInArrow(fill, f"{arrays}, seq_id_0 bigint, s_0 bigint, seq_id_1 bigint, s_1 bigint, rev_0 boolean, rev_1 boolean")
+    filled = table(filled, "filled")
+    beside = lambda i, by, name: filled.select((F.col("block") + by).alias("block"), F.struct(F.col(f"seq_id_{i}").alias("seq_id"), F.col(f"s_{i}").alias("s"), F.col(f"rev_{i}").alias("rev")).alias(name))
+    filled = filled.join(beside(1, 1, "prev"), "block", "left").join(beside(0, -1, "next"), "block", "left")
+
+    def out(batches):
+        for b in batches:
+            for k in range(b.num_rows):
+                at = b.column("block")[k].as_py()
+                seq, s, base, spelled, gone = (b.column(c)[k].values.to_numpy() for c in ("seq_id", "s", "base", "s_base", "gone"))
+                rev = base != spelled
+                prev, after = (b.column(c)[k].as_py() for c in ("prev", "next"))
+                on = np.zeros(len(s) + 1, bool)  # whether base i goes on as the one before it
+                on[1:-1] = (seq[1:] == seq[:-1]) & (rev[1:] == rev[:-1]) & (np.diff(s) == np.where(rev[1:], -1, 1))
+                if prev:
+                    on[0] = prev["seq_id"] == seq[0] and prev["rev"] == rev[0] and s[0] - prev["s"] == (-1 if rev[0] else 1)
+                if after:
+                    on[-1] = after["seq_id"] == seq[-1] and after["rev"] == rev[-1] and after["s"] - s[-1] == (-1 if rev[-1] else 1)
+                cols = [pa.array(at * width + np.arange(len(s))), pa.array(seq), strings(base), pa.array(s), strings(spelled), pa.array(rev), pa.array(gone == 0), pa.array(~on[:-1]), pa.array(~on[1:])]
+                yield pa.RecordBatch.from_arrays(cols, names=["q", "seq_id", "base", "s", "s_base", "is_rev", "head", "first", "last"])
+
+    cols = "q bigint, seq_id bigint, base string, s bigint, s_base string, is_rev boolean, head boolean, first boolean, last boolean"
+    return filled.select("block", "seq_id", "s", "base", "s_base", "gone", "prev", "next").mapInArrow(out, cols)

@@ -14,7 +14,7 @@ from weftgraph.functions.cigar import CIGAR_TYPE
 from weftgraph.operators.rank import numbered
 from weftgraph.operators.sequences import blocks_of_bases, with_text
 from weftgraph.plans.induce import Graph, induce
-from weftgraph.plans.work import drop, table
+from weftgraph.plans.work import table
 
 #: Event type -> base; any other type is N.
 EVENT_BASES = {"click": "A", "purchase": "C", "signup": "G", "view": "T"}
@@ -26,7 +26,7 @@ def event_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
     for kind, b in EVENT_BASES.items():
         base = F.when(F.col("event_type") == kind, b).otherwise(base)
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "ts", "event_id", base.alias("base"))
-    return table(numbered(e, "user_id", "ts", "event_id", name="q"), "event_bases")
+    return numbered(e, "user_id", "ts", "event_id", name="q")
 
 
 def event_index(placed: DataFrame) -> DataFrame:
@@ -40,9 +40,7 @@ def event_index(placed: DataFrame) -> DataFrame:
 def event_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(index, blocks) of the events' sequences."""
     placed = event_bases(spark, sf_dir)
-    out = event_index(placed), table(blocks_of_bases(placed), "event_blocks")
-    drop(placed)
-    return out
+    return event_index(placed), table(blocks_of_bases(placed), "event_blocks")
 
 
 def event_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:

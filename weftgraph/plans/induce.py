@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.operators import closure, graph
 from weftgraph.operators.matches import both_directions, unpack
+from weftgraph.operators.segments import close_runs, placed
 from weftgraph.operators.sequences import bases, blocks
 from weftgraph.plans.work import observed, table
 from weftgraph.sources.alignments import read_paf_list
@@ -78,11 +79,16 @@ def induce(
     seqs = table(sequences.drop("seq"), "sequences")
     held = table(blocks(sequences), "blocks") if block_table is None else block_table
     runs, seen = observed(unpack(alignments, seqs, held, min_match_len, sparse_factor), "matches", runs=F.count(F.lit(1)), bases_matched=F.sum("len"))
-    members = closure.base_components(bases(seqs, held), runs)
-    mapped, more = observed(closure.base_map(members, repeat_max, min_repeat_dist), "graph", bases_seen=F.count(F.lit(1)), graph_bases=F.max("s") + 1)
+    sizes = {"bases_seen": F.count(F.lit(1)), "graph_bases": F.max("s") + 1}
+    if repeat_max or min_repeat_dist:
+        members = closure.base_components(bases(seqs, held), runs)
+        mapped, more = observed(closure.base_map(members, repeat_max, min_repeat_dist), "graph", **sizes)
+        chain, text = table(closure.chained(mapped), "chain"), closure.graph_bases(mapped)
+    else:  # nothing is split off: positions, ends of intervals and graph bases in one go
+        full, more = observed(placed(close_runs(runs), seqs, held), "graph", **sizes)
+        mapped, chain, text = full.drop("head", "first", "last"), full.drop("head"), full.where("head").select("s", F.col("s_base").alias("base"))
     seen |= more
-    chain = table(closure.chained(mapped), "chain")
-    node_table, more = observed(graph.nodes(chain, closure.graph_bases(mapped)), "nodes", nodes=F.count(F.lit(1)))
+    node_table, more = observed(graph.nodes(chain, text), "nodes", nodes=F.count(F.lit(1)))
     step_table, last = observed(graph.steps(mapped, node_table), "paths", steps=F.count(F.lit(1)))
     g = Graph(seqs, runs, mapped, chain, node_table, step_table, seen | more | last)
     if check:
