@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 
 _freed = [time.monotonic()]
+#: Spark's setting that lets the shuffle files of a plan go when its execution ends.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -67,13 +69,25 @@ def table(df: DataFrame, name: str = "t") -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     schema = df.schema
-    df.write.parquet(path)
+    with cleaned(spark):
+        df.write.parquet(path)
     _tidy(spark)
     out = spark.read.schema(schema).parquet(path)
     out._weft_path = path
     return out
 
 
+@contextmanager
+def cleaned(spark: SparkSession) -> Iterator[None]:
+    """Plans that are written inside (adaptive ones) leave no shuffle files, whenever the driver collects its garbage; what is executed later keeps the session's own setting."""
+    own = spark.conf.get(CLEAN, None)
+    spark.conf.set(CLEAN, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEAN) if own is None else spark.conf.set(CLEAN, own)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; what is written there goes when the driver ends."""
     path = f"{work_dir(spark)}/weft-{name}-{uuid.uuid4().hex}"
