@@ -10,6 +10,7 @@ from test_components import plain
 from weftgraph.operators import closure, graph
 from weftgraph.operators import segments as sg
 from weftgraph.operators.sequences import bases
+from weftgraph.plans.work import telling
 
 
 def runs_of(r, total, n, longest):
@@ -111,3 +112,17 @@ def test_positions_and_nodes_by_blocks(spark, width, seed):
     nodes = [(k, a, b, "".join(spelled[s] for s in range(a, b))) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False), 1)]
     for w in (1, width):
         assert sorted(map(tuple, graph.nodes(got, got.where("head").selectExpr("s", "s_base AS base"), w).collect())) == nodes
+
+
+@pytest.mark.parametrize("far", [[], [(False, 99_980, 19_990, 4), (True, 19_993, 12, 3)]])
+def test_whole_components_take_no_rounds(spark, far):
+    """Pairs of neighbours, and two runs that join bases of both ends: rounds are only for what meets across partitions."""
+    runs = [(k % 2 == 1, 20 * k + 1, 20 * k + 5, 2) for k in range(5000)] + far
+    want = {q: c for q, c in plain(pairs(runs)).items() if q != c}
+    said = []
+    with telling(said.append):
+        got = [(x.u, x.v) for x in sg.expanded(sg.close_runs(frame(spark, runs), local_bases=0 if far else 2000), "u", "v").collect()]
+    assert len(got) == len(set(got)) and dict(got) == want
+    reached = [int(x.split()[1]) for x in said if x.startswith("reached")]
+    assert len(reached) == 1 and reached[0] <= 1000 < len(want)
+    assert far or not [x for x in said if x.startswith("round")]

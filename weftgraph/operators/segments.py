@@ -14,12 +14,16 @@ first within each partition, then over all (the array's minimum is associative,
 runs cross is aggregated before it is shuffled).  Links and parents meet by block, a few thousand links to
 the row, blocks with many rows by ``split_join``: deep or repetitive places stay spread over
 all tasks.  Links of ``LOCAL_BASES`` bases at most, proved by the sum seen while they were written, are closed in one task.
+
+Before the first round partitions hold links of neighbouring bases, and components that lie where no other partition's
+links reach are done (``reached``): rounds follow the bases that meet across partitions, not all of them.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +36,8 @@ from weftgraph.plans.work import drop, observed, split_join, table
 WIDTH = BLOCK
 #: Bases that one task may close, or that a partition joins at a time; links and bases of one row.
 LOCAL_BASES, LOT_BASES, ROW_LINKS, ROW_BASES = 1 << 21, 1 << 20, 2048, 1 << 17
+#: Positions of which one counts as reached by a partition if another does.
+ZONE = 1 << 10
 LINKS = "u bigint, v bigint, len bigint, d bigint"
 _NAMES = ("u", "v", "len", "d")
 _NONE = np.iinfo(np.int64).max
@@ -79,17 +85,22 @@ def _slices(n: np.ndarray, most: int):
 
 
 def link_forests(links: DataFrame, lot: int = LOT_BASES) -> DataFrame:
-    """Each partition's links as runs from bases to the smallest of their part."""
+    """Each partition's links as runs from bases to the smallest of their part; ``piece``: what was joined together."""
 
     def run(batches):
         a = b = np.zeros(0, np.int64)
         new, size = [], 0
+        piece = TaskContext.get().partitionId() << 32
 
         def joined():
             nodes, low = smallest_of_part(np.concatenate([a, *[x for x, _ in new]]), np.concatenate([b, *[y for _, y in new]]))
             keep = nodes != low
             return nodes[keep], low[keep]
 
+        def out(piece: int):
+            cols = gathered(a, b)
+            return _batch(cols, piece=np.full(len(cols[0]), piece))
+
         for batch in batches:
             cols = _arrays(batch)
             for lo, hi in _slices(cols[2], lot):
@@ -99,13 +110,59 @@ def link_forests(links: DataFrame, lot: int = LOT_BASES) -> DataFrame:
                     a, b = joined()
                     new, size = [], 0
                     if len(a) > 4 * lot:
-                        yield _batch(gathered(a, b))
+                        yield out(piece)
+                        piece += 1
                         a = b = np.zeros(0, np.int64)
         if new:
             a, b = joined()
-        yield _batch(gathered(a, b))
+        yield out(piece)
+
+    return links.select(*_NAMES).mapInArrow(run, f"{LINKS}, piece bigint")
+
+
+def reached(forest: DataFrame, zone: int = ZONE) -> DataFrame:
+    """The pieces of ``link_forests`` with ``open``: whether a base of the component lies in a zone that several pieces link.
+
+    A component that is not open is whole in its piece.  A task holds one piece at a time, a few ``LOT_BASES``.
+    """
+    none, zero = (F.lit(x).cast("long") for x in (-1, 0))
+    low = F.least("v", F.col("v") + F.col("d") * (F.col("len") - 1))
+    zones = lambda at: F.sequence(F.floor(at / zone), F.floor((at + F.col("len") - 1) / zone))
+    touched = forest.select("piece", F.explode(F.array_union(zones(F.col("u")), zones(low))).alias("zone")).distinct()
+    shared = touched.groupBy("zone").agg(F.count("*").alias("c")).where("c > 1").select("zone")
+    marks = touched.join(shared, "zone").select("piece", F.col("zone").alias("u"), none.alias("v"), zero.alias("len"), zero.alias("d"))
+    rows = forest.select("piece", *_NAMES).unionByName(marks).repartition("piece").sortWithinPartitions("piece", "len")
+
+    def run(batches):
+        own, held = None, []
+
+        def out():
+            u, v, n, d = (np.concatenate(x) for x in zip(*held, strict=True))
+            some = n > 0
+            marked = np.sort(u[~some])
+            child, parent = spread(u[some], v[some], n[some], d[some])
+            o = np.argsort(child)
+            child, parent = child[o], parent[o]
+            roots, at = np.unique(parent, return_inverse=True)
+            met = np.isin(roots // zone, marked)
+            met[at[np.isin(child // zone, marked)]] = True
+            for is_open in (False, True):
+                own_ = met[at] == is_open
+                cols = gathered(child[own_], parent[own_])
+                yield _batch(cols, open=np.full(len(cols[0]), is_open))
+
+        for b in batches:
+            cols, piece = _arrays(b), b.column("piece").to_numpy()
+            for lo, hi in groups(piece) if len(piece) else ():
+                if own != int(piece[lo]):
+                    if held:
+                        yield from out()
+                    own, held = int(piece[lo]), []
+                held.append([c[lo:hi] for c in cols])
+        if held:
+            yield from out()
 
-    return links.select(*_NAMES).mapInArrow(run, LINKS)
+    return rows.mapInArrow(run, f"{LINKS}, open boolean")
 
 
 def _clipped(links: DataFrame, side: str, width: int) -> DataFrame:
@@ -232,9 +289,15 @@ def grown(links: DataFrame) -> DataFrame:
 def close_links(links: DataFrame, width: int = WIDTH, local_bases: int = LOCAL_BASES, max_rounds: int = 60) -> DataFrame:
     """(u, v, len, d): every base that is not the smallest of its component, once, with that one."""
     now, n, _ = _written(link_forests(links).withColumn("moved", F.lit(0).cast("long")), "forest")
+    done = None
+    if n > local_bases:
+        whole, seen = observed(reached(now), "reached", bases_open=F.sum(F.when(F.col("open"), F.col("len"))))
+        drop(now)
+        done, now, n = whole.where("NOT open").select(*_NAMES), whole.where("open").drop("open"), seen["bases_open"]
     for _ in range(max_rounds):
         if n <= local_bases:
-            return table(link_forests(now.coalesce(1)), "closed")
+            rest = link_forests(now.coalesce(1)).drop("piece")
+            return table(rest.unionByName(done) if done else rest, "closed")
         parents = table(_parents(now, width), "parents")
         apart, rows = _star(now, parents, "u", width)
         least = parents.select(F.explode("parents").alias("_p")).select("_p.*", F.lit(0).cast("long").alias("moved"))
@@ -245,15 +308,16 @@ def close_links(links: DataFrame, width: int = WIDTH, local_bases: int = LOCAL_B
         now, n, second = _written(jumped, "round")
         drop(rows, small, before)
         if not first and not second:
-            return table(grown(now.select(*_NAMES)), "closed")
+            rest = now.select(*_NAMES)
+            return table(grown(rest.unionByName(done)), "closed")
     raise RuntimeError(f"no fixed point in {max_rounds} rounds")
 
 
 def run_links(runs: DataFrame) -> DataFrame:
     """Match runs (q, t, len, is_rev) as links with ascending u; runs that say the same are taken once."""
-    r = runs.select("is_rev", "q", "t", "len").distinct()
     # a reverse run begins at its last query base: counted up the target, the query goes down
-    return r.select(F.col("t").alias("u"), F.col("q").alias("v"), "len", F.when(F.col("is_rev"), -1).otherwise(1).cast("long").alias("d"))
+    r = runs.select(F.col("t").alias("u"), F.col("q").alias("v"), "len", F.when(F.col("is_rev"), -1).otherwise(1).cast("long").alias("d"))
+    return r.repartitionByRange(*_NAMES).distinct().sortWithinPartitions("u")  # a partition has links of neighbouring bases
 
 
 def close_runs(runs: DataFrame, **options) -> DataFrame:
